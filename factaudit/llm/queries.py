@@ -5,8 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factaudit.llm import value_mapping, visual_form
-from factaudit.session import table
+from factaudit.llm import consensus, value_mapping, visual_form
+from factaudit.session import cut, table
+
+
+def _annotated_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    votes = consensus.last_votes(table(spark, sf_dir, "model_annotations"), "source_id", "model_name", "canonical_decision",
+                                 "created_at", "received_at", "annotation_id", "field_conflicts")
+    return cut(consensus.items_of(votes))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _annotated_items(spark, sf_dir)
+    decided = consensus.consensus(items, consensus.reliability(items))
+    return decided.where("labels >= 3 AND most < labels").selectExpr("item AS source_id", "label AS canonical_decision")
+
+
+def p4_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _annotated_items(spark, sf_dir)
+    decided = consensus.consensus(items, consensus.reliability(items))
+    return decided.selectExpr("item AS source_id", "label AS canonical_decision", "confidence", "agreement", "labels", "support")
+
+
+def p4_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.reliability(_annotated_items(spark, sf_dir)).withColumnRenamed("annotator", "model_name")
 
 
 def _visual_values(spark: SparkSession, sf_dir: str) -> DataFrame:
