@@ -5,10 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factaudit.llm import consensus, value_mapping, visual_form
+from factaudit.llm import consensus, group_splits, value_mapping, visual_form
+from factaudit.llm.fact_subject import subject_of
 from factaudit.session import cut, table
 
 
+def _tie_keys() -> list:
+    return [F.col("split_group_id"), F.col("source_id"), subject_of(F.col("canonical_fact"), F.col("answer"))]
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_splits.divided_records(table(spark, sf_dir, "audit_records"), "audit_record_id", "split_assignment", _tie_keys())
+
+
+def p3_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = table(spark, sf_dir, "split_targets").selectExpr("split_assignment AS split", "target_share AS share")
+    return group_splits.grouped_splits(table(spark, sf_dir, "audit_records"), "audit_record_id", _tie_keys(), targets)
+
+
+def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of the records per split."""
+    reached = p3_assigned(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("records"), F.countDistinct("component").alias("components"))
+    whole = reached.agg(F.sum("records").alias("all"))
+    targets = table(spark, sf_dir, "split_targets").selectExpr("split_assignment AS split", "target_share")
+    return (targets.join(reached, "split", "left").fillna(0, ["records", "components"]).crossJoin(whole)
+            .select("split", "target_share", (F.col("records") / F.col("all")).alias("reached_share"), "records", "components"))
+
+
 def _annotated_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     votes = consensus.last_votes(table(spark, sf_dir, "model_annotations"), "source_id", "model_name", "canonical_decision",
                                  "created_at", "received_at", "annotation_id", "field_conflicts")
