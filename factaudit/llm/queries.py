@@ -5,11 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factaudit.llm import consensus, group_splits, value_mapping, visual_form
+from factaudit.llm import consensus, group_splits, split_overlap, value_mapping, visual_form
 from factaudit.llm.fact_subject import subject_of
 from factaudit.session import cut, table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = split_overlap.overlapping_pairs(
+        table(spark, sf_dir, "audit_records"), "audit_record_id", "question_normalized", "canonical_fact_normalized", "answer",
+        "split_assignment", "development", ["validation", "sealed"])
+    return pairs.selectExpr("record_a AS audit_record_id_a", "record_b AS audit_record_id_b")
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping pairs and records per evaluation split and source dataset."""
+    pairs = cut(p2_found(spark, sf_dir))
+    ends = pairs.select(F.col("audit_record_id_a").alias("audit_record_id")).unionByName(pairs.select(F.col("audit_record_id_b").alias("audit_record_id")))
+    seen = ends.groupBy("audit_record_id").agg(F.count(F.lit(1)).alias("pairs"))
+    records = table(spark, sf_dir, "audit_records").where("split_assignment IN ('validation', 'sealed')")
+    return (records.join(seen, "audit_record_id", "left").groupBy("split_assignment", "source_dataset")
+            .agg(F.count(F.lit(1)).alias("records"), F.count("pairs").alias("overlapping_records"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("overlapping_pairs")))
+
+
 def _tie_keys() -> list:
     return [F.col("split_group_id"), F.col("source_id"), subject_of(F.col("canonical_fact"), F.col("answer"))]
 
