@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factaudit.llm import consensus, group_splits, split_overlap, value_mapping, visual_form
+from factaudit.llm import consensus, group_splits, mixing, split_overlap, tokenizer, value_mapping, visual_form
 from factaudit.llm.fact_subject import subject_of
 from factaudit.session import cut, table
 
@@ -106,6 +106,35 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.selectExpr("table_name", "line_number", "mapped_entry AS relation_id")
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer.encode_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", tokenizer.vocabulary_path(spark))
+
+
+def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text decoded from its ids, beside whether it equals the text that was encoded."""
+    path = tokenizer.vocabulary_path(spark)
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = tokenizer.decode_corpus(cut(tokenizer.encode_corpus(documents, "doc_id", "text", path)), "doc_id", path)
+    return (decoded.withColumnRenamed("text", "decoded").join(documents, "doc_id")
+            .select("doc_id", "decoded", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("equal")))
+
+
+def _token_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    sizes = tokenizer.count_tokens(documents, "doc_id", "text", tokenizer.vocabulary_path(spark))
+    return cut(documents.select(F.col("doc_id").alias("doc"), "source").join(sizes.withColumnRenamed("doc_id", "doc"), "doc"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_token_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+    return mixed.withColumnRenamed("doc", "doc_id")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, targets = _token_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+    return mixing.shares(documents, targets, cut(mixing.mix(documents, targets)))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
