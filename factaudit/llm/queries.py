@@ -5,11 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factaudit.llm import consensus, group_splits, mixing, split_overlap, tokenizer, value_mapping, visual_form
+from factaudit.llm import answer_defects, consensus, group_splits, mixing, split_overlap, tokenizer, value_mapping, visual_form
 from factaudit.llm.fact_subject import subject_of
 from factaudit.session import cut, table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready = table(spark, sf_dir, "normalized_candidates").where("decision = 'ready'").select(
+        F.lit("normalized_candidates").alias("table_name"), "line_number",
+        answer_defects.defects(F.col("prompt_en"), F.col("answer"), F.col("canonical_fact"), "en").alias("defect"))
+    zh = table(spark, sf_dir, "zh_translations").select(
+        F.lit("zh_translations").alias("table_name"), "line_number",
+        answer_defects.defects(F.col("prompt_zh"), F.col("answer_zh"), F.col("canonical_fact_zh"), "zh").alias("defect"))
+    return ready.unionByName(zh).where("defect IS NOT NULL")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = split_overlap.overlapping_pairs(
         table(spark, sf_dir, "audit_records"), "audit_record_id", "question_normalized", "canonical_fact_normalized", "answer",

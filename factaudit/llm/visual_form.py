@@ -41,7 +41,7 @@ PICTURE_JOINT = re.compile("(?<=[←-⯿\U0001f000-\U0001faff️])[‍️](?=$|[
 ODD_SPACE = re.compile("[   -     　\u0085\u000b\u000c\u001c-\u001f]")
 HAN = re.compile("[㐀-鿿\U00020000-\U0003ffff]")
 RADICAL = re.compile("[⺀-⻿]")
-WORD = re.compile(r"[^\W\d_]+(?:[̀-ͯ]+[^\W\d_]*)*")
+OTHER_LETTER = re.compile("[Ͱ-֏Ꭰ-Ᏽꭰ-ꮿ\u0131\u0251\u0261]")
 CODE_OR_WORD = re.compile(r"[^\W_]+")
 
 
@@ -84,7 +84,8 @@ def canonical_form(text: str | None) -> str | None:
             return _to_latin(m.group()) or m.group()
         return m.group()
 
-    text = CODE_OR_WORD.sub(word, text)
+    if OTHER_LETTER.search(text):
+        text = CODE_OR_WORD.sub(word, text)
     text = " ".join(text.split())
     return unicodedata.normalize("NFKC", IGNORABLE.sub("", text.casefold()))
 
@@ -106,7 +107,7 @@ def has_variant_characters(text: str | None) -> bool:
         return True
     if any(unicodedata.combining(c) for c in plain):
         return True
-    for m in CODE_OR_WORD.finditer(plain):
+    for m in CODE_OR_WORD.finditer(plain) if OTHER_LETTER.search(plain) else ():
         kinds = {_alphabet(c) for c in m.group()}
         if "latin" in kinds and "other" in kinds:
             return True
@@ -115,7 +116,7 @@ def has_variant_characters(text: str | None) -> bool:
 
 def imitated_words(text: str | None) -> list[str]:
     """Words wholly of another alphabet that read as Latin words, in their Latin look."""
-    if not text or text.isascii():
+    if not text or not OTHER_LETTER.search(text):
         return []
     found = []
     for m in CODE_OR_WORD.finditer(text):
