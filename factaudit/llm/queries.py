@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factaudit.llm import answer_defects, consensus, group_splits, mixing, split_overlap, tokenizer, value_mapping, visual_form
+from factaudit.llm import answer_defects, consensus, group_splits, mixing, personal_information, split_overlap, tokenizer, value_mapping, visual_form
 from factaudit.llm.fact_subject import subject_of
 from factaudit.session import cut, table
 
@@ -145,6 +145,14 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(documents, targets, cut(mixing.mix(documents, targets)))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_information.find(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_information.redact(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
