@@ -1,11 +1,308 @@
-"""Queries of this family of operators, with their SQL."""
+"""Scalar expressions over text, hashes and JSON, each with its SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
-def queries() -> dict:
-    return {}
+from factaudit.functions import ids, text
+from factaudit.queries.registry import Registry
+from factaudit.session import table
 
+R = Registry()
+queries, oracle_sql = R.queries, R.oracle_sql
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+
+@R.add("b01_normalize_text", r"SELECT doc_id, coalesce(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), '') AS normalized FROM documents WHERE lang IN ('en', 'zh')")
+def _(spark, d):
+    return table(spark, d, "documents").where("lang IN ('en', 'zh')").select("doc_id", text.normalize_text(F.col("text")).alias("normalized"))
+
+
+@R.add("b01_normalize_text_exact")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.normalize_text_exact("text").alias("normalized"))
+
+
+@R.add("b02_casefold_exact")
+def _(spark, d):
+    return table(spark, d, "raw_candidates").select("line_number", text.casefold_exact("source_snapshot.record.question").alias("folded"))
+
+
+@R.add("b03_normalize_lexical", r"SELECT line_number, trim(regexp_replace(lower(question), '[^\p{L}\p{N}]+', ' ', 'g')) AS lexical FROM audit_records")
+def _(spark, d):
+    return table(spark, d, "audit_records").select("line_number", text.normalize_lexical(F.col("question")).alias("lexical"))
+
+
+@R.add("b04_normalize_match_text", r"SELECT line_number, trim(regexp_replace(lower(relation_id), '[^\p{L}\p{N}_]+', ' ', 'g')) AS matched FROM normalized_candidates WHERE relation_id IS NOT NULL")
+def _(spark, d):
+    rows = table(spark, d, "normalized_candidates").where("relation_id IS NOT NULL")
+    return rows.select("line_number", text.normalize_match_text(F.col("relation_id")).alias("matched"))
+
+
+@R.add("b05_alnum_key", r"SELECT line_number, regexp_replace(lower(answer), '[^\p{L}\p{N}]', '', 'g') AS k FROM audit_records WHERE answer IS NOT NULL")
+def _(spark, d):
+    return table(spark, d, "audit_records").where("answer IS NOT NULL").select("line_number", text.alnum_key(F.col("answer")).alias("k"))
+
+
+@R.add("b06_comparable_text", r"SELECT line_number, coalesce(regexp_replace(regexp_replace(lower(trim(answer)), '^(a|an|the)\s+', ''), '[^a-z0-9]+', '', 'g'), '') AS comparable FROM normalized_candidates")
+def _(spark, d):
+    return table(spark, d, "normalized_candidates").select("line_number", text.comparable_text(F.col("answer")).alias("comparable"))
+
+
+@R.add("b07_clean_text", r"SELECT doc_id, nullif(trim(regexp_replace(text, '\s+', ' ', 'g')), '') AS cleaned FROM documents")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.clean_text(F.col("text")).alias("cleaned"))
+
+
+@R.add("b08_unique_strings", """
+    WITH x AS (SELECT line_number, unnest(answer_aliases) AS a, unnest(range(len(answer_aliases))) AS pos FROM audit_records),
+    k AS (SELECT *, row_number() OVER (PARTITION BY line_number, lower(trim(a, ' ')) ORDER BY pos) AS rn FROM x WHERE trim(a, ' ') <> '')
+    SELECT line_number, string_agg(trim(a, ' '), '|' ORDER BY pos) AS aliases, count(*) AS n FROM k WHERE rn = 1 GROUP BY line_number""")
+def _(spark, d):
+    from factaudit.operators.arrays import unique_strings
+
+    out = unique_strings(table(spark, d, "audit_records"), "line_number", "answer_aliases", "aliases")
+    return out.select("line_number", F.array_join("aliases", "|").alias("aliases"), F.size("aliases").cast("bigint").alias("n"))
+
+
+@R.add("b09_answer_aliases", """
+    SELECT line_number, array_to_string(list_sort(list_distinct(list_filter(list_concat([trim(answer, ' ')], list_transform(coalesce(answer_aliases, []), lambda x: trim(x, ' '))), lambda x: x IS NOT NULL AND x <> ''))), '|') AS aliases FROM audit_records""")
+def _(spark, d):
+    everything = F.concat(F.array(F.trim("answer")), F.transform(F.coalesce("answer_aliases", F.array().cast("array<string>")), lambda x: F.trim(x)))
+    named = F.array_sort(F.array_distinct(F.filter(everything, lambda x: x.isNotNull() & (x != ""))))
+    return table(spark, d, "audit_records").select("line_number", F.array_join(named, "|").alias("aliases"))
+
+
+@R.add("b10_first_filled", "SELECT line_number, coalesce(nullif(trim(canonical_fact), ''), nullif(trim(question), ''), nullif(trim(answer), '')) AS label FROM audit_records")
+def _(spark, d):
+    return table(spark, d, "audit_records").select("line_number", text.first_filled(F.col("canonical_fact"), F.col("question"), F.col("answer")).alias("label"))
+
+
+@R.add("b11_stable_id", """
+    SELECT line_number, 'pbf_' || substr(sha256(coalesce(lower(trim(subject)), '') || '␟' || coalesce(lower(trim(relation_id)), '') || '␟' || coalesce(lower(trim(answer)), '')), 1, 20) AS fact_id FROM normalized_candidates""")
+def _(spark, d):
+    parts = [F.lower(F.trim(c)) for c in ("subject", "relation_id", "answer")]
+    return table(spark, d, "normalized_candidates").select("line_number", ids.stable_id("pbf_", *parts).alias("fact_id"))
+
+
+@R.add("b12_hash_rank", """
+    SELECT line_number, row_number() OVER (PARTITION BY source_dataset ORDER BY sha256('7␟review␟' || audit_record_id), line_number) AS hash_rank FROM audit_records""")
+def _(spark, d):
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("source_dataset").orderBy(ids.hash_rank("7", "review", F.col("audit_record_id")), "line_number")
+    return table(spark, d, "audit_records").select("line_number", F.row_number().over(order).cast("bigint").alias("hash_rank"))
+
+
+@R.add("b13_option_layout", """
+    WITH o AS (SELECT line_number, source_snapshot.record.answer AS answer, unnest(list_distinct(source_snapshot.record.choices)) AS choice FROM raw_candidates WHERE source_snapshot.record.choices IS NOT NULL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY line_number ORDER BY sha256(line_number::VARCHAR || '␟' || choice), choice) AS rn FROM o)
+    SELECT line_number, string_agg(substr('ABCDEFGH', rn::INT, 1) || '=' || choice, ';' ORDER BY rn) AS layout, max(CASE WHEN choice = answer THEN substr('ABCDEFGH', rn::INT, 1) END) AS correct FROM r GROUP BY line_number""")
+def _(spark, d):
+    from factaudit.operators.prompts import option_layout
+
+    rows = table(spark, d, "raw_candidates").select("line_number", F.col("source_snapshot.record.answer").alias("answer"), F.col("source_snapshot.record.choices").alias("choices"))
+    return option_layout(rows, "line_number", "answer", "choices")
+
+
+@R.add("b14_prompt_rendering", r"""
+    SELECT line_number, CASE WHEN source_snapshot.record.choices IS NULL THEN 'Question: ' || source_snapshot.record.question || E'\nAnswer:'
+      ELSE 'Question: ' || source_snapshot.record.question || E'\nOptions: ' || array_to_string(source_snapshot.record.choices, '; ') || E'\nAnswer:' END AS prompt FROM raw_candidates""")
+def _(spark, d):
+    from factaudit.operators.prompts import render_question
+
+    rec = "source_snapshot.record."
+    return table(spark, d, "raw_candidates").select("line_number", render_question(F.col(rec + "question"), F.col(rec + "choices")).alias("prompt"))
+
+
+@R.add("b15_answer_suffix_prompt", r"""
+    WITH b AS (SELECT line_number, regexp_replace(canonical_fact, '[\s.!?]+$', '') AS base, answer FROM audit_records)
+    SELECT line_number, CASE WHEN length(answer) > 0 AND ends_with(lower(base), lower(answer)) AND regexp_matches(substr(base, 1, length(base) - length(answer)), '[^\p{L}\p{N}_]$')
+      THEN nullif(rtrim(substr(base, 1, length(base) - length(answer))), '') END AS prompt FROM b""")
+def _(spark, d):
+    return table(spark, d, "audit_records").select("line_number", text.answer_suffix_prompt(F.col("canonical_fact"), F.col("answer")).alias("prompt"))
+
+
+@R.add("b16_prompt_risk_flags", r"""
+    SELECT line_number, array_to_string(list_filter([CASE WHEN regexp_matches(lower(q), '(which|what) of (the following|these)') THEN 'option_reference' END, CASE WHEN regexp_matches(lower(q), '\b(not|except)\b') THEN 'negated' END,
+      CASE WHEN regexp_matches(lower(q), '\b(please|exactly)\b') THEN 'instruction' END, CASE WHEN length(q) > 110 THEN 'long_prompt' END], lambda x: x IS NOT NULL), '|') AS flags FROM (SELECT line_number, source_snapshot.record.question AS q FROM raw_candidates)""")
+def _(spark, d):
+    from factaudit.operators.prompts import risk_flags
+
+    return table(spark, d, "raw_candidates").select("line_number", F.array_join(risk_flags(F.col("source_snapshot.record.question")), "|").alias("flags"))
+
+
+@R.add("b17_review_reasons", r"""
+    SELECT line_number, array_to_string(list_filter([CASE WHEN canonical_fact IS NULL THEN 'missing_fact' END, CASE WHEN split_group_id IS NULL THEN 'missing_group' END,
+      CASE WHEN len(regexp_extract_all(answer, '\S+')) > 6 THEN 'long_answer' END, CASE WHEN regexp_matches(answer, '\d') THEN 'numeric_answer' END, CASE WHEN split_assignment IS NULL THEN 'unassigned' END], lambda x: x IS NOT NULL), '|') AS reasons FROM audit_records""")
+def _(spark, d):
+    from factaudit.operators.validation import reasons
+
+    rules = [("missing_fact", F.col("canonical_fact").isNull()), ("missing_group", F.col("split_group_id").isNull()), ("long_answer", F.regexp_count("answer", F.lit(r"\S+")) > 6),
+             ("numeric_answer", F.col("answer").rlike(r"\d")), ("unassigned", F.col("split_assignment").isNull())]
+    return table(spark, d, "audit_records").select("line_number", F.array_join(reasons(rules), "|").alias("reasons"))
+
+
+@R.add("b18_answer_unsuitable", r"""
+    WITH w AS (SELECT line_number, answer, CASE WHEN trim(answer) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(answer, '\s+', ' ', 'g')), ' ')) END AS n FROM normalized_candidates WHERE answer IS NOT NULL)
+    SELECT line_number, (n > 18) OR (n > 8 AND regexp_matches(answer, '[.!?]$')) OR regexp_matches(answer, '[;\n]') AS unsuitable FROM w""")
+def _(spark, d):
+    rows = table(spark, d, "normalized_candidates").where("answer IS NOT NULL")
+    return rows.select("line_number", text.answer_unsuitable(F.col("answer")).alias("unsuitable"))
+
+
+@R.add("b19_answer_grounded", r"""
+    WITH t AS (SELECT line_number, answer, canonical_fact, trim(regexp_replace(lower(answer), '\s+', ' ', 'g')) AS a, trim(regexp_replace(lower(canonical_fact), '\s+', ' ', 'g')) AS s,
+      list_distinct(list_filter(string_split(trim(regexp_replace(lower(answer), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '')) AS ta,
+      list_distinct(list_filter(string_split(trim(regexp_replace(lower(canonical_fact), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '')) AS ts FROM audit_records WHERE canonical_fact IS NOT NULL AND answer IS NOT NULL),
+    c AS (SELECT *, list_filter(ta, lambda x: NOT list_contains(['a','an','and','at','by','for','from','in','is','of','on','or','the','to','was','with'], x)) AS cw FROM t)
+    SELECT line_number, contains(s, a) OR contains(s, regexp_replace(a, '^(a|an|the) ', '')) OR (len(cw) > 0 AND len(list_filter(cw, lambda x: NOT list_contains(ts, x))) = 0) AS grounded FROM c""")
+def _(spark, d):
+    rows = table(spark, d, "audit_records").where("canonical_fact IS NOT NULL AND answer IS NOT NULL")
+    return rows.select("line_number", text.grounded(F.col("answer"), F.col("canonical_fact")).alias("grounded"))
+
+
+@R.add("b20_grounding_repair")
+def _(spark, d):
+    ratio = text.sequence_ratio(F.lower("answer"), F.lower("answer_normalized"))
+    rows = table(spark, d, "audit_records").withColumn("ratio", ratio)
+    return rows.select("line_number", F.round("ratio", 6).alias("ratio"), F.when(F.col("ratio") >= 0.85, F.col("answer")).otherwise(F.col("answer_normalized")).alias("repaired"))
+
+
+@R.add("b21_reply_json", r"""
+    SELECT event_id, nullif(regexp_extract(regexp_replace('Reply: ```json ' || props || ' ```', '^```(?:json)?\s*|\s*```$', '', 'g'), '(?s)(\{.*\})', 1), '') AS reply,
+      (json_extract_string(props, '$.k'))::BIGINT AS k FROM events""")
+def _(spark, d):
+    said = F.concat(F.lit("Reply: ```json "), F.col("props"), F.lit(" ```"))
+    reply = text.reply_json(said)
+    return table(spark, d, "events").select("event_id", reply.alias("reply"), F.from_json(reply, "k bigint")["k"].alias("k"))
+
+
+@R.add("b22_row_validators", r"""
+    SELECT line_number, array_to_string(list_filter([CASE WHEN decision NOT IN ('ready', 'defer', 'reject') OR decision IS NULL THEN 'decision_unknown' END, CASE WHEN decision = 'ready' AND answer IS NULL THEN 'answer_missing' END,
+      CASE WHEN decision <> 'ready' AND subject IS NOT NULL THEN 'fields_not_null' END, CASE WHEN attempt_number NOT BETWEEN 1 AND 3 THEN 'attempt_out_of_range' END,
+      CASE WHEN decision = 'ready' AND NOT regexp_matches(coalesce(relation_id, ''), '^[a-z_]+$') THEN 'relation_id_pattern' END], lambda x: x IS NOT NULL), '|') AS errors FROM normalized_candidates""")
+def _(spark, d):
+    from factaudit.operators.validation import reasons
+
+    ready = F.col("decision") == "ready"
+    rules = [("decision_unknown", ~F.coalesce(F.col("decision").isin("ready", "defer", "reject"), F.lit(False))), ("answer_missing", ready & F.col("answer").isNull()), ("fields_not_null", ~ready & F.col("subject").isNotNull()),
+             ("attempt_out_of_range", ~F.col("attempt_number").between(1, 3)), ("relation_id_pattern", ready & ~F.coalesce("relation_id", F.lit("")).rlike("^[a-z_]+$"))]
+    return table(spark, d, "normalized_candidates").select("line_number", F.array_join(reasons(rules), "|").alias("errors"))
+
+
+@R.add("b23_filter_reason", r"""
+    SELECT line_number, coalesce(CASE WHEN canonical_fact IS NULL THEN 'no_fact' END, CASE WHEN split_assignment IS NULL THEN 'no_split' END, CASE WHEN record_role <> 'current_bundle' THEN 'not_current' END, CASE WHEN length(answer) > 60 THEN 'answer_too_long' END) AS reason FROM audit_records""")
+def _(spark, d):
+    from factaudit.operators.validation import first_reason
+
+    rules = [("no_fact", F.col("canonical_fact").isNull()), ("no_split", F.col("split_assignment").isNull()), ("not_current", F.col("record_role") != "current_bundle"), ("answer_too_long", F.length("answer") > 60)]
+    return table(spark, d, "audit_records").select("line_number", first_reason(rules).alias("reason"))
+
+
+@R.add("b24_lengths", r"""
+    SELECT doc_id, CASE WHEN trim(text) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) END::INT AS words, length(regexp_replace(text, '\s', '', 'g'))::INT AS characters FROM documents WHERE text IS NOT NULL""")
+def _(spark, d):
+    rows = table(spark, d, "documents").where("text IS NOT NULL")
+    return rows.select("doc_id", text.word_count(F.col("text")).alias("words"), text.nonspace_length(F.col("text")).alias("characters"))
+
+
+@R.add("b25_token_estimate", r"SELECT doc_id, ceil(octet_length(encode(coalesce(text, ''))) / 4.0)::BIGINT AS tokens FROM documents")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.ceil(F.octet_length(F.coalesce("text", F.lit(""))) / F.lit(4.0)).alias("tokens"))
+
+
+@R.add("b26_common_prefix_length", """
+    SELECT line_number, (SELECT count(*) FROM range(1, length(question) + 1) t(i) WHERE substr(question, 1, i::INT) = substr(canonical_fact, 1, i::INT) AND i <= length(canonical_fact)) AS prefix FROM audit_records WHERE question IS NOT NULL AND canonical_fact IS NOT NULL""")
+def _(spark, d):
+    from factaudit.operators.arrays import common_prefix_length
+
+    chars = [F.filter(F.split(c, ""), lambda x: x != "") for c in ("question", "canonical_fact")]
+    rows = table(spark, d, "audit_records").where("question IS NOT NULL AND canonical_fact IS NOT NULL")
+    return rows.select("line_number", common_prefix_length(*chars).cast("bigint").alias("prefix"))
+
+
+@R.add("b27_lexical_similarity", r"""
+    WITH t AS (SELECT line_number, trim(regexp_replace(lower(question), '[^\p{L}\p{N}]+', ' ', 'g')) AS q, trim(regexp_replace(lower(canonical_fact), '[^\p{L}\p{N}]+', ' ', 'g')) AS f FROM audit_records WHERE canonical_fact IS NOT NULL),
+    s AS (SELECT *, list_distinct(string_split(q, ' ')) AS tq, list_distinct(string_split(f, ' ')) AS tf, list_distinct(list_transform(range(1, length(q) + 3), lambda i: substr('  ' || q || '  ', i::INT, 3))) AS gq, list_distinct(list_transform(range(1, length(f) + 3), lambda i: substr('  ' || f || '  ', i::INT, 3))) AS gf FROM t)
+    SELECT line_number, round(len(list_intersect(tq, tf)) / len(list_distinct(list_concat(tq, tf)))::DOUBLE, 6) AS token_jaccard, round(len(list_intersect(gq, gf)) / len(list_distinct(list_concat(gq, gf)))::DOUBLE, 6) AS char_jaccard,
+      round(len(list_intersect(tq, tf)) / least(len(tq), len(tf))::DOUBLE, 6) AS token_containment, round(least(length(q), length(f)) / greatest(length(q), length(f))::DOUBLE, 6) AS ratio FROM s""")
+def _(spark, d):
+    rows = table(spark, d, "audit_records").where("canonical_fact IS NOT NULL").select("line_number", text.normalize_lexical(F.col("question")).alias("q"), text.normalize_lexical(F.col("canonical_fact")).alias("f"))
+    tq, tf, gq, gf = text.tokens(F.col("q")), text.tokens(F.col("f")), text.char_ngrams(F.col("q")), text.char_ngrams(F.col("f"))
+    return rows.select("line_number", text.jaccard(tq, tf).alias("token_jaccard"), text.jaccard(gq, gf).alias("char_jaccard"), text.containment(tq, tf).alias("token_containment"), text.length_ratio(F.col("q"), F.col("f")).alias("ratio"))
+
+
+@R.add("b28_minhash", r"""
+    WITH t AS (SELECT line_number, unnest(list_distinct(string_split(trim(regexp_replace(lower(question), '[^\p{L}\p{N}]+', ' ', 'g')), ' '))) AS tok FROM audit_records),
+    h AS (SELECT line_number, c AS component, min(substr(sha256(c::VARCHAR || '␟' || tok), 1, 16)) AS m FROM t, range(0, 16) r(c) GROUP BY ALL)
+    SELECT line_number, string_agg(m, ',' ORDER BY component) AS signature FROM h GROUP BY line_number""")
+def _(spark, d):
+    from factaudit.operators.near_duplicates import minhash_signature
+
+    return table(spark, d, "audit_records").select("line_number", F.array_join(minhash_signature(text.tokens(F.col("question"))), ",").alias("signature"))
+
+
+@R.add("b29_reward", "SELECT event_id, round(ln(1 + pow(value / 100, 2) / (pow(value / 200, 2) + 0.001)) - 20 * pow(1 - value / 100, 3), 6) AS reward FROM events WHERE value IS NOT NULL")
+def _(spark, d):
+    from factaudit.operators.evaluation import reward
+
+    rows = table(spark, d, "events").where("value IS NOT NULL")
+    return rows.select("event_id", F.round(reward(F.col("value") / 100, F.col("value") / 200), 6).alias("reward"))
+
+
+@R.add("b30_percentile", "SELECT event_type, round(quantile_cont(value, 0.05), 6) AS p05, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
+def _(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(*[F.round(F.percentile("value", p), 6).alias(n) for n, p in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))])
+
+
+@R.add("b31_url_and_slug", r"""
+    SELECT DISTINCT model_name, regexp_replace(regexp_replace(regexp_replace(lower(trim(u)), '^https?://', ''), ':(80|443)(/|$)', '\2'), '[?#].*$|/+$', '') AS endpoint, regexp_replace(regexp_replace(lower(model_name || ' v1/Beta'), '[^a-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug
+    FROM (SELECT model_name, ' HTTPS://API.' || model_name || '.test:443/v1/' AS u FROM model_annotations)""")
+def _(spark, d):
+    url = F.concat(F.lit(" HTTPS://API."), F.col("model_name"), F.lit(".test:443/v1/"))
+    return table(spark, d, "model_annotations").select("model_name", text.url_key(url).alias("endpoint"), text.slug(F.concat("model_name", F.lit(" v1/Beta"))).alias("slug")).distinct()
+
+
+@R.add("b32_three_valued", """
+    WITH v AS (SELECT source_id, CASE WHEN canonical_decision IS NULL THEN NULL ELSE lower(trim(canonical_decision)) = 'keep' END AS x FROM model_annotations)
+    SELECT source_id, CASE WHEN bool_or(x) THEN true WHEN count(*) > count(x) THEN NULL ELSE false END AS any_known, CASE WHEN NOT bool_and(x) THEN false WHEN count(*) > count(x) THEN NULL ELSE true END AS all_known FROM v GROUP BY source_id""")
+def _(spark, d):
+    from factaudit.operators.evaluation import all_known, any_known
+
+    kept = F.lower(F.trim("canonical_decision")) == "keep"
+    return table(spark, d, "model_annotations").withColumn("x", kept).groupBy("source_id").agg(any_known("x").alias("any_known"), all_known("x").alias("all_known"))
+
+
+@R.add("b33_timestamp_validation", r"""
+    SELECT event_id, regexp_matches(s, '^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$') AS has_zone, try_strptime(substr(s, 1, 19), '%Y-%m-%dT%H:%M:%S') IS NOT NULL AS parses
+    FROM (SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN event_id % 3 = 0 THEN 'Z' WHEN event_id % 3 = 1 THEN '' ELSE '+02:00' END AS s FROM events)""")
+def _(spark, d):
+    from factaudit.operators.validation import zoned_timestamp
+
+    zone = F.when(F.col("event_id") % 3 == 0, "Z").when(F.col("event_id") % 3 == 1, "").otherwise("+02:00")
+    stamp = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), zone)
+    return table(spark, d, "events").select("event_id", zoned_timestamp(stamp).alias("has_zone"), F.try_to_timestamp(F.substring(stamp, 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss")).isNotNull().alias("parses"))
+
+
+@R.add("b34_prompt_templates", """
+    SELECT doc_id, CASE lang WHEN 'zh' THEN '请翻译：' WHEN 'de' THEN 'Bitte übersetzen: ' WHEN 'fr' THEN 'Veuillez traduire : ' WHEN 'es' THEN 'Por favor, traduzca: ' ELSE 'Please translate: ' END || substr(text, 1, 80) AS prompt FROM documents WHERE text IS NOT NULL""")
+def _(spark, d):
+    from factaudit.operators.prompts import translation_prompts
+
+    rows = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "lang", F.substring("text", 1, 80).alias("head"))
+    return translation_prompts(rows, "lang", "head").select("doc_id", "prompt")
+
+
+@R.add("b35_prompt_leak_check", r"""
+    SELECT line_number, len(list_filter(list_distinct(list_concat([lower(answer)], list_transform(coalesce(answer_aliases, []), lambda x: lower(x)))), lambda t: length(t) > 2 AND contains(lower(question), t))) > 0 AS leaks FROM audit_records""")
+def _(spark, d):
+    terms = F.array_distinct(F.concat(F.array(F.lower("answer")), F.transform(F.coalesce("answer_aliases", F.array().cast("array<string>")), lambda x: F.lower(x))))
+    return table(spark, d, "audit_records").select("line_number", F.exists(terms, lambda t: (F.length(t) > 2) & F.contains(F.lower("question"), t)).alias("leaks"))
+
+
+@R.add("b36_error_codes", r"""
+    SELECT event_id, CASE WHEN event_type = 'error' AND value > 80 THEN 'http_' || (400 + (value::INT % 5))::VARCHAR WHEN event_type = 'error' AND value IS NULL THEN 'unknown' WHEN event_type = 'error' THEN 'transient' END AS code FROM events""")
+def _(spark, d):
+    error = F.col("event_type") == "error"
+    code = F.when(error & (F.col("value") > 80), F.concat(F.lit("http_"), (400 + F.bround("value").cast("int") % 5).cast("string"))).when(error & F.col("value").isNull(), "unknown").when(error, "transient")
+    return table(spark, d, "events").select("event_id", code.alias("code"))
