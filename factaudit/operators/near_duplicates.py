@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factaudit.session import cut
+
 COMPONENTS = 16
 BANDS = 8
 NEIGHBOURS = 24
@@ -17,6 +19,11 @@ def minhash_signature(tokens: Column, components: int = COMPONENTS) -> Column:
         lambda c: F.array_min(F.transform(tokens, lambda t: F.substring(F.sha2(F.concat_ws("␟", c.cast("string"), t), 256), 1, 16))))
 
 
+def fast_signature(tokens: Column, components: int = COMPONENTS) -> Column:
+    """As ``minhash_signature`` with 64-bit hashes, for blocking."""
+    return F.transform(F.sequence(F.lit(0), F.lit(components - 1)), lambda c: F.array_min(F.transform(tokens, lambda t: F.xxhash64(c, t))))
+
+
 def banded_pairs(rows: DataFrame, key: str, text: str, tokens: Column, neighbours: int = NEIGHBOURS) -> DataFrame:
     """(a, b), a < b: keys whose texts share a band of the signature and lie near in its text order.
 
@@ -25,8 +32,9 @@ def banded_pairs(rows: DataFrame, key: str, text: str, tokens: Column, neighbour
     distinct tokens take no part.  Equal texts are one entry of a bucket.
     """
     width = COMPONENTS // BANDS
-    signed = rows.select(key, F.col(text).alias("t"), tokens.alias("tok")).where("size(tok) >= 3").withColumn("sig", minhash_signature(F.col("tok")))
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.concat_ws(":", F.slice("sig", b * width + 1, width)).alias("bucket")))
+    # Written once: the signature is read once per band.
+    signed = cut(rows.select(key, F.col(text).alias("t"), tokens.alias("tok")).where("size(tok) >= 3").select(key, "t", fast_signature(F.col("tok")).alias("sig")))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(F.slice("sig", b * width + 1, width)).alias("bucket")))
     spread = signed.select(key, "t", F.explode(bands).alias("x")).select(key, "t", "x.band", "x.bucket")
     placed = spread.withColumn("rn", F.row_number().over(Window.partitionBy("band", "bucket").orderBy("t", key)))
     left = placed.select(F.col(key).alias("a0"), "band", "bucket", F.explode(F.sequence(F.col("rn") + 1, F.col("rn") + neighbours)).alias("rn"))

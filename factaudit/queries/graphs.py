@@ -1,11 +1,204 @@
-"""Queries of this family of operators, with their SQL."""
+"""Near duplicates, components, closures and splits, each with its SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
-def queries() -> dict:
-    return {}
+from factaudit.functions import text
+from factaudit.operators import graph, joins, near_duplicates
+from factaudit.queries.registry import Registry
+from factaudit.session import cut, table
 
+R = Registry()
+queries, oracle_sql = R.queries, R.oracle_sql
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+
+def _texts(spark, d):
+    """One row per distinct lexical question, under its least record id."""
+    rows = table(spark, d, "audit_records").select(text.normalize_lexical(F.col("question")).alias("t"), "audit_record_id").where("t <> ''")
+    return rows.groupBy("t").agg(F.min("audit_record_id").alias("id"))
+
+
+@R.add("d11_lsh_blocked_pairs")
+def _(spark, d):
+    """Near-duplicate questions: pairs of class representatives with their measured similarity."""
+    texts = cut(_texts(spark, d).withColumn("tok", text.tokens(F.col("t"))).withColumn("grams", text.char_ngrams(F.col("t"))))
+    pairs = near_duplicates.banded_pairs(texts, "id", "t", F.col("tok"))
+    side = lambda n: texts.select(F.col("id").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in ("t", "tok", "grams")])
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    token, grams = (F.col("a_tok"), F.col("b_tok")), (F.col("a_grams"), F.col("b_grams"))
+    scored = both.select("a", "b", F.greatest(text.jaccard(*token), text.jaccard(*grams)).alias("similarity"), text.containment(*token).alias("containment"), text.length_ratio(F.col("a_t"), F.col("b_t")).alias("ratio"))
+    return scored.where("ratio >= 0.5 AND (similarity >= 0.8 OR (containment >= 0.9 AND ratio >= 0.6))")
+
+
+@R.add("d12_spanning_pairs", "SELECT canonical_fact_normalized AS fact, lag(audit_record_id) OVER w AS a, audit_record_id AS b FROM audit_records WHERE canonical_fact_normalized IS NOT NULL WINDOW w AS (PARTITION BY canonical_fact_normalized ORDER BY line_number, audit_record_id) QUALIFY lag(audit_record_id) OVER w IS NOT NULL")
+def _(spark, d):
+    rows = table(spark, d, "audit_records").withColumnRenamed("canonical_fact_normalized", "fact")
+    return near_duplicates.spanning_pairs(rows, "fact", "audit_record_id", "line_number")
+
+
+@R.add("d13_representative_pairs", """
+    WITH g AS (SELECT canonical_fact_normalized AS fact, arg_min(audit_record_id, line_number) FILTER (split_assignment = 'development') AS dev, arg_min(audit_record_id, line_number) FILTER (split_assignment IN ('validation', 'sealed')) AS ev FROM audit_records WHERE canonical_fact_normalized IS NOT NULL GROUP BY 1)
+    SELECT fact, dev AS a, ev AS b FROM g WHERE dev IS NOT NULL AND ev IS NOT NULL""")
+def _(spark, d):
+    first = lambda e, n: F.min_by(F.when(F.expr(e), F.col("audit_record_id")), F.when(F.expr(e), F.col("line_number"))).alias(n)
+    g = table(spark, d, "audit_records").where("canonical_fact_normalized IS NOT NULL").groupBy(F.col("canonical_fact_normalized").alias("fact")).agg(first("split_assignment = 'development'", "a"), first("split_assignment IN ('validation', 'sealed')", "b"))
+    return g.where("a IS NOT NULL AND b IS NOT NULL")
+
+
+@R.add("d14_bucket_risk", """
+    WITH k AS (SELECT audit_record_id, split_group_id, unnest(['fact', 'answer', 'source']) AS kind, unnest([canonical_fact_normalized, answer_normalized, source_id]) AS v FROM audit_records), b AS (SELECT kind, v FROM k WHERE v IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT split_group_id) > 1)
+    SELECT k.audit_record_id, string_agg(DISTINCT k.kind, '|' ORDER BY k.kind) AS reasons FROM k JOIN b USING (kind, v) GROUP BY 1""")
+def _(spark, d):
+    # Rows of buckets that cut across groups, with all reasons; members are listed, pairs are not.
+    kinds = {"fact": "canonical_fact_normalized", "answer": "answer_normalized", "source": "source_id"}
+    k = table(spark, d, "audit_records").select("audit_record_id", "split_group_id", F.explode(F.map_from_arrays(F.array(*[F.lit(x) for x in kinds]), F.array(*kinds.values()))).alias("kind", "v")).where("v IS NOT NULL")
+    b = k.groupBy("kind", "v").agg(F.min("split_group_id").alias("x"), F.max("split_group_id").alias("y")).where("x <> y").select("kind", "v")
+    return k.join(b, ["kind", "v"], "left_semi").groupBy("audit_record_id").agg(F.array_join(F.array_sort(F.collect_set("kind")), "|").alias("reasons"))
+
+
+@R.add("g01_pair_evidence", """
+    WITH p AS (SELECT lag(audit_record_id) OVER (PARTITION BY canonical_fact_normalized ORDER BY line_number) AS a, audit_record_id AS b, 'fact' AS kind FROM audit_records WHERE canonical_fact_normalized IS NOT NULL UNION ALL SELECT lag(audit_record_id) OVER (PARTITION BY question_normalized ORDER BY line_number), audit_record_id, 'question' FROM audit_records WHERE question_normalized IS NOT NULL)
+    SELECT least(a, b) AS a, greatest(a, b) AS b, string_agg(DISTINCT kind, '|' ORDER BY kind) AS evidence FROM p WHERE p.a IS NOT NULL GROUP BY least(p.a, p.b), greatest(p.a, p.b)""".replace("least(a, b) AS a, greatest(a, b) AS b", "least(p.a, p.b) AS a, greatest(p.a, p.b) AS b"))
+def _(spark, d):
+    rows, pairs = table(spark, d, "audit_records"), None
+    for kind, column in (("fact", "canonical_fact_normalized"), ("question", "question_normalized")):
+        one = near_duplicates.spanning_pairs(rows, column, "audit_record_id", "line_number").select("a", "b", F.lit(kind).alias("kind"))
+        pairs = one if pairs is None else pairs.unionByName(one)
+    merged = near_duplicates.merge_evidence(pairs)
+    return merged.select("a", "b", F.array_join("evidence", "|").alias("evidence"))
+
+
+@R.add("g02_set_difference", """
+    SELECT side, count(*) AS n FROM ((SELECT record_id, 'left' AS side FROM normalized_candidates WHERE decision = 'ready' EXCEPT ALL SELECT record_id, 'left' FROM zh_translations) UNION ALL (SELECT record_id, 'right' FROM zh_translations EXCEPT ALL SELECT record_id, 'right' FROM normalized_candidates WHERE decision = 'ready')) GROUP BY side""")
+def _(spark, d):
+    ready = table(spark, d, "normalized_candidates").where("decision = 'ready'")
+    return joins.symmetric_difference(ready, table(spark, d, "zh_translations"), ["record_id"]).groupBy("side").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Facts are tied by source and by group; a key is linked to its first fact only.
+
+
+def _edges(spark, d):
+    rows, out = table(spark, d, "audit_records"), None
+    for key in ("source_id", "split_group_id"):
+        least = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("base_fact_id").alias("src"))
+        one = rows.select(key, F.col("base_fact_id").alias("dst")).distinct().join(least, key).select("src", "dst").where("src <> dst")
+        out = one if out is None else out.unionByName(one)
+    return out.distinct()
+
+
+@R.add("g03_connected_components")
+def _(spark, d):
+    return graph.components(_edges(spark, d))
+
+
+# On a small set of keys the closure can be written as recursive SQL: sources only.
+_SOURCE_EDGES = "(SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM (SELECT base_fact_id AS a, lag(base_fact_id) OVER (PARTITION BY source_id ORDER BY base_fact_id) AS b FROM audit_records) WHERE b IS NOT NULL AND a <> b)"
+
+
+def _source_edges(spark, d):
+    w = Window.partitionBy("source_id").orderBy("base_fact_id")
+    pairs = table(spark, d, "audit_records").select(F.col("base_fact_id").alias("a"), F.lag("base_fact_id").over(w).alias("b")).where("b IS NOT NULL AND a <> b")
+    return pairs.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+
+
+@R.add("g03_source_components", f"""
+    WITH RECURSIVE e AS (SELECT src, dst FROM {_SOURCE_EDGES} UNION SELECT dst, src FROM {_SOURCE_EDGES}), r(node, other) AS (SELECT src, src FROM e UNION SELECT r.node, e.dst FROM r JOIN e ON r.other = e.src)
+    SELECT node, min(other) AS component FROM r GROUP BY node""")
+def _(spark, d):
+    return graph.components(_source_edges(spark, d))
+
+
+@R.add("g04_reachability", f"""
+    WITH RECURSIVE e AS (SELECT src, dst FROM {_SOURCE_EDGES} UNION SELECT dst, src FROM {_SOURCE_EDGES}), r(node) AS (SELECT DISTINCT base_fact_id FROM audit_records WHERE split_assignment = 'sealed' UNION SELECT e.dst FROM r JOIN e ON r.node = e.src) SELECT node FROM r""")
+def _(spark, d):
+    seeds = table(spark, d, "audit_records").where("split_assignment = 'sealed'").select(F.col("base_fact_id").alias("node"))
+    return graph.reachable(seeds, _source_edges(spark, d)).select("node")
+
+
+def _support(spark, d):
+    """Relations supported by other relations of their subject type with a longer definition."""
+    c = table(spark, d, "relation_catalog").select("relation_id", "subject_type", F.length("relation_definition").alias("n"))
+    o = c.select(F.col("relation_id").alias("donor"), "subject_type", F.col("n").alias("m"))
+    return c, c.join(o, "subject_type").where("m > n").select("relation_id", "donor")
+
+
+@R.add("g05_candidate_fixed_point")
+def _(spark, d):
+    items, donors = _support(spark, d)
+    return graph.supported(items, donors, "relation_id", "donor")
+
+
+@R.add("g06_accepted_projection")
+def _(spark, d):
+    items, donors = _support(spark, d)
+    return graph.supported(items, donors, "relation_id", "donor").where("round IS NOT NULL")
+
+
+@R.add("g07_pair_exclusions", "SELECT DISTINCT record_id, reason, false AS asserted_false FROM normalized_candidates WHERE decision IN ('reject', 'defer')")
+def _(spark, d):
+    return table(spark, d, "normalized_candidates").where("decision IN ('reject', 'defer')").select("record_id", "reason", F.lit(False).alias("asserted_false")).distinct()
+
+
+@R.add("g08_greedy_splits")
+def _(spark, d):
+    sizes = table(spark, d, "audit_records").where("split_group_id IS NOT NULL").groupBy("split_group_id").agg(F.count(F.lit(1)).alias("n"))
+    return graph.greedy_splits(sizes, "split_group_id", "n", {"development": 0.7, "validation": 0.15, "sealed": 0.15}, limit=5_000_000)
+
+
+@R.add("g09_exact_fold_search")
+def _(spark, d):
+    from factaudit.plans.folds import exact_folds
+
+    sizes = table(spark, d, "relation_catalog").groupBy("subject_type").agg(F.count(F.lit(1)).alias("n"))
+    return exact_folds(sizes, "subject_type", "n", ["development", "validation", "sealed"], [0.6, 0.2, 0.2])
+
+
+@R.add("g10_component_rebuild")
+def _(spark, d):
+    retained = table(spark, d, "audit_records").where("split_assignment IS NOT NULL").select(F.col("base_fact_id").alias("src")).distinct()
+    kept = _edges(spark, d).join(retained, "src", "left_semi").join(retained.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst")
+    parts = graph.components(kept)
+    pins = table(spark, d, "audit_records").select(F.col("base_fact_id").alias("node"), "split_assignment").where("split_assignment IS NOT NULL")
+    return parts.join(pins, "node").groupBy("component").agg(F.count_distinct("node").alias("facts"), F.count_distinct("split_assignment").alias("pins"))
+
+
+@R.add("g11_component_projection", "SELECT split_group_id, count(*) AS before, count(split_assignment) AS retained FROM audit_records WHERE split_group_id IS NOT NULL GROUP BY 1 HAVING count(split_assignment) > 0")
+def _(spark, d):
+    rows = table(spark, d, "audit_records").where("split_group_id IS NOT NULL")
+    return rows.groupBy("split_group_id").agg(F.count(F.lit(1)).alias("before"), F.count("split_assignment").alias("retained")).where("retained > 0")
+
+
+@R.add("g12_fact_regrouping")
+def _(spark, d):
+    rows = table(spark, d, "audit_records").select(F.col("base_fact_id").alias("node"), text.alnum_key(F.col("canonical_fact")).alias("k")).where("k IS NOT NULL").distinct()
+    least = rows.groupBy("k").agg(F.min("node").alias("src"))
+    lexical = rows.join(least, "k").select("src", F.col("node").alias("dst")).where("src <> dst")
+    return graph.components(lexical.unionByName(_source_edges(spark, d)))
+
+
+@R.add("g13_accepted_translation_projection", """
+    SELECT z.record_id, bool_or(n.decision = 'ready') AS retained FROM zh_translations z LEFT JOIN normalized_candidates n ON z.record_id = n.record_id WHERE z.record_id NOT IN (SELECT record_id FROM normalized_candidates WHERE decision = 'reject') GROUP BY z.record_id""")
+def _(spark, d):
+    n = table(spark, d, "normalized_candidates")
+    ready = n.groupBy("record_id").agg(F.bool_or(F.col("decision") == "ready").alias("retained"))
+    z = table(spark, d, "zh_translations").select("record_id").distinct().join(n.where("decision = 'reject'").select("record_id"), "record_id", "left_anti")
+    return z.join(ready, "record_id", "left")
+
+
+@R.add("g14_replacement_screen", """
+    WITH r AS (SELECT DISTINCT canonical_fact_normalized AS f FROM audit_records WHERE record_role = 'comparison_canonical' AND canonical_fact_normalized IS NOT NULL)
+    SELECT a.audit_record_id FROM audit_records a JOIN r ON a.canonical_fact_normalized = r.f WHERE a.record_role = 'current_bundle'""")
+def _(spark, d):
+    rows = table(spark, d, "audit_records")
+    replaced = rows.where("record_role = 'comparison_canonical'").select("canonical_fact_normalized")
+    return rows.where("record_role = 'current_bundle'").join(replaced, "canonical_fact_normalized", "left_semi").select("audit_record_id")
+
+
+@R.add("g15_full_pool_projection")
+def _(spark, d):
+    parts = graph.components(_source_edges(spark, d))
+    cohort = table(spark, d, "audit_records").where("split_assignment = 'validation'").select(F.col("base_fact_id").alias("node")).distinct()
+    return parts.join(cohort, "node", "left_semi")

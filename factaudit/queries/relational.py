@@ -361,8 +361,8 @@ def _(spark, d):
 
 
 @R.add("d27_pair_rebinding", """
-    WITH c AS (SELECT base_fact_id AS x, lag(base_fact_id) OVER (PARTITION BY source_id ORDER BY line_number) AS y, coalesce(split_group_id, lag(split_group_id) OVER (PARTITION BY source_id ORDER BY line_number)) AS old FROM audit_records)
-    SELECT least(x, y) AS x, greatest(x, y) AS y, CASE WHEN x = y THEN 'same_fact' ELSE coalesce(min(old), 'unreviewed') END AS decision FROM c WHERE y IS NOT NULL GROUP BY least(x, y), greatest(x, y), x = y""")
+    WITH c AS (SELECT base_fact_id AS p, lag(base_fact_id) OVER (PARTITION BY source_id ORDER BY line_number) AS q, coalesce(split_group_id, lag(split_group_id) OVER (PARTITION BY source_id ORDER BY line_number)) AS old FROM audit_records)
+    SELECT x, y, CASE WHEN x = y THEN 'same_fact' ELSE coalesce(old, 'unreviewed') END AS decision FROM (SELECT least(p, q) AS x, greatest(p, q) AS y, min(old) AS old FROM c WHERE q IS NOT NULL GROUP BY 1, 2)""")
 def _(spark, d):
     # Pairs of a source form a chain: old decisions are re-attached to as many pairs as rows.
     w = Window.partitionBy("source_id").orderBy("line_number")
