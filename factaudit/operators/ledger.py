@@ -31,7 +31,7 @@ def total_if_all_known(value: Column) -> Column:
 
 def attempts_in_window(events: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
     """``events`` with the number of the key's events in the last ``seconds``, itself included."""
-    clock = F.unix_micros(at)
+    clock = F.unix_micros(F.col(at).cast("timestamp"))
     w = Window.partitionBy(key).orderBy(clock).rangeBetween(-seconds * 1_000_000, Window.currentRow)
     return events.withColumn("in_window", F.count(F.lit(1)).over(w))
 
