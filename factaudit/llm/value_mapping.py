@@ -90,6 +90,7 @@ def variants_sql(source: str, column: str) -> str:
       SELECT v, explode(array_distinct(array(
         w0, w,
         regexp_replace(w, '^\\u7684', ''),
+        CASE WHEN w RLIKE '[a-z]s$' THEN regexp_replace(w, 's$', '') END,
         CASE WHEN w RLIKE ',' THEN regexp_replace(w, ',.*$', '') END,
         CASE WHEN w RLIKE ' of ' THEN regexp_replace(w, ' of (?!.* of ).*$', '') END,
         CASE WHEN w RLIKE '^[^,]+, [^,]+$' THEN regexp_replace(w, '^([^,]+), ([^,]+)$', '$2 $1') END,
