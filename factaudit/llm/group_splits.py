@@ -53,12 +53,13 @@ def hash_to_min(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"no stable components after {max_rounds} rounds")
 
 
-def tied(rows: DataFrame, record_id: str, keys: list[Column]) -> DataFrame:
-    """``rows`` with ``component``: the component of each record over its non-null ``keys``."""
+def tied(rows: DataFrame, record_id: str, keys: list[Column], kept: list[str]) -> DataFrame:
+    """The columns ``kept`` and ``component``: each record's component over its non-null ``keys``."""
     named = [F.when(k.isNotNull(), F.concat(F.lit(f"{i}:"), k.cast("string"))) for i, k in enumerate(keys)]
     alone = F.concat(F.lit("r:"), F.coalesce(F.col(record_id).cast("string"), F.lit("")))
     linked = rows.withColumn("__keys", F.array_compact(F.array(*named)))
-    linked = linked.withColumn("__keys", F.when(F.size("__keys") == 0, F.array(alone)).otherwise(F.col("__keys")))
+    # Written once: keys may be costly to read from texts, and they are used several times below.
+    linked = cut(linked.withColumn("__keys", F.when(F.size("__keys") == 0, F.array(alone)).otherwise(F.col("__keys"))).select(*kept, "__keys"))
     edges = linked.select(F.col("__keys")[0].alias("src"), F.explode("__keys").alias("dst")).distinct()
     components = hash_to_min(edges)
     keyed = linked.withColumn("node", F.col("__keys")[0]).drop("__keys")
@@ -67,7 +68,7 @@ def tied(rows: DataFrame, record_id: str, keys: list[Column]) -> DataFrame:
 
 def divided_records(rows: DataFrame, record_id: str, split: str, keys: list[Column]) -> DataFrame:
     """The records of tied sets that now lie in more than one split."""
-    parts = cut(tied(rows.where(F.col(split).isNotNull()), record_id, keys).select(record_id, split, "component"))
+    parts = cut(tied(rows.where(F.col(split).isNotNull()), record_id, keys, [record_id, split]))
     mixed = parts.groupBy("component").agg(F.min(split).alias("a"), F.max(split).alias("b")).where("a <> b").select("component", F.lit(True).alias("divided"))
     heavy = cut(heavy_keys(parts, "component"))
     return skewed_lookup(parts, mixed, "component", heavy, "inner").select(record_id)
@@ -105,7 +106,7 @@ def assign(components: DataFrame, targets: DataFrame) -> DataFrame:
 
 def grouped_splits(rows: DataFrame, record_id: str, keys: list[Column], targets: DataFrame) -> DataFrame:
     """(record_id, component, split) for every record, no component in two splits."""
-    parts = cut(tied(rows, record_id, keys).select(record_id, "component"))
+    parts = cut(tied(rows, record_id, keys, [record_id]))
     sizes = cut(parts.groupBy("component").agg(F.count(F.lit(1)).alias("n")))
     heavy = sizes.where(F.col("n") > 1000).orderBy(F.desc("n")).limit(1000).select("component")
     return skewed_lookup(parts, assign(sizes, targets), "component", heavy, "left")
