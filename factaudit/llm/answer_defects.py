@@ -93,7 +93,7 @@ FOREIGN_WORDS = {w for ws in FOREIGN.values() for w in ws.split()}
 # Words that English has as well decide nothing.
 FOREIGN_WORDS -= set("die den an a in am so as i l d de la le un es".split())
 #: Letter groups that English words do not have.
-FOREIGN_SHAPE = re.compile(r"[äöüßàâçèéêëîïôùûñíóúá]|sch|rra\b|zarra|\bgris\b|\w{3,}grise|ie(?:fer|rre)\b")
+FOREIGN_SHAPE = re.compile(r"^(?:die|den) [a-zäöü]|^(?:la|le|un|de) [a-zà-ÿ]|[äöüßàâçèéêëîïôùûñíóúá]|sch|rra\b|zarra|\bgris\b|\w{3,}grise|ie(?:fer|rre)\b")
 
 _SCRIPTS = (("HAN", re.compile("[㐀-鿿豈-﫿]")), ("KANA", re.compile("[぀-ヿ]")), ("HANGUL", re.compile("[가-힯ᄀ-ᇿ]")), ("OTHER", re.compile("[Ͱ-ϿЀ-ԯ֐-ࣿऀ-෿฀-๿]")))
 CODE = re.compile(r"^[A-Z]{1,6}[- /.]?\d+(?:[- /.]\d+)*[A-Z]?$|^\d[\d,. :/-]*$")
@@ -225,10 +225,14 @@ def _values_of(fact: str, asked: str) -> list[str]:
     for shape in _FACT_SHAPES:
         m = shape.search(fact)
         if m:
-            found.append(m.group(1))
+            # A lead-in ("Note:", "(b)", "Quick check -") is no part of the value.
+            found += {m.group(1), _LEAD_IN.sub("", m.group(1))}
     return found
 
 
+_LEAD_IN = re.compile(r"^\W*(?:\(?[\w ]{1,20}(?::|\)| -)\s+)+")
+
+
 def _squeezed(text: str) -> str:
     return re.sub(r"[\W_]+", "", text.casefold())
 
