@@ -60,7 +60,10 @@ def tied(rows: DataFrame, record_id: str, keys: list[Column], kept: list[str]) -
     linked = rows.withColumn("__keys", F.array_compact(F.array(*named)))
     # Written once: keys may be costly to read from texts, and they are used several times below.
     linked = cut(linked.withColumn("__keys", F.when(F.size("__keys") == 0, F.array(alone)).otherwise(F.col("__keys"))).select(*kept, "__keys"))
-    edges = linked.select(F.col("__keys")[0].alias("src"), F.explode("__keys").alias("dst")).distinct()
+    pairs = linked.select(F.col("__keys")[0].alias("src"), F.explode("__keys").alias("dst"))
+    # A key of one record alone ties nothing; only keys that come again are nodes beside the first.
+    again = pairs.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("dst")
+    edges = pairs.where("src = dst").distinct().unionByName(pairs.where("src <> dst").distinct().join(again, "dst", "left_semi").select("src", "dst"))
     components = hash_to_min(edges)
     keyed = linked.withColumn("node", F.col("__keys")[0]).drop("__keys")
     return skewed_lookup(keyed, components, "node", cut(heavy_keys(keyed, "node")), "left").drop("node")
