@@ -75,7 +75,8 @@ def variants_sql(source: str, column: str) -> str:
       SELECT v, explode(array_distinct(array(
         v,
         split(v, ' - ')[0],
-        regexp_replace(v, '[(\\uff08][^)\\uff09]*[)\\uff09]?\\s*$', ''),
+        split(v, '_-_')[0],
+        regexp_replace(v, '[(\\uff08][^)\\uff09]*[)\\uff09]?\\s*[a-zA-Z]?\\s*$', ''),
         regexp_extract(v, '^(?:Gives|gives) the (.+) of an? ', 1),
         regexp_extract(v, '^(?:States|states), for an? [^,]+, the (.+?)\\.?$', 1),
         regexp_extract(v, '^[^:]+: *(.+)$', 1),
