@@ -89,7 +89,15 @@ def _edges(spark, d):
     return out.distinct()
 
 
-@R.add("g03_connected_components")
+def _closure(edges: str, then: str = "SELECT node, min(other) AS component FROM r GROUP BY node") -> str:
+    """SQL of the components of an edge table: every node with every node it reaches."""
+    return f"WITH RECURSIVE x AS {edges}, e AS (SELECT src, dst FROM x UNION SELECT dst, src FROM x), r(node, other) AS (SELECT src, src FROM e UNION SELECT r.node, e.dst FROM r JOIN e ON r.other = e.src) {then}"
+
+
+_EDGES = """(SELECT DISTINCT src, dst FROM (SELECT min(base_fact_id) OVER (PARTITION BY source_id) AS src, base_fact_id AS dst FROM audit_records WHERE source_id IS NOT NULL UNION ALL SELECT min(base_fact_id) OVER (PARTITION BY split_group_id), base_fact_id FROM audit_records WHERE split_group_id IS NOT NULL) WHERE src <> dst)"""
+
+
+@R.add("g03_connected_components", _closure(_EDGES))
 def _(spark, d):
     return graph.components(_edges(spark, d))
 
@@ -125,13 +133,16 @@ def _support(spark, d):
     return c, c.join(o, "subject_type").where("m > n").select("relation_id", "donor")
 
 
-@R.add("g05_candidate_fixed_point")
+_ROUNDS = "SELECT relation_id, dense_rank() OVER (PARTITION BY subject_type ORDER BY length(relation_definition) DESC)::INT AS round FROM relation_catalog"
+
+
+@R.add("g05_candidate_fixed_point", _ROUNDS)
 def _(spark, d):
     items, donors = _support(spark, d)
     return graph.supported(items, donors, "relation_id", "donor")
 
 
-@R.add("g06_accepted_projection")
+@R.add("g06_accepted_projection", _ROUNDS)
 def _(spark, d):
     items, donors = _support(spark, d)
     return graph.supported(items, donors, "relation_id", "donor").where("round IS NOT NULL")
@@ -156,7 +167,8 @@ def _(spark, d):
     return exact_folds(sizes, "subject_type", "n", ["development", "validation", "sealed"], [0.6, 0.2, 0.2])
 
 
-@R.add("g10_component_rebuild")
+@R.add("g10_component_rebuild", _closure("(SELECT * FROM " + _EDGES + " WHERE src IN (SELECT base_fact_id FROM audit_records WHERE split_assignment IS NOT NULL) AND dst IN (SELECT base_fact_id FROM audit_records WHERE split_assignment IS NOT NULL))",
+    ", c AS (SELECT node, min(other) AS component FROM r GROUP BY node) SELECT component, count(DISTINCT node) AS facts, count(DISTINCT split_assignment) AS pins FROM c JOIN audit_records a ON a.base_fact_id = c.node WHERE split_assignment IS NOT NULL GROUP BY component"))
 def _(spark, d):
     retained = table(spark, d, "audit_records").where("split_assignment IS NOT NULL").select(F.col("base_fact_id").alias("src")).distinct()
     kept = _edges(spark, d).join(retained, "src", "left_semi").join(retained.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst")
@@ -171,7 +183,7 @@ def _(spark, d):
     return rows.groupBy("split_group_id").agg(F.count(F.lit(1)).alias("before"), F.count("split_assignment").alias("retained")).where("retained > 0")
 
 
-@R.add("g12_fact_regrouping")
+@R.add("g12_fact_regrouping", _closure(r"(SELECT * FROM (SELECT DISTINCT min(base_fact_id) OVER (PARTITION BY regexp_replace(lower(canonical_fact), '[^\p{L}\p{N}]', '', 'g')) AS src, base_fact_id AS dst FROM audit_records WHERE canonical_fact IS NOT NULL) WHERE src <> dst UNION SELECT * FROM " + _SOURCE_EDGES + ")"))
 def _(spark, d):
     rows = table(spark, d, "audit_records").select(F.col("base_fact_id").alias("node"), text.alnum_key(F.col("canonical_fact")).alias("k")).where("k IS NOT NULL").distinct()
     least = rows.groupBy("k").agg(F.min("node").alias("src"))
@@ -197,7 +209,7 @@ def _(spark, d):
     return rows.where("record_role = 'current_bundle'").join(replaced, "canonical_fact_normalized", "left_semi").select("audit_record_id")
 
 
-@R.add("g15_full_pool_projection")
+@R.add("g15_full_pool_projection", _closure(_SOURCE_EDGES, "SELECT node, min(other) AS component FROM r WHERE node IN (SELECT base_fact_id FROM audit_records WHERE split_assignment = 'validation') GROUP BY node"))
 def _(spark, d):
     parts = graph.components(_source_edges(spark, d))
     cohort = table(spark, d, "audit_records").where("split_assignment = 'validation'").select(F.col("base_fact_id").alias("node")).distinct()
