@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factaudit.llm import answer_defects, consensus, group_splits, mixing, personal_information, split_overlap, tokenizer, value_mapping, visual_form
 from factaudit.llm.fact_subject import subject_of
+from factaudit.llm.oracle import ORACLE
 from factaudit.session import cut, table
 
 
@@ -158,4 +159,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
