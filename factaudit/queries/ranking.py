@@ -57,7 +57,7 @@ def _(spark, d):
     return rows.orderBy("turn", F.sha2("s", 256), "audit_record_id").limit(100).select("audit_record_id", F.col("turn").cast("bigint").alias("rn"))
 
 
-@R.add("f06_hash_sample", "SELECT audit_record_id, (SELECT count(*) FROM audit_records) / 200.0::DOUBLE AS weight FROM audit_records ORDER BY sha256('9␟uniform␟' || audit_record_id), audit_record_id LIMIT 200")
+@R.add("f06_hash_sample", "SELECT audit_record_id, (SELECT count(*) / least(count(*), 200)::DOUBLE FROM audit_records) AS weight FROM audit_records ORDER BY sha256('9␟uniform␟' || audit_record_id), audit_record_id LIMIT 200")
 def _(spark, d):
     return ranking.hash_sample(table(spark, d, "audit_records"), ids.hash_rank("9", "uniform", F.col("audit_record_id")), "audit_record_id", 200).select("audit_record_id", "weight")
 
