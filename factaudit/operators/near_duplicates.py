@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factaudit.session import cut
+from factaudit.session import cut, spread
 
 COMPONENTS = 16
 BANDS = 8
@@ -33,7 +33,7 @@ def banded_pairs(rows: DataFrame, key: str, text: str, tokens: Column, neighbour
     """
     width = COMPONENTS // BANDS
     # Written once: the signature is read once per band.
-    signed = cut(rows.select(key, F.col(text).alias("t"), tokens.alias("tok")).where("size(tok) >= 3").select(key, "t", fast_signature(F.col("tok")).alias("sig")))
+    signed = cut(spread(rows).select(key, F.col(text).alias("t"), tokens.alias("tok")).where("size(tok) >= 3").select(key, "t", fast_signature(F.col("tok")).alias("sig")))
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(F.slice("sig", b * width + 1, width)).alias("bucket")))
     spread = signed.select(key, "t", F.explode(bands).alias("x")).select(key, "t", "x.band", "x.bucket")
     placed = spread.withColumn("rn", F.row_number().over(Window.partitionBy("band", "bucket").orderBy("t", key)))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factaudit.functions import ids, text
 from factaudit.queries.registry import Registry
-from factaudit.session import table
+from factaudit.session import spread, table
 
 R = Registry()
 queries, oracle_sql = R.queries, R.oracle_sql
@@ -227,7 +227,7 @@ def _(spark, d):
     SELECT line_number, round(len(list_intersect(tq, tf)) / len(list_distinct(list_concat(tq, tf)))::DOUBLE, 6) AS token_jaccard, round(len(list_intersect(gq, gf)) / len(list_distinct(list_concat(gq, gf)))::DOUBLE, 6) AS char_jaccard,
       round(len(list_intersect(tq, tf)) / least(len(tq), len(tf))::DOUBLE, 6) AS token_containment, round(least(length(q), length(f)) / greatest(length(q), length(f))::DOUBLE, 6) AS ratio FROM s""")
 def _(spark, d):
-    rows = table(spark, d, "audit_records").where("canonical_fact IS NOT NULL").select("line_number", text.normalize_lexical(F.col("question")).alias("q"), text.normalize_lexical(F.col("canonical_fact")).alias("f"))
+    rows = spread(table(spark, d, "audit_records").where("canonical_fact IS NOT NULL").select("line_number", "question", "canonical_fact")).select("line_number", text.normalize_lexical(F.col("question")).alias("q"), text.normalize_lexical(F.col("canonical_fact")).alias("f"))
     tq, tf, gq, gf = text.tokens(F.col("q")), text.tokens(F.col("f")), text.char_ngrams(F.col("q")), text.char_ngrams(F.col("f"))
     return rows.select("line_number", text.jaccard(tq, tf).alias("token_jaccard"), text.jaccard(gq, gf).alias("char_jaccard"), text.containment(tq, tf).alias("token_containment"), text.length_ratio(F.col("q"), F.col("f")).alias("ratio"))
 
@@ -239,7 +239,8 @@ def _(spark, d):
 def _(spark, d):
     from factaudit.operators.near_duplicates import minhash_signature
 
-    return table(spark, d, "audit_records").select("line_number", F.array_join(minhash_signature(text.tokens(F.col("question"))), ",").alias("signature"))
+    rows = spread(table(spark, d, "audit_records").select("line_number", "question"))
+    return rows.select("line_number", F.array_join(minhash_signature(text.tokens(F.col("question"))), ",").alias("signature"))
 
 
 @R.add("b29_reward", "SELECT event_id, round(ln(1 + pow(value / 100, 2) / (pow(value / 200, 2) + 0.001)) - 20 * pow(1 - value / 100, 3), 6) AS reward FROM events WHERE value IS NOT NULL")
