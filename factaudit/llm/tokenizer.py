@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factaudit.operators.skew import heavy_keys, skewed_lookup
-from factaudit.session import cut
+from factaudit.session import cut, spread
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 VOCABULARY_SETTING = "spark.factaudit.tokenizer.path"
@@ -71,7 +71,7 @@ def words_with_positions(texts: DataFrame, text_id: str, text: str) -> DataFrame
     """(id, word, positions): the distinct pre-tokens of each text and where they stand in it."""
     kind = texts.schema[text_id].dataType.simpleString()
     source = texts.select(texts[text_id].alias("id"), texts[text].alias("text")).where("text IS NOT NULL AND text <> ''")
-    return source.mapInPandas(_words_of_batches, f"id {kind}, word string, positions array<int>")
+    return spread(source).mapInPandas(_words_of_batches, f"id {kind}, word string, positions array<int>")
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
