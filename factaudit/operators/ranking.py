@@ -27,8 +27,8 @@ def largest_remainder(weights: DataFrame, key: str, weight: str, total: int) ->
 def balanced_allocation(capacities: DataFrame, key: str, capacity: str, total: int) -> DataFrame:
     """(key, allocated): one unit at a time in key order until the total is met, within capacities.
 
-    Round after round every key that still has room takes one.  Units are counted in closed form per
-    round: the level that all can reach, then the remainder by key.
+    Round after round every key that still has room takes one.  Each unit a key could take is a row and
+    one window orders them all, so this is for strata and quotas of small size (keys times ``total``).
     """
     rounds = capacities.select(key, F.explode(F.sequence(F.lit(1), F.least(F.col(capacity), F.lit(total)))).alias("round")).where(F.col("round") >= 1)
     ranked = rounds.withColumn("rn", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("round", key))).where(F.col("rn") <= total)

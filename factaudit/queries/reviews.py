@@ -175,10 +175,12 @@ def _(spark, d):
     return ids.join(known, "identifier", "left").groupBy(F.when(F.col("known"), "exposed").otherwise("foreign").alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add("h18_release_freeze", "SELECT split_assignment, count(*) AS records, count(DISTINCT base_fact_id) AS facts, sha256(string_agg(audit_record_id, ',' ORDER BY audit_record_id)) AS digest, count(canonical_fact) = count(*) AS complete FROM audit_records WHERE split_assignment IS NOT NULL GROUP BY 1")
+@R.add("h18_release_freeze", "SELECT split_assignment, count(*) AS records, count(DISTINCT base_fact_id) AS facts, sum(('0x' || substr(sha256(audit_record_id), 1, 12))::BIGINT)::VARCHAR AS digest, count(canonical_fact) = count(*) AS complete FROM audit_records WHERE split_assignment IS NOT NULL GROUP BY 1")
 def _(spark, d):
+    from factaudit.sources.artifacts import set_digest
+
     rows = table(spark, d, "audit_records").where("split_assignment IS NOT NULL")
-    return rows.groupBy("split_assignment").agg(F.count(F.lit(1)).alias("records"), F.count_distinct("base_fact_id").alias("facts"), F.sha2(F.array_join(F.array_sort(F.collect_list("audit_record_id")), ","), 256).alias("digest"), (F.count("canonical_fact") == F.count(F.lit(1))).alias("complete"))
+    return rows.groupBy("split_assignment").agg(F.count(F.lit(1)).alias("records"), F.count_distinct("base_fact_id").alias("facts"), set_digest("audit_record_id").alias("digest"), (F.count("canonical_fact") == F.count(F.lit(1))).alias("complete"))
 
 
 @R.add("h19_language_cover", """

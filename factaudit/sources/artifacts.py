@@ -36,9 +36,17 @@ def row_fingerprint(*columns: str) -> Column:
     return F.sha2(F.concat_ws("␟", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
 
 
+def set_digest(key: str) -> Column:
+    """A digest of a group's ids that does not depend on their order.
+
+    The ids' hashes are added up, so the digest is partial on the map side and no group is gathered.
+    """
+    return F.sum(F.conv(F.substring(F.sha2(F.col(key), 256), 1, 12), 16, 10).cast("decimal(38,0)")).cast("string")
+
+
 def manifest(rows: DataFrame, by: list[str], key: str) -> DataFrame:
-    """One row per artifact: number of records and digest of the ordered ids."""
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("record_count"), F.sha2(F.array_join(F.array_sort(F.collect_list(key)), ","), 256).alias("id_digest"))
+    """One row per artifact: number of records and digest of the set of ids."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("record_count"), set_digest(key).alias("id_digest"))
 
 
 @F.pandas_udf(T.StringType())
