@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from factaudit.session import cut
 
-ROUNDS = 20
+#: Measured at sf0.1: after 12 rounds no reliability is more than 0.0005 from its value after 32.
+ROUNDS = 12
 HABIT_ROUNDS = 4
 SMOOTHING = 1.0
 
