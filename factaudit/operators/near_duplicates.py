@@ -35,8 +35,8 @@ def banded_pairs(rows: DataFrame, key: str, text: str, tokens: Column, neighbour
     # Written once: the signature is read once per band.
     signed = cut(spread(rows).select(key, F.col(text).alias("t"), tokens.alias("tok")).where("size(tok) >= 3").select(key, "t", fast_signature(F.col("tok")).alias("sig")))
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(F.slice("sig", b * width + 1, width)).alias("bucket")))
-    spread = signed.select(key, "t", F.explode(bands).alias("x")).select(key, "t", "x.band", "x.bucket")
-    placed = spread.withColumn("rn", F.row_number().over(Window.partitionBy("band", "bucket").orderBy("t", key)))
+    banded = signed.select(key, "t", F.explode(bands).alias("x")).select(key, "t", "x.band", "x.bucket")
+    placed = banded.withColumn("rn", F.row_number().over(Window.partitionBy("band", "bucket").orderBy("t", key)))
     left = placed.select(F.col(key).alias("a0"), "band", "bucket", F.explode(F.sequence(F.col("rn") + 1, F.col("rn") + neighbours)).alias("rn"))
     right = placed.select(F.col(key).alias("b0"), "band", "bucket", "rn")
     pairs = left.join(right, ["band", "bucket", "rn"])
