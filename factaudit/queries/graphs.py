@@ -23,13 +23,14 @@ def _texts(spark, d):
 @R.add("d11_lsh_blocked_pairs")
 def _(spark, d):
     """Near-duplicate questions: pairs of class representatives with their measured similarity."""
-    texts = cut(_texts(spark, d).withColumn("tok", text.tokens(F.col("t"))).withColumn("grams", text.char_ngrams(F.col("t"))))
-    pairs = near_duplicates.banded_pairs(texts, "id", "t", F.col("tok"))
-    side = lambda n: texts.select(F.col("id").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in ("t", "tok", "grams")])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    token, grams = (F.col("a_tok"), F.col("b_tok")), (F.col("a_grams"), F.col("b_grams"))
-    scored = both.select("a", "b", F.greatest(text.jaccard(*token), text.jaccard(*grams)).alias("similarity"), text.containment(*token).alias("containment"), text.length_ratio(F.col("a_t"), F.col("b_t")).alias("ratio"))
-    return scored.where("ratio >= 0.5 AND (similarity >= 0.8 OR (containment >= 0.9 AND ratio >= 0.6))")
+    texts = _texts(spark, d).withColumn("tok", text.tokens(F.col("t")))
+    return near_duplicates.banded_pairs(texts, "id", "t", F.col("tok"))
+
+
+@R.add("d11_bucket_members")
+def _(spark, d):
+    """The bucket of every band each question is in."""
+    return near_duplicates.band_members(_texts(spark, d), "id", text.tokens(F.col("t")))
 
 
 @R.add("d12_spanning_pairs", "SELECT canonical_fact_normalized AS fact, lag(audit_record_id) OVER w AS a, audit_record_id AS b FROM audit_records WHERE canonical_fact_normalized IS NOT NULL WINDOW w AS (PARTITION BY canonical_fact_normalized ORDER BY line_number, audit_record_id) QUALIFY lag(audit_record_id) OVER w IS NOT NULL")

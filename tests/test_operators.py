@@ -100,3 +100,26 @@ def test_greedy_splits_refuse_unbounded_input(spark):
     assert got == {"a": "dev", "b": "val", "c": "val"}
     with pytest.raises(ValueError):
         graph.greedy_splits(sizes, "k", "n", {"dev": 1.0}, limit=2)
+
+
+def test_banded_pairs_of_a_hot_bucket_and_near_pairs_against_brute_force(spark):
+    r = random.Random(7)
+    frame_words = "according to the 1894 survey name the channel length recorded for the great river".split()
+    names = ["".join(r.choice(["za", "vo", "mi", "kre", "tul", "ba"]) for _ in range(4)) for _ in range(90)]
+    texts = [(f"n{i}", " ".join([*frame_words, n])) for i, n in enumerate(names)] + [(f"m{i}", " ".join(["quick check", *frame_words, n])) for i, n in enumerate(names)]
+    texts += [(f"s{i}", f"opening year of {n} {names[-i]}") for i, n in enumerate(names[:30])] + [(f"u{i}", f"openning year off {n} {names[-i]}") for i, n in enumerate(names[:30])]
+    frame = spark.createDataFrame(texts, "id string, t string")
+
+    def near(a, b):
+        wa, wb, ga, gb = *(set(x.split()) for x in (a, b)), *({f"  {x}  "[i : i + 3] for i in range(len(x) + 2)} for x in (a, b))
+        ratio, same = min(len(a), len(b)) / max(len(a), len(b)), len(wa & wb)
+        return ratio >= 0.5 and (max(same / len(wa | wb), len(ga & gb) / len(ga | gb)) >= 0.8 or ratio >= 0.6 and same / min(len(wa), len(wb)) >= 0.9)
+
+    due = {(min(i, j), max(i, j)) for k, (i, a) in enumerate(texts) for j, b in texts[k + 1 :] if near(a, b)}
+    words = text.tokens(F.col("t"))
+    assert {(x.a, x.b) for x in near_duplicates.near_pairs(frame, "id", "t", words).collect()} == due
+    members = {}
+    for x in near_duplicates.band_members(frame, "id", words).collect():
+        members.setdefault(x.id, set()).add((x.band, x.bucket))
+    got = {(x.a, x.b) for x in near_duplicates.banded_pairs(frame, "id", "t", words).collect()}
+    assert got == {p for p in due if members[p[0]] & members[p[1]]} and len(got) > 24 * 180
