@@ -6,9 +6,11 @@ whose merged spans cover enough of the shorter text are checked word by word.
 
 What must be equal (value and years) is the routing key: it picks the shard, so a text meets only the
 shard it can have partners in and the work grows with the data.  What is indexed of a wording are the
-words that tell it from others - those that fewer than one text in ``COMMON_SHARE`` has, or all its
-words where none is rare - in alphabetical order, so that turned wordings read alike; the check reads
-all words.  Texts are indexed once per distinct wording.  A key
+words that tell it from others - those that fewer than one text in ``COMMON_SHARE`` has - in
+alphabetical order, so that turned wordings read alike; the check reads all words.  Rare words that may
+be slips of common ones tell nothing: a wording with fewer than ``SOLID_WORDS`` others (a hot subject, or
+no rare word) is searched with all its words, and against all words of every wording of its key.  No
+match is passed over for being wide.  Texts are indexed once per distinct wording.  A key
 with more wordings than fit one shard is dealt over a grid of blocks: its evaluation wordings are cut
 into blocks, its training wordings into blocks, and each cell of the grid is a shard of its own.
 
@@ -19,10 +21,13 @@ that come twice are rows of their own.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factaudit.llm.fact_subject import KINDS, plain_words
 from factaudit.llm.fm_index import BackwardIndex, maximal_matches
@@ -38,10 +43,11 @@ FRAME_WORDS = (
 YEAR = r"^(1[0-9]|20)\d\d$"
 LEAST_MATCH = 5
 LEAST_COVER = 0.4
-WIDE_MATCH = 64
 SHARD_WORDINGS = 6000
 #: A word is common when more than one text in so many has it, and at least COMMON_LEAST texts do.
 COMMON_SHARE, COMMON_LEAST = 500, 50
+#: Rare words that are no slip of a common one, and their letters, that a wording must have to be searched by its rare words.
+SOLID_WORDS, SOLID_LETTERS = 2, 2 * LEAST_MATCH
 STREAMED = 1000
 
 
@@ -79,6 +85,36 @@ def common_words(texts: DataFrame) -> list[str]:
     return [r["word"] for r in counts.where(F.col("n") > max(COMMON_LEAST, total / COMMON_SHARE)).collect()]
 
 
+def _spoilt(word: str, most: int) -> set[str]:
+    """The word with up to ``most`` letters taken out: words within so many edits have one in common."""
+    out = level = {word}
+    for _ in range(most):
+        level = {w[:i] + w[i + 1 :] for w in level for i in range(len(w))}
+        out = out | level
+    return out
+
+
+def lacks_solid_words(words: Column, common: list[str]) -> Column:
+    """Whether a wording has too few rare words that are no slip of a common or framing word."""
+    usual = set(common)
+    near = {x for w in {*common, *FRAME_WORDS} for x in _spoilt(w, _slips(w))}
+
+    @F.pandas_udf(T.BooleanType())
+    def lacks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        solid: dict[str, int] = {}
+        for batch in batches:
+            out = []
+            for ws in batch:
+                for w in ws:
+                    if w not in solid:
+                        solid[w] = 0 if w in usual or not near.isdisjoint(_spoilt(w, _slips(w))) else len(w)
+                letters = [solid[w] for w in ws if solid[w]]
+                out.append(len(letters) < SOLID_WORDS or sum(letters) < SOLID_LETTERS)
+            yield pd.Series(out, dtype=bool)
+
+    return lacks(words)
+
+
 def _close(a: str, b: str, most: int) -> bool:
     """Whether a takes at most ``most`` edits to b, a swap of neighbours being one."""
     if abs(len(a) - len(b)) > most:
@@ -134,28 +170,19 @@ def same_wording(a: str, b: str, value_a: str = "", value_b: str = "", known: di
     return bool(rest[0] and rest[1]) and _close("".join(rest[0]), "".join(rest[1]), 1)
 
 
-def _search_shard(shard: pd.DataFrame) -> pd.DataFrame:
-    """(a, b): wordings of the two sides that pass the check, within one shard."""
-    evaluation, training = shard[~shard["training"]], shard[shard["training"]]
-    nothing = pd.DataFrame({"a": np.zeros(0, dtype=np.int64), "b": np.zeros(0, dtype=np.int64)})
-    # A text whose key has no partner in the shard can have none in the data.
-    routed = set(evaluation["routed"]) & set(training["routed"])
-    evaluation = evaluation[evaluation["routed"].isin(routed)].reset_index(drop=True)
-    training = training[training["routed"].isin(routed)].reset_index(drop=True)
+def _search(evaluation: pd.DataFrame, training: pd.DataFrame, column: str, known: dict, out_a: list, out_b: list) -> None:
+    """Add the wordings of the two sides that match in ``column`` and pass the check."""
     if evaluation.empty or training.empty:
-        return nothing
-    # Questions and facts of one key are told apart as well.
-    key_e = evaluation["routed"].to_numpy() ^ evaluation["kind"].eq("f").to_numpy()
-    key_t = training["routed"].to_numpy() ^ training["kind"].eq("f").to_numpy()
-    index = BackwardIndex(evaluation["content"].tolist(), key_e)
-    size_e, size_t = evaluation["content"].str.len().to_numpy(), training["content"].str.len().to_numpy()
+        return
+    key_e, key_t = evaluation["key"].to_numpy(), training["key"].to_numpy()
+    index = BackwardIndex(evaluation[column].tolist(), key_e)
+    size_e, size_t = evaluation[column].str.len().to_numpy(), training[column].str.len().to_numpy()
     ordered_e, ordered_t = evaluation["ordered"].tolist(), training["ordered"].tolist()
     value_e, value_t = evaluation["value"].tolist(), training["value"].tolist()
     id_e, id_t = evaluation["wording"].to_numpy(), training["wording"].to_numpy()
-    out_a, out_b, known = [], [], {}
-    texts = training["content"].tolist()
+    texts = training[column].tolist()
     for begin in range(0, len(texts), STREAMED):
-        t, s, e, doc = maximal_matches(index, texts[begin : begin + STREAMED], key_t[begin : begin + STREAMED], LEAST_MATCH, WIDE_MATCH)
+        t, s, e, doc = maximal_matches(index, texts[begin : begin + STREAMED], key_t[begin : begin + STREAMED], LEAST_MATCH, index.size)
         if not len(t):
             continue
         t += begin
@@ -175,6 +202,26 @@ def _search_shard(shard: pd.DataFrame) -> pd.DataFrame:
             if same_wording(ordered_t[i], ordered_e[j], value_t[i], value_e[j], known):
                 out_a.append(id_t[i])
                 out_b.append(id_e[j])
+
+
+def _search_shard(shard: pd.DataFrame) -> pd.DataFrame:
+    """(a, b): wordings of the two sides that pass the check, within one shard."""
+    evaluation, training = shard[~shard["training"]], shard[shard["training"]]
+    nothing = pd.DataFrame({"a": np.zeros(0, dtype=np.int64), "b": np.zeros(0, dtype=np.int64)})
+    # A text whose key has no partner in the shard can have none in the data.
+    routed = set(evaluation["routed"]) & set(training["routed"])
+    evaluation = evaluation[evaluation["routed"].isin(routed)].reset_index(drop=True)
+    training = training[training["routed"].isin(routed)].reset_index(drop=True)
+    if evaluation.empty or training.empty:
+        return nothing
+    # Questions and facts of one key are told apart as well.
+    for side in (evaluation, training):
+        side["key"] = side["routed"].to_numpy() ^ side["kind"].eq("f").to_numpy()
+    # Wordings without solid words meet all of their key, with all words; the others meet by their rare words.
+    out_a, out_b, known = [], [], {}
+    for e, t, column in ((~evaluation["weak"], ~training["weak"], "content"), (evaluation["weak"], training["key"].notna(), "full"), (~evaluation["weak"], training["weak"], "full")):
+        shared = set(evaluation["key"][e]) & set(training["key"][t])
+        _search(evaluation[e & evaluation["key"].isin(shared)], training[t & training["key"].isin(shared)], column, known, out_a, out_b)
     return pd.DataFrame({"a": np.array(out_a, dtype=np.int64), "b": np.array(out_b, dtype=np.int64)})
 
 
@@ -185,10 +232,11 @@ def overlapping_pairs(rows: DataFrame, record_id: str, question: str, fact: str,
     texts = cut(texts.withColumn("wording", F.xxhash64("kind", "routed", F.array_join("words", " "))))
     common = common_words(texts)
     rare = F.filter("words", lambda w: ~w.isin(*common)) if common else F.col("words")
-    texts = texts.withColumn("content", F.array_join(F.when(F.size(rare) > 0, rare).otherwise(F.col("words")), " "))
-    distinct = cut(texts.groupBy("wording", "training").agg(
-        F.first("routed").alias("routed"), F.first("kind").alias("kind"), F.first("content").alias("content"),
-        F.min("ordered").alias("ordered"), F.min("value").alias("value")))
+    distinct = texts.groupBy("wording", "training").agg(
+        F.first("routed").alias("routed"), F.first("kind").alias("kind"), F.first("words").alias("words"),
+        F.min("ordered").alias("ordered"), F.min("value").alias("value"))
+    distinct = cut(distinct.withColumn("weak", lacks_solid_words(F.col("words"), common)).select(
+        "wording", "training", "routed", "kind", "ordered", "value", "weak", F.array_join("words", " ").alias("full"), F.array_join(rare, " ").alias("content")))
     # Only keys seen on both sides can give pairs.
     keys = cut(distinct.groupBy("routed").agg(
         F.sum(F.col("training").cast("bigint")).alias("nt"), F.sum((~F.col("training")).cast("bigint")).alias("ne")).where("nt > 0 AND ne > 0"))

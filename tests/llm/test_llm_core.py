@@ -101,6 +101,19 @@ def test_overlaps_and_their_limits(spark):
     assert overlap(spark, rows[:1]) == set()
 
 
+def test_overlaps_of_a_hot_subject(spark):
+    q = "what is the melting point of zanuter vomilo"
+    rows = [(f"hot{i}", f"{q} nr{i}", None, f"{i} degrees", "development", 1) for i in range(60)]
+    rows += [
+        ("a", q.replace("point", "pont"), None, "12 crowns", "development", 1),
+        ("b", q, None, "12 crowns", "validation", 1),
+        ("c", f"{q} reccoded", None, "12 crowns", "sealed", 1),
+        ("d", q.replace("vomilo", "kribara"), None, "12 crowns", "validation", 1),
+        ("e", q.replace("zanuter", "zanutre"), None, "12 crowns", "validation", 1),
+    ]
+    assert overlap(spark, rows) == {("a", "b"), ("a", "c"), ("a", "e")}
+
+
 # 3 ---------------------------------------------------------------------------------------------
 def test_divided_records_against_union_find(spark):
     r = random.Random(3)
