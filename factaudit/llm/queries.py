@@ -102,7 +102,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = _visual_values(spark, sf_dir)
-    return visual_form.canonical_values(values.withColumn("value", F.split("value", "\n")), "value", "canonical").select(
+    return visual_form.canonical_values(values.withColumn("value", F.split("value", "\n")), "value", "canonical", "context").select(
         "table_name", "line_number", "field_name", "canonical")
 
 

@@ -1,7 +1,7 @@
 """Bringing text that looks the same to one form, and finding text written with other characters.
 
 The form is NFKC, then look-alike letters of another alphabet replaced inside words of the main
-alphabet, white space mapped to single spaces, default-ignorable characters removed, and full case
+alphabet and in words wholly of look-alikes that imitate a word of their context, white space mapped to single spaces, default-ignorable characters removed, and full case
 folding.  The work is done once per distinct value of an Arrow batch, so hot values cost little and
 nothing is shuffled.
 
@@ -72,16 +72,38 @@ def _bare(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text).casefold() if not unicodedata.combining(c))
 
 
-def canonical_form(text: str | None) -> str | None:
-    """One consistent form of a text (see the module)."""
+def _imitated(word: str) -> str | None:
+    """The Latin look of a word wholly of another alphabet, or None where it has none."""
+    kinds = {_alphabet(c) for c in word}
+    if "other" not in kinds or "latin" in kinds or (len(word) == 1 and word in "αβγδεικνορυμπσω"):
+        return None
+    return _to_latin(word)
+
+
+def _visible(text: str) -> str:
+    return unicodedata.normalize("NFKC", IGNORABLE.sub("", text))
+
+
+def _context_words(context: str | None) -> set[str]:
+    """The words of a context by their look, as written and without what is invisible."""
+    return {_bare(m.group()) for t in (context or "", _visible(context or "")) for m in CODE_OR_WORD.finditer(t)}
+
+
+def canonical_form(text: str | None, context: str | None = None) -> str | None:
+    """One consistent form of a text (see the module); ``context`` tells which Latin words it may imitate."""
     if text is None:
         return None
-    text = unicodedata.normalize("NFKC", IGNORABLE.sub("", text))
+    text = _visible(text)
+    known: set[str] | None = None
 
     def word(m: re.Match) -> str:
         kinds = {_alphabet(c) for c in m.group()}
         if "other" in kinds and "latin" in kinds:
             return _to_latin(m.group()) or m.group()
+        if context and (latin := _imitated(m.group())):
+            nonlocal known
+            known = _context_words(context) if known is None else known
+            return latin if _bare(latin) in known else m.group()
         return m.group()
 
     if OTHER_LETTER.search(text):
@@ -118,15 +140,7 @@ def imitated_words(text: str | None) -> list[str]:
     """Words wholly of another alphabet that read as Latin words, in their Latin look."""
     if not text or not OTHER_LETTER.search(text):
         return []
-    found = []
-    for m in CODE_OR_WORD.finditer(text):
-        w = m.group()
-        if any(_alphabet(c) == "other" for c in w) and not any(_alphabet(c) == "latin" for c in w):
-            if len(w) == 1 and w in "αβγδεικνορυμπσω":
-                continue
-            if latin := _to_latin(w):
-                found.append(_bare(latin))
-    return found
+    return [_bare(latin) for m in CODE_OR_WORD.finditer(text) if (latin := _imitated(m.group()))]
 
 
 def _distinct(f):
@@ -139,9 +153,24 @@ def _distinct(f):
     return run
 
 
+class _Forms(dict):
+    """Forms by value, worked out once; values with letters of other alphabets by value and context."""
+
+    def of(self, value: str | None, context: str | None) -> str | None:
+        if value not in self:
+            self[value] = None if value and OTHER_LETTER.search(_visible(value)) else canonical_form(value)
+        if value is None or self[value] is not None:
+            return self[value]
+        at = (value, context)
+        if at not in self:
+            self[at] = canonical_form(value, context)
+        return self[at]
+
+
 @F.pandas_udf(T.StringType())
-def canonical(values: pd.Series) -> pd.Series:
-    return _distinct(canonical_form)(values)
+def canonical(values: pd.Series, context: pd.Series) -> pd.Series:
+    forms = _Forms()
+    return pd.Series([None if v is None else forms.of(v, c) for v, c in zip(values, context)], dtype="object")
 
 
 @F.pandas_udf(T.BooleanType())
@@ -169,15 +198,17 @@ def looks_alike(value: Column, context: Column) -> Column:
     return variant_characters(value) | imitates(value, context)
 
 
-def canonical_values(rows: DataFrame, column: str, into: str) -> DataFrame:
-    """``rows`` with the canonical form of a string column (arrays: element by element, in order)."""
-    kind = rows.schema[column].dataType
-    if isinstance(kind, T.ArrayType):
-        return rows.withColumn(into, _canonical_array(rows[column]))
-    return rows.withColumn(into, canonical(rows[column]))
+def canonical_values(rows: DataFrame, column: str, into: str, context: str | None = None) -> DataFrame:
+    """``rows`` with the canonical form of a string column (arrays: element by element, in order).
+
+    Words wholly of look-alikes are brought to Latin where the ``context`` column has the word they imitate.
+    """
+    said = F.lit(None).cast("string") if context is None else rows[context]
+    form = _canonical_array if isinstance(rows.schema[column].dataType, T.ArrayType) else canonical
+    return rows.withColumn(into, form(rows[column], said))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def _canonical_array(values: pd.Series) -> pd.Series:
-    forms = {v: canonical_form(v) for v in {v for a in values if a is not None for v in a}}
-    return values.map(lambda a: None if a is None else [forms[v] for v in a])
+def _canonical_array(values: pd.Series, context: pd.Series) -> pd.Series:
+    forms = _Forms()
+    return pd.Series([None if a is None else [forms.of(v, c) for v in a] for a, c in zip(values, context)], dtype="object")

@@ -195,6 +195,15 @@ def test_imitation_needs_its_context(spark):
     assert [r.f for r in rows.select(visual_form.looks_alike(F.col("v"), F.col("c")).alias("f")).collect()] == [True, False, False, False]
 
 
+def test_wholly_imitated_words_take_the_form_of_their_context(spark):
+    rows = [(["МТХ-283", "ВКМ448", "x"], "MTX-283 and BKM448"), (["МТХ-283"], "Tisomil"), (["Гашязу β", None], "b"), (None, "MTX")]
+    frame = spark.createDataFrame(rows, "v array<string>, c string")
+    assert [r.f for r in visual_form.canonical_values(frame, "v", "f", "c").collect()] == [["mtx-283", "bkm448", "x"], ["мтх-283"], ["гашязу β", None], None]
+    single = frame.select(F.col("v")[0].alias("v"), "c")
+    assert [r.f for r in visual_form.canonical_values(single, "v", "f", "c").collect()] == ["mtx-283", "мтх-283", "гашязу β", None]
+    assert visual_form.canonical_form("М\u200bТХ", "MTX") == "mtx" and visual_form.canonical_form("МТХ") == "мтх"
+
+
 # 6 ---------------------------------------------------------------------------------------------
 def test_values_find_their_entry(spark):
     references = spark.createDataFrame([("melting_point", "melting point"), ("melting_point", "熔点"), ("source_lake", "source lake"), ("first_navigation", "year of first navigation")], "entry string, reference string")
