@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factaudit.functions.text import char_ngrams, containment, jaccard, length_ratio
+from factaudit.functions.text import tokens as tokens_of
 from factaudit.session import cut, spread
 
 COMPONENTS = 16
@@ -51,12 +52,19 @@ def banded_pairs(rows: DataFrame, key: str, text: str, tokens: Column) -> DataFr
     pairs come from that exact join, so a hot bucket is never enumerated.  Texts with fewer than three
     distinct tokens take no part.
     """
-    near = cut(near_pairs(rows.where(F.size(tokens) >= 3), key, text, tokens))
+    eligible = rows.where(F.size(tokens) >= 3)
+    near = with_shared_band(near_pairs(eligible, key, text, tokens), eligible, key, tokens)
+    return near.where("shared_band").drop("shared_band")
+
+
+def with_shared_band(near: DataFrame, rows: DataFrame, key: str, tokens: Column) -> DataFrame:
+    """``near`` with ``shared_band``: whether the texts of a and b, both of three tokens or more, share a band."""
+    near = cut(near)
     ends = near.select(F.col("a").alias(key)).unionByName(near.select(F.col("b").alias(key))).distinct()
-    signed = cut(rows.join(ends, key, "left_semi").select(key, fast_signature(tokens).alias("sig")))
+    signed = cut(rows.join(ends, key, "left_semi").select(key, F.when(F.size(tokens) >= 3, fast_signature(tokens)).alias("sig")))
     both = near.join(signed.select(F.col(key).alias("a"), F.col("sig").alias("sig_a")), "a").join(signed.select(F.col(key).alias("b"), F.col("sig").alias("sig_b")), "b")
     shared = F.exists(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda x: _bucket(F.col("sig_a"), x) == _bucket(F.col("sig_b"), x))
-    return both.where(shared).select(near.columns)
+    return both.select(*near.columns, F.coalesce(shared & F.col("sig_a").isNotNull() & F.col("sig_b").isNotNull(), F.lit(False)).alias("shared_band"))
 
 
 def _slots(items: Column) -> Column:
@@ -113,7 +121,7 @@ def near_pairs(rows: DataFrame, key: str, text: str, tokens: Column, side: Colum
 
     Near: the shorter text has at least half the length of the longer, and tokens or character n-grams
     have a similarity of 0.8, or one holds 0.9 of the other's tokens at a length ratio of 0.6.  With
-    ``side`` (a boolean) only pairs of different sides are formed.
+    ``side`` (a boolean) only pairs that hold a key of that side are formed.
 
     Sets that share so much share one of their rarest items (prefix filter: in a common order of all
     items, the smaller set's first ``n - 8n/9 + 1`` and the larger's first ``n - 4n/5 + 1`` meet; for
@@ -141,7 +149,7 @@ def near_pairs(rows: DataFrame, key: str, text: str, tokens: Column, side: Colum
         f"{differ} <= x_size - ({least})", f"rule = 'c' OR {back} <= y_size - ({least})",
     ]
     if side is not None:
-        meet.insert(0, "x_side <> y_side")
+        meet.insert(0, "x_side OR y_side")
     met = half(False, "x").join(half(True, "y"), ["rule", "item", "salt"]).where(" AND ".join(f"({m})" for m in meet))
     met = met.selectExpr("least(x_n, y_n) AS p", "greatest(x_n, y_n) AS q").distinct()
     end = lambda n, p: texts.select(F.col("n").alias(n), *[F.col(c).alias(f"{p}_{c}") for c in ("id", "t", "tok", "grams")])
@@ -153,6 +161,38 @@ def near_pairs(rows: DataFrame, key: str, text: str, tokens: Column, side: Colum
     return scored.where("ratio >= 0.5 AND (similarity >= 0.8 OR (containment >= 0.9 AND ratio >= 0.6))")
 
 
+def screened_pairs(rows: DataFrame, key: str, side: str, texts: dict[str, str], values: str) -> DataFrame:
+    """(a, b, match_types, banded), a < b: pairs of a row of ``side`` (a boolean) with any other row that match.
+
+    ``texts`` names text columns by kind: equal texts match as kind_exact, near ones (``near_pairs``, no
+    bands) as kind_near; a value both rows have in the array ``values`` matches as value_exact.  ``banded``
+    is whether a near match of the first kind is one that ``banded_pairs`` gives.  Empty and null texts
+    and values match nothing.  The result has every pair: a value that many rows have gives the product.
+    """
+    found, first = [], next(iter(texts))
+
+    def meet(left: DataFrame, right: DataFrame, on: str, kind: str) -> None:
+        met = left.select(on, F.col(key).alias("x"), *[c for c in left.columns if c == "shared_band"]).join(right.select(on, F.col(key).alias("y")), on).where("x <> y")
+        banded = F.col("shared_band") if "shared_band" in left.columns and kind == f"{first}_near" else F.lit(False)
+        found.append(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(kind).alias("kind"), banded.alias("banded")))
+
+    for kind, column in texts.items():
+        own = rows.where(F.col(column) != "").select(key, side, F.col(column).alias("t"))
+        least = cut(own.groupBy("t").agg(F.min(key).alias("rep"), F.bool_or(side).alias("side"))).withColumn("tok", tokens_of(F.col("t")))
+        members = cut(own.join(least.select("t", "rep"), "t").select(key, side, "rep"))
+        mine = members.where(side)
+        meet(mine, members, "rep", f"{kind}_exact")
+        near = cut(with_shared_band(near_pairs(least, "rep", "t", F.col("tok"), F.col("side")), least, "rep", F.col("tok")))
+        links = near.select(F.col("a").alias("rep"), F.col("b").alias("other"), "shared_band").unionByName(near.select(F.col("b").alias("rep"), F.col("a").alias("other"), "shared_band"))
+        meet(mine.join(links, "rep").select(key, F.col("other").alias("rep"), "shared_band"), members, "rep", f"{kind}_near")
+    each = rows.select(key, side, F.explode(F.array_distinct(values)).alias("v")).where("v <> ''")
+    meet(each.where(side), each, "v", "value_exact")
+    every = found[0]
+    for one in found[1:]:
+        every = every.unionByName(one)
+    return every.groupBy("a", "b").agg(F.array_sort(F.collect_set("kind")).alias("match_types"), F.bool_or("banded").alias("banded"))
+
+
 def spanning_pairs(rows: DataFrame, group: str, key: str, order: str) -> DataFrame:
     """(group, a, b): a chain through each group in order: n - 1 pairs that connect n members."""
     w = Window.partitionBy(group).orderBy(order, key)

@@ -210,6 +210,17 @@ def _(spark, d):
     return rows.where("record_role = 'current_bundle'").join(replaced, "canonical_fact_normalized", "left_semi").select("audit_record_id")
 
 
+@R.add("g14_replacement_pairs")
+def _(spark, d):
+    """Replaced facts against all rows: every pair that matches, and whether d11 has it as a near question."""
+    aliases = F.transform(F.concat(F.array("answer"), F.coalesce("answer_aliases", F.array().cast("array<string>"))), text.normalize_text)
+    rows = table(spark, d, "audit_records").select(
+        "audit_record_id", (F.col("record_role") == "comparison_canonical").alias("replaced"), text.normalize_lexical(F.col("question")).alias("question"),
+        text.normalize_lexical(F.col("canonical_fact")).alias("fact"), aliases.alias("aliases"))
+    pairs = near_duplicates.screened_pairs(rows, "audit_record_id", "replaced", {"question": "question", "fact": "fact"}, "aliases")
+    return pairs.select("a", "b", F.array_join("match_types", "|").alias("match_types"), F.col("banded").alias("in_d11"))
+
+
 @R.add("g15_full_pool_projection", _closure(_SOURCE_EDGES, "SELECT node, min(other) AS component FROM r WHERE node IN (SELECT base_fact_id FROM audit_records WHERE split_assignment = 'validation') GROUP BY node"))
 def _(spark, d):
     parts = graph.components(_source_edges(spark, d))

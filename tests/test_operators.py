@@ -123,3 +123,21 @@ def test_banded_pairs_of_a_hot_bucket_and_near_pairs_against_brute_force(spark):
         members.setdefault(x.id, set()).add((x.band, x.bucket))
     got = {(x.a, x.b) for x in near_duplicates.banded_pairs(frame, "id", "t", words).collect()}
     assert got == {p for p in due if members[p[0]] & members[p[1]]} and len(got) > 24 * 180
+
+
+def test_screened_pairs_list_every_match_of_a_replaced_row(spark):
+    rows = [
+        ("r1", True, "name the channel length of the river zanter vomilo", "fact one of zanter vomilo here", ["12 km", ""]),
+        ("c1", False, "quick check name the channel length of the river zanter vomilo", "x", ["13 km"]),
+        ("c2", False, "name the channel length of the river zanter vomilo", "y", ["14 km", "twelve"]),
+        ("c3", False, "unlike", "fact one of zanter vomilo hare", ["15 km"]),
+        ("c4", False, "other", "fact one of zanter vomilo hare", ["12 km"]),
+        ("c5", False, "other", "", ["15 km"]),
+        ("r2", True, None, None, ["twelve", None]),
+    ]
+    frame = spark.createDataFrame(rows, "id string, replaced boolean, q string, f string, v array<string>")
+    got = {(x.a, x.b): (x.match_types, x.banded) for x in near_duplicates.screened_pairs(frame, "id", "replaced", {"question": "q", "fact": "f"}, "v").collect()}
+    assert {k: v[0] for k, v in got.items()} == {
+        ("c1", "r1"): ["question_near"], ("c2", "r1"): ["question_exact"], ("c3", "r1"): ["fact_near"], ("c4", "r1"): ["fact_near", "value_exact"], ("c2", "r2"): ["value_exact"]}
+    given = {(x.a, x.b) for x in near_duplicates.banded_pairs(frame.where("id IN ('r1', 'c1')"), "id", "q", text.tokens(F.col("q"))).collect()}
+    assert got["c1", "r1"][1] == (("c1", "r1") in given) and not got["c3", "r1"][1]
