@@ -294,6 +294,15 @@ def _(spark, d):
     return translation_prompts(rows, "lang", "head").select("doc_id", "prompt")
 
 
+@R.add("b34_whole_prompts", """
+    SELECT doc_id, CASE lang WHEN 'zh' THEN '请翻译：' WHEN 'de' THEN 'Bitte übersetzen: ' WHEN 'fr' THEN 'Veuillez traduire : ' WHEN 'es' THEN 'Por favor, traduzca: ' ELSE 'Please translate: ' END || text AS prompt FROM documents WHERE text IS NOT NULL""")
+def _(spark, d):
+    """As b34_prompt_templates, whose SQL holds it to the first 80 characters, with the whole text."""
+    from factaudit.operators.prompts import translation_prompts
+
+    return translation_prompts(table(spark, d, "documents").where("text IS NOT NULL"), "lang", "text").select("doc_id", "prompt")
+
+
 @R.add("b35_prompt_leak_check", r"""
     SELECT line_number, len(list_filter(list_distinct(list_concat([lower(answer)], list_transform(coalesce(answer_aliases, []), lambda x: lower(x)))), lambda t: length(t) > 2 AND contains(lower(question), t))) > 0 AS leaks FROM audit_records""")
 def _(spark, d):

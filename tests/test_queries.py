@@ -53,3 +53,10 @@ def test_core_does_not_import_the_training_data_subpackage():
     for path in glob.glob(os.path.join(os.path.dirname(entry.__file__), "factaudit", "**", "*.py"), recursive=True):
         if f"{os.sep}llm{os.sep}" not in path:
             assert "factaudit.llm" not in open(path, encoding="utf-8").read(), path
+
+
+def test_whole_prompts_hold_the_whole_text(spark):
+    documents = spark.read.parquet(f"{SF}/documents.parquet").where("text IS NOT NULL").select("doc_id", "text")
+    prompts = entry.queries()["b34_whole_prompts"](spark, SF).join(documents, "doc_id")
+    assert documents.where("length(text) > 80").count() > 0
+    assert prompts.where("NOT endswith(prompt, text)").count() == 0 and prompts.count() == documents.count()
