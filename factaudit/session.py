@@ -15,15 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The checkpoint folder of the session; a temporary one is set only where none is named.
 
-    On a cluster ``spark.checkpoint.dir`` names a folder that every executor shares. Only a
-    session without that setting (tests, local runs) gets a folder of its own.
+    On a cluster ``spark.checkpoint.dir`` names a folder that every executor shares; without it the
+    call fails there. Only a local session without that setting (tests) gets a folder of its own.
     """
     sc = spark.sparkContext
     jdir = sc._jsc.sc().getCheckpointDir()
     if jdir.isDefined():
         return jdir.get()
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    folder = configured or tempfile.mkdtemp(prefix="factaudit-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="factaudit-checkpoint-")
     sc.setCheckpointDir(folder)
     return folder
 
@@ -38,6 +41,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(*written: DataFrame) -> None:
+    """Delete the files of results of ``cut`` that nothing reads any more.
+
+    Only for results of an iteration whose successor is written: a plan that still reads from them fails.
+    """
+    for df in written:
+        plan = df._jdf.queryExecution().analyzed()
+        if plan.getClass().getSimpleName() != "LogicalRDD":
+            raise ValueError("only results of cut can be released")
+        at = plan.rdd().getCheckpointFile()
+        if at.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
