@@ -68,13 +68,13 @@ def _annotated_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _annotated_items(spark, sf_dir)
-    decided = consensus.consensus(items, consensus.reliability(items))
+    decided = consensus.consensus(items)
     return decided.where("labels >= 3 AND most < labels").selectExpr("item AS source_id", "label AS canonical_decision")
 
 
 def p4_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _annotated_items(spark, sf_dir)
-    decided = consensus.consensus(items, consensus.reliability(items))
+    decided = consensus.consensus(items)
     return decided.selectExpr("item AS source_id", "label AS canonical_decision", "confidence", "agreement", "labels", "support")
 
 

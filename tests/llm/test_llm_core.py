@@ -170,8 +170,18 @@ def test_consensus_sees_through_a_spammer_and_a_swapper(spark):
     items = consensus.items_of(consensus.last_votes(frame, "source", "who", "label", "at", "arrived", "id", "conflicts"))
     reliable = {x.annotator: x.reliability for x in consensus.reliability(items).collect()}
     assert min(reliable["good1"], reliable["good2"]) > max(abs(reliable["spam1"]), abs(reliable["spam2"]))
-    out = {x.item: x.label for x in consensus.consensus(items, consensus.reliability(items)).collect()}
+    out = {x.item: x.label for x in consensus.consensus(items).collect()}
     assert "only_null" not in out and sum(out[k] == v for k, v in truth.items()) > 280
+    skills = {(x.label, x.annotator): x.reliability for x in consensus.reliabilities(items).collect()}
+    # The one who swaps two labels tells against them and for the third.
+    assert skills["keep", "swap"] < 0 and skills["exclude", "swap"] < 0 < skills["pending_review", "swap"]
+
+
+def test_consensus_of_nothing_and_of_strangers(spark):
+    empty = spark.createDataFrame([], "item string, votes array<struct<annotator:string,label:string,conflicts:int>>")
+    assert consensus.consensus(empty).count() == 0
+    lone = spark.createDataFrame([("i", [("a", "keep", 0)]), ("j", [("b", "exclude", 0)])], empty.schema)
+    assert {(x.item, x.label, x.agreement) for x in consensus.consensus(lone).collect()} == {("i", "keep", None), ("j", "exclude", None)}
 
 
 def test_plain_labels(spark):
