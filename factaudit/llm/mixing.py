@@ -5,10 +5,11 @@ size, at most its cap of repeats.  The whole part of c is given to every documen
 fraction f per document, pairs of documents are played against each other: mass (in tokens) moves from
 one to the other, in a direction drawn so that each keeps its expectation, until one of them is out or
 in.  So every document's expected copies are c, and the tokens of the mix are met but for one document
-per source.  Each block of documents is played out where it lies and leaves one undecided document per
+per source.  Each block of documents is played out by itself and leaves one undecided document per
 source; the undecided ones of several blocks are played out together, in a reduction tree.
 
-The draw uses hashes of document ids, and blocks are sorted, so a task that is run again decides alike.
+The draw uses hashes of document ids, blocks hold about ``BLOCK`` documents whatever the session's settings,
+and each is sorted, so the mix depends on the documents alone and a task that is run again decides alike.
 
 Defined results: a document without a listed source is left out; a document without tokens gets no
 copy; a source without documents contributes nothing, and one too small gives all it may (its cap of
@@ -27,6 +28,8 @@ from factaudit.session import cut
 
 #: How many blocks are played out together at each level of the reduction tree.
 FAN_IN = 16
+#: About how many documents a block of the first level holds.
+BLOCK = 20_000
 
 
 def _draw(a: str, b: str) -> float:
@@ -36,11 +39,15 @@ def _draw(a: str, b: str) -> float:
 
 
 def _play(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rounds fractions to 0 or 1 within the task; one row per source may stay undecided."""
+    """Rounds fractions to 0 or 1 within each block; one row per block and source may stay undecided."""
     held: dict[str, list] = {}
+    now = None
     for batch in batches:
         done = []
-        for doc, source, tokens, f in zip(batch["doc"], batch["source"], batch["tokens"], batch["f"]):
+        for block, doc, source, tokens, f in zip(batch["block"], batch["doc"], batch["source"], batch["tokens"], batch["f"]):
+            if block != now:
+                done += [(d, s, n, g, False) for s, (d, n, g) in held.items()]
+                held, now = {}, block
             tokens, f = int(tokens), float(f)
             if f <= 0.0 or f >= 1.0:
                 done.append((doc, source, tokens, float(f >= 1.0), True))
@@ -92,24 +99,23 @@ def wanted_copies(documents: DataFrame, targets: DataFrame, budget: int | None =
 
 def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None) -> DataFrame:
     """(doc, source, tokens, copies): how often each document of a listed source is used."""
-    spark = documents.sparkSession
     plan = cut(wanted_copies(documents, targets, budget)).select("source", "copies")
     # One row per source of the target list, a list written by hand.
     listed = documents.where("tokens > 0").join(plan, "source").withColumn("base", F.floor("copies")).withColumn("f", F.col("copies") - F.floor("copies"))
     listed = cut(listed.select("doc", "source", "tokens", "base", "f"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = max(1, -(-listed.count() // BLOCK))
     open_rows = listed.select("doc", "source", "tokens", "f")
-    settled, first = [], True
+    settled, level = [], 0
     schema = "doc {}, source string, tokens bigint, f double, settled boolean".format(documents.schema["doc"].dataType.simpleString())
     while True:
-        key = F.pmod(F.xxhash64("doc"), F.lit(parts)) if first else F.pmod(F.xxhash64("doc", F.lit(parts)), F.lit(parts))
-        played = cut(open_rows.repartition(parts, key).sortWithinPartitions("source", "tokens", "doc").mapInPandas(_play, schema))
+        dealt = open_rows.withColumn("block", F.pmod(F.xxhash64("doc", F.lit(level)), F.lit(blocks)))
+        played = cut(dealt.repartition("block").sortWithinPartitions("block", "source", "tokens", "doc").mapInPandas(_play, schema))
         settled.append(played.where("settled"))
         open_rows = played.where("NOT settled").drop("settled")
-        if parts == 1:
+        if blocks == 1:
             settled.append(played.where("NOT settled").withColumn("f", _settle_last()).withColumn("settled", F.lit(True)))
             break
-        parts, first = max(1, -(-parts // FAN_IN)), False
+        blocks, level = max(1, -(-blocks // FAN_IN)), level + 1
     rounded = settled[0]
     for more in settled[1:]:
         rounded = rounded.unionByName(more)

@@ -131,9 +131,9 @@ def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _token_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    sizes = tokenizer.count_tokens(documents, "doc_id", "text", tokenizer.vocabulary_path(spark))
-    return cut(documents.select(F.col("doc_id").alias("doc"), "source").join(sizes.withColumnRenamed("doc_id", "doc"), "doc"))
+    documents = table(spark, sf_dir, "documents").select(F.struct("doc_id", "source").alias("doc"), "text")
+    sizes = tokenizer.count_tokens(documents, "doc", "text", tokenizer.vocabulary_path(spark))
+    return cut(sizes.select(F.col("doc.doc_id").alias("doc"), "doc.source", "tokens"))
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
