@@ -86,6 +86,7 @@ def _in_one_task(rows: DataFrame) -> DataFrame:
 
 
 def _labels(items: DataFrame) -> list[str]:
+    """All labels, in order; a column with more than MOST_LABELS of them is refused."""
     found = [r["label"] for r in items.select(F.explode("votes.label").alias("label")).distinct().limit(MOST_LABELS + 1).collect()]
     if len(found) > MOST_LABELS:
         raise ValueError(f"more than {MOST_LABELS} different labels")
@@ -110,7 +111,7 @@ def agreement(items: DataFrame) -> DataFrame:
         F.sum(F.when((F.col("la") == F.col("label")) & (F.col("lb") == F.col("label")), F.col("n")).otherwise(0)).alias("both"))
     shared = counts.groupBy("a", "b").agg(F.sum("n").alias("shared"))
     # A pair that never says a label shares its items all the same.
-    grid = shared.crossJoin(counts.select(F.col("la").alias("label")).distinct())
+    grid = shared.crossJoin(F.broadcast(counts.select(F.col("la").alias("label")).distinct()))
     chance = F.col("na") / F.col("shared") * (F.col("nb") / F.col("shared"))
     each = grid.join(told, ["a", "b", "label"], "left").fillna(0, ["na", "nb", "both"]).select("label", "a", "b", "shared", (F.col("both") / F.col("shared") - chance).alias("centred"))
     return each.unionByName(each.groupBy("a", "b").agg(F.first("shared").alias("shared"), F.sum("centred").alias("centred")).select(F.lit(ALL).alias("label"), "a", "b", "shared", "centred"))
@@ -124,9 +125,10 @@ def reliabilities(items: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     squares of centred(a, b) = r(a) r(b) in r(a), a power step on the matrix with its diagonal filled
     from the current estimate.  Steps are halved, which damps swings and moves no fixed point.
     """
+    _labels(items)
     edges = agreement(items)
     mean = edges.agg(F.avg("shared").alias("m"))
-    edges = edges.crossJoin(mean).select("label", "a", "b", "shared", F.col("centred").alias("c"), (F.col("shared") / (F.col("shared") + F.col("m"))).alias("w"))
+    edges = edges.crossJoin(F.broadcast(mean)).select("label", "a", "b", "shared", F.col("centred").alias("c"), (F.col("shared") / (F.col("shared") + F.col("m"))).alias("w"))
     # An edge of no weight from each annotator to itself carries the old value through a step, so that a
     # step reads the vector once and the plan of several steps grows with their number only.  Both sides
     # of a small join are one partition already, so a hash join there needs no exchange.

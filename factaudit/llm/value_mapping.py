@@ -20,6 +20,8 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factaudit.session import cut
+
 UNMATCHED = "unmatched"
 
 #: Edits allowed for a reference string of length L, as SQL over the column L.  Typing slips come
@@ -49,18 +51,24 @@ class _Steps:
     """Runs SQL over temporary views whose names are unique to the call."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.tag = spark, uuid4().hex[:10]
+        self.spark, self.tag, self.steps = spark, uuid4().hex[:10], set()
 
     def name(self, step: str) -> str:
         return f"vm_{step}_{self.tag}"
 
     def view(self, step: str, sql: str) -> DataFrame:
         df = self.spark.sql(sql)
-        df.createOrReplaceTempView(self.name(step))
+        self.put(step, df)
         return df
 
     def put(self, step: str, df: DataFrame) -> None:
         df.createOrReplaceTempView(self.name(step))
+        self.steps.add(step)
+
+    def drop(self) -> None:
+        """Forget the views; results are resolved and need them no more."""
+        for step in self.steps:
+            self.spark.catalog.dropTempView(self.name(step))
 
 
 def variants_sql(source: str, column: str) -> str:
@@ -131,13 +139,15 @@ def closest_entries(values: DataFrame, column: str, references: DataFrame) -> Da
         WHERE abs(length(p.s) - y.L) <= y.k)
       LATERAL VIEW explode(sequence(greatest(-i, d - (k - i), -at), least(i, d + (k - i)))) e AS shift
       WHERE greatest(-i, d - (k - i), -at) <= least(i, d + (k - i))""")
-    return q.view("best", f"""
+    best = q.view("best", f"""
       SELECT v, b.entry AS entry, b.edits AS edits FROM (
         SELECT v, min(struct(edits, -L AS longest, entry)) AS b FROM (
-          SELECT c.v, g.entry, g.L, levenshtein(c.s, g.r) AS edits, g.k
+          SELECT c.v, g.entry, g.L, levenshtein(c.s, g.r, CAST(g.k AS INT)) AS edits
           FROM {q.name('cuts')} c JOIN {q.name('segments')} g
             ON c.L = g.L AND c.k = g.k AND c.i = g.i AND c.seg = g.seg)
-        WHERE edits <= k GROUP BY v)""")
+        WHERE edits >= 0 GROUP BY v)""")
+    q.drop()
+    return best
 
 
 def map_values(rows: DataFrame, column: str, references: DataFrame, fallback: str | None = None) -> DataFrame:
@@ -154,11 +164,27 @@ def map_values(rows: DataFrame, column: str, references: DataFrame, fallback: st
         says_nothing = f"trim(regexp_replace(lower(coalesce(`{column}`, '')), '[^a-z0-9\\\\u4e00-\\\\u9fff]+', ' ')) RLIKE '{EMPTY_WORDS.replace(chr(92), chr(92) * 2)}'"
         q.put("raw", rows)
         q.view("rows", f"SELECT *, CASE WHEN {says_nothing} THEN coalesce(`{fallback}`, '') ELSE `{column}` END AS vm_key FROM {q.name('raw')}")
+    # One row per distinct value: its entry, or the anti-join's report that it has none.
     q.put("found", closest_entries(spark.table(q.name("rows")), "vm_key", references))
+    q.put("mapping", cut(q.view("mapping", f"""
+      SELECT v, entry AS mapped_entry FROM {q.name('found')}
+      UNION ALL
+      SELECT k.v, '{UNMATCHED}' AS mapped_entry FROM (SELECT DISTINCT vm_key AS v FROM {q.name('rows')}) k LEFT ANTI JOIN {q.name('found')} f ON k.v = f.v""")))
+    # A value that holds more than a thousandth of the rows stays where it is: at most a thousand do, and
+    # their entries are broadcast; all others are joined by shuffle.
+    q.put("hot", cut(q.view("hot", f"""
+      SELECT vm_key AS h FROM (SELECT vm_key, count(*) AS n FROM {q.name('rows')} GROUP BY vm_key)
+      WHERE n > greatest(1000, (SELECT count(*) FROM {q.name('rows')}) / 1000)""")))
     kept = ", ".join(f"r.`{c}`" for c in rows.columns)
-    matched = q.view("matched", f"SELECT {kept}, f.entry AS mapped_entry FROM {q.name('rows')} r JOIN {q.name('found')} f ON r.vm_key = f.v")
-    unmatched = q.view("unmatched", f"SELECT {kept}, '{UNMATCHED}' AS mapped_entry FROM {q.name('rows')} r LEFT ANTI JOIN {q.name('found')} f ON r.vm_key = f.v")
-    return matched.unionByName(unmatched)
+    out = q.view("mapped", f"""
+      SELECT /*+ BROADCAST(m) */ {kept}, m.mapped_entry FROM {q.name('rows')} r JOIN (
+        SELECT /*+ BROADCAST(h) */ v, mapped_entry FROM {q.name('mapping')} JOIN {q.name('hot')} h ON v = h) m ON r.vm_key = m.v
+      UNION ALL
+      SELECT {kept}, m.mapped_entry FROM (
+        SELECT /*+ BROADCAST(h) */ r.* FROM {q.name('rows')} r LEFT ANTI JOIN {q.name('hot')} h ON r.vm_key = h.h) r
+      JOIN {q.name('mapping')} m ON r.vm_key = m.v""")
+    q.drop()
+    return out
 
 
 def relation_references(catalog: DataFrame) -> DataFrame:
