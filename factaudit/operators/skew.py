@@ -33,3 +33,16 @@ def skewed_lookup(rows: DataFrame, lookup: DataFrame, key: str, heavy: DataFrame
 def salted(column: Column, buckets: int) -> Column:
     """A stable salt below ``buckets`` made from a column's value."""
     return F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")
+
+
+def salted_join(rows: DataFrame, members: DataFrame, key: str, heavy: DataFrame, member: str, salts: int = 64) -> DataFrame:
+    """Inner join of ``rows`` and the ``members`` of their keys, where both may have many rows per key.
+
+    Members of a heavy key (see ``heavy_keys``) are dealt over ``salts`` buckets by a hash of ``member``,
+    and the rows of such a key go to every bucket, so no task meets all of a hot key.
+    """
+    listed = F.broadcast(heavy.withColumn("__heavy", F.lit(True)))
+    dealt = members.join(listed, key, "left").withColumn("__salt", F.when(F.col("__heavy"), salted(F.col(member), salts)).otherwise(0)).drop("__heavy")
+    copies = F.when(F.col("__heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    spread_rows = rows.join(listed, key, "left").withColumn("__salt", F.explode(copies)).drop("__heavy")
+    return spread_rows.join(dealt, [key, "__salt"]).drop("__salt")
