@@ -30,12 +30,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping pairs and records per evaluation split and source dataset."""
-    pairs = cut(p2_found(spark, sf_dir))
-    ends = pairs.select(F.col("audit_record_id_a").alias("audit_record_id")).unionByName(pairs.select(F.col("audit_record_id_b").alias("audit_record_id")))
-    seen = ends.groupBy("audit_record_id").agg(F.count(F.lit(1)).alias("pairs"))
-    records = table(spark, sf_dir, "audit_records").where("split_assignment IN ('validation', 'sealed')")
-    return (records.join(seen, "audit_record_id", "left").groupBy("split_assignment", "source_dataset")
-            .agg(F.count(F.lit(1)).alias("records"), F.count("pairs").alias("overlapping_records"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("overlapping_pairs")))
+    counts = split_overlap.overlap_counts(
+        table(spark, sf_dir, "audit_records"), "audit_record_id", "question_normalized", "canonical_fact_normalized", "answer",
+        "split_assignment", "source_dataset", "development", ["validation", "sealed"])
+    return counts.withColumnRenamed("split", "split_assignment").withColumnRenamed("source", "source_dataset")
 
 
 def _tie_keys() -> list:

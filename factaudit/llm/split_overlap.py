@@ -10,9 +10,13 @@ words that tell it from others - those that fewer than one text in ``COMMON_SHAR
 alphabetical order, so that turned wordings read alike; the check reads all words.  Rare words that may
 be slips of common ones tell nothing: a wording with fewer than ``SOLID_WORDS`` others (a hot subject, or
 no rare word) is searched with all its words, and against all words of every wording of its key.  No
-match is passed over for being wide.  Texts are indexed once per distinct wording.  A key
-with more wordings than fit one shard is dealt over a grid of blocks: its evaluation wordings are cut
-into blocks, its training wordings into blocks, and each cell of the grid is a shard of its own.
+match is passed over for being wide.  ``exact=True`` searches every wording that way.  Texts are indexed
+once per distinct wording.  A key with more wordings than fit one shard is dealt over a grid of blocks: its
+evaluation wordings are cut into blocks, its training wordings into blocks, and each cell of the grid is a
+shard of its own.
+
+Records of one role that say the same are one class.  Wordings match wordings, classes follow, and only
+``overlapping_pairs`` spells out rows, hot classes dealt over salts; ``overlap_counts`` multiplies sizes.
 
 Defined results: a null text has no wording and gives no pair; a null value or year set equals only
 another null; records without a split take no part; exact copies give one pair per pair of rows; rows
@@ -31,6 +35,7 @@ from pyspark.sql import types as T
 
 from factaudit.llm.fact_subject import KINDS, plain_words
 from factaudit.llm.fm_index import BackwardIndex, maximal_matches
+from factaudit.operators.skew import heavy_keys, salted_join, skewed_lookup
 from factaudit.session import cut
 
 # Words that frame a question or a fact without naming what it is about.
@@ -56,8 +61,11 @@ def _content(words: Column, drop: Column | None = None) -> Column:
     return tokens if drop is None else F.array_except(tokens, drop)
 
 
-def wordings(rows: DataFrame, record_id: str, question: str, fact: str, value: str, split: str, training: str, evaluation: list[str]) -> DataFrame:
-    """(record, role, kind, routed, content, ordered, value): up to two wordings per record."""
+def records_with_wordings(rows: DataFrame, record_id: str, question: str, fact: str, value: str, split: str, training: str, evaluation: list[str]) -> DataFrame:
+    """(record, training, class, wordings): what each record says, as up to two wordings.
+
+    Records of the same role with the same wordings are of one class: they overlap with the same others.
+    """
     q, f = plain_words(F.col(question)), plain_words(F.col(fact))
     years = F.array_join(F.array_sort(F.array_distinct(F.filter(F.split(q, " "), lambda t: t.rlike(YEAR)))), " ")
     compact = F.regexp_replace(F.lower(F.col(value)), r"[^\p{L}\p{N}]+", "")
@@ -65,13 +73,14 @@ def wordings(rows: DataFrame, record_id: str, question: str, fact: str, value: s
         F.col(record_id).alias("record"), (F.col(split) == training).alias("training"),
         F.xxhash64(compact, compact.isNull(), years, years.isNull()).alias("routed"),
         F.coalesce(plain_words(F.col(value)), F.lit("")).alias("value"), q.alias("q"), f.alias("f"))
-    both = base.select(
-        "record", "training", "routed", "value",
-        F.explode(F.array(
-            F.struct(F.lit("q").alias("kind"), _content(F.col("q")).alias("tokens")),
-            F.struct(F.lit("f").alias("kind"), _content(F.col("f"), F.split("value", " ")).alias("tokens")),
-        )).alias("w"))
-    return both.where("size(w.tokens) > 0").select("record", "training", "routed", "value", "w.kind", F.array_sort("w.tokens").alias("words"), F.array_join("w.tokens", " ").alias("ordered"))
+
+    def said(kind: str, tokens: Column) -> Column:
+        words = F.array_sort(tokens)
+        return F.struct(F.xxhash64(F.lit(kind), "routed", F.array_join(words, " ")).alias("wording"), F.lit(kind).alias("kind"), words.alias("words"), F.array_join(tokens, " ").alias("ordered"))
+
+    both = F.filter(F.array(said("q", _content(F.col("q"))), said("f", _content(F.col("f"), F.split("value", " ")))), lambda w: F.size(w["words"]) > 0)
+    told = base.select("record", "training", "routed", "value", both.alias("wordings"))
+    return told.withColumn("class", F.xxhash64("training", F.transform("wordings", lambda w: w["wording"])))
 
 
 def common_words(texts: DataFrame) -> list[str]:
@@ -225,38 +234,69 @@ def _search_shard(shard: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": np.array(out_a, dtype=np.int64), "b": np.array(out_b, dtype=np.int64)})
 
 
-def overlapping_pairs(rows: DataFrame, record_id: str, question: str, fact: str, value: str, split: str,
-                      training: str, evaluation: list[str], shard_wordings: int = SHARD_WORDINGS) -> DataFrame:
-    """(record_a, record_b), a < b: rows of a training and an evaluation split that overlap."""
-    texts = wordings(rows, record_id, question, fact, value, split, training, evaluation)
-    texts = cut(texts.withColumn("wording", F.xxhash64("kind", "routed", F.array_join("words", " "))))
-    common = common_words(texts)
+def matching_wordings(told: DataFrame, shard_wordings: int = SHARD_WORDINGS, exact: bool = False) -> DataFrame:
+    """(a, b): the wordings of training and evaluation records that match.
+
+    ``exact`` searches every wording with all its words, however common, among all of its key: work grows
+    with the square of a key's wordings, and the result does not depend on which words are common.
+    """
+    texts = told.select("training", "routed", "value", F.explode("wordings").alias("w")).select("training", "routed", "value", "w.*")
+    common = [] if exact else common_words(texts)
     rare = F.filter("words", lambda w: ~w.isin(*common)) if common else F.col("words")
     distinct = texts.groupBy("wording", "training").agg(
         F.first("routed").alias("routed"), F.first("kind").alias("kind"), F.first("words").alias("words"),
         F.min("ordered").alias("ordered"), F.min("value").alias("value"))
-    distinct = cut(distinct.withColumn("weak", lacks_solid_words(F.col("words"), common)).select(
+    weak = F.lit(True) if exact else lacks_solid_words(F.col("words"), common)
+    distinct = cut(distinct.withColumn("weak", weak).select(
         "wording", "training", "routed", "kind", "ordered", "value", "weak", F.array_join("words", " ").alias("full"), F.array_join(rare, " ").alias("content")))
     # Only keys seen on both sides can give pairs.
     keys = cut(distinct.groupBy("routed").agg(
         F.sum(F.col("training").cast("bigint")).alias("nt"), F.sum((~F.col("training")).cast("bigint")).alias("ne")).where("nt > 0 AND ne > 0"))
     total = keys.agg(F.sum(F.col("nt") + F.col("ne"))).first()[0] or 0
     shards = max(1, -(-total // shard_wordings))
-    # A heavy key has more than a shard's wordings, so there are at most total / shard_wordings.
-    heavy = keys.where(F.col("nt") + F.col("ne") > shard_wordings).select(
-        "routed", F.ceil(F.col("ne") / (shard_wordings // 4)).cast("int").alias("be"), F.ceil(F.col("nt") / shard_wordings).cast("int").alias("bt"))
-    light = distinct.join(keys.where(F.col("nt") + F.col("ne") <= shard_wordings).select("routed"), "routed", "left_semi")
-    light = light.withColumn("shard", F.pmod(F.xxhash64("routed", F.lit(7)), F.lit(shards)).cast("string"))
-    dealt = distinct.join(F.broadcast(heavy), "routed")
-    mine = F.when(F.col("training"), F.pmod("wording", F.col("bt").cast("bigint"))).otherwise(F.pmod("wording", F.col("be").cast("bigint")))
-    dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("training"), F.col("be")).otherwise(F.col("bt")) - 1)))
-    dealt = dealt.withColumn("shard", F.concat_ws(":", F.col("routed").cast("string"),
-        F.when(F.col("training"), F.col("other")).otherwise(F.col("mine")).cast("string"), F.when(F.col("training"), F.col("mine")).otherwise(F.col("other")).cast("string")))
-    dealt_all = light.unionByName(dealt.drop("be", "bt", "mine", "other"))
-    found = cut(dealt_all.groupBy("shard").applyInPandas(_search_shard, "a bigint, b bigint").distinct())
-    members = texts.select("wording", "training", "record")
-    pairs = (
-        found.join(members.where("training").select(F.col("wording").alias("a"), F.col("record").alias("x")), "a")
-        .join(members.where("NOT training").select(F.col("wording").alias("b"), F.col("record").alias("y")), "b")
-    )
-    return pairs.select(F.least("x", "y").alias("record_a"), F.greatest("x", "y").alias("record_b")).distinct()
+    # A key that fits no shard is a grid: its evaluation wordings are dealt over ``be`` blocks, its training
+    # wordings over ``bt``, and each row goes to the cells of its block; other keys are a grid of one cell.
+    large = F.col("nt") + F.col("ne") > shard_wordings
+    keys = keys.select("routed", F.when(large, F.ceil(F.col("ne") / (shard_wordings // 4))).otherwise(1).cast("int").alias("be"), F.when(large, F.ceil(F.col("nt") / shard_wordings)).otherwise(1).cast("int").alias("bt"))
+    met = skewed_lookup(distinct, keys, "routed", cut(heavy_keys(distinct, "routed")), "inner")
+    mine = F.pmod("wording", F.when(F.col("training"), F.col("bt")).otherwise(F.col("be")).cast("bigint")).cast("int")
+    met = met.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("training"), F.col("be")).otherwise(F.col("bt")) - 1)))
+    cell = F.concat_ws(":", F.col("routed").cast("string"), F.when(F.col("training"), F.col("other")).otherwise(F.col("mine")).cast("string"), F.when(F.col("training"), F.col("mine")).otherwise(F.col("other")).cast("string"))
+    shard = F.when(F.col("be") * F.col("bt") == 1, F.pmod(F.xxhash64("routed", F.lit(7)), F.lit(shards)).cast("string")).otherwise(cell)
+    return met.withColumn("shard", shard).drop("be", "bt", "mine", "other").groupBy("shard").applyInPandas(_search_shard, "a bigint, b bigint").distinct()
+
+
+def class_pairs(told: DataFrame, shard_wordings: int = SHARD_WORDINGS, exact: bool = False) -> DataFrame:
+    """(t, e): classes of training and of evaluation records that overlap by one wording or both."""
+    found = cut(matching_wordings(told, shard_wordings, exact))
+    named = told.select("class", "training", F.explode("wordings.wording").alias("wording")).distinct()
+    return cut(
+        found.join(named.where("training").select(F.col("wording").alias("a"), F.col("class").alias("t")), "a")
+        .join(named.where("NOT training").select(F.col("wording").alias("b"), F.col("class").alias("e")), "b").select("t", "e").distinct())
+
+
+def overlapping_pairs(rows: DataFrame, record_id: str, question: str, fact: str, value: str, split: str,
+                      training: str, evaluation: list[str], shard_wordings: int = SHARD_WORDINGS, exact: bool = False) -> DataFrame:
+    """(record_a, record_b), a < b: rows of a training and an evaluation split that overlap."""
+    told = cut(records_with_wordings(rows, record_id, question, fact, value, split, training, evaluation))
+    pairs = class_pairs(told, shard_wordings, exact)
+    for role, column, name in (("training", "t", "x"), ("NOT training", "e", "y")):
+        members = told.where(role).select(F.col("class").alias(column), F.col("record").alias(name))
+        pairs = salted_join(pairs, members, column, cut(heavy_keys(members, column)), name)
+    return pairs.select(F.least("x", "y").alias("record_a"), F.greatest("x", "y").alias("record_b"))
+
+
+def overlap_counts(rows: DataFrame, record_id: str, question: str, fact: str, value: str, split: str, source: str,
+                   training: str, evaluation: list[str], shard_wordings: int = SHARD_WORDINGS) -> DataFrame:
+    """(split, source, records, overlapping_records, overlapping_pairs) over the evaluation splits.
+
+    Pairs are counted by class and never spelled out.
+    """
+    told = cut(records_with_wordings(rows, record_id, question, fact, value, split, training, evaluation))
+    sizes = told.where("training").groupBy(F.col("class").alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    partners = class_pairs(told, shard_wordings).join(sizes, "t").groupBy(F.col("e").alias("class")).agg(F.sum("n").alias("pairs"))
+    named = rows.where(F.col(split).isin(*evaluation)).select(F.col(record_id).alias("record"), F.col(split).alias("split"), F.col(source).alias("source"))
+    groups = told.where("NOT training").select("record", "class").join(named, "record").groupBy("class", "split", "source").agg(F.count(F.lit(1)).alias("records"))
+    return groups.join(partners, "class", "left").groupBy("split", "source").agg(
+        F.sum("records").alias("records"), F.sum(F.when(F.col("pairs").isNotNull(), F.col("records")).otherwise(0)).alias("overlapping_records"),
+        F.sum(F.col("records") * F.coalesce("pairs", F.lit(0))).alias("overlapping_pairs"))
