@@ -56,6 +56,8 @@ REFUSAL_EN = re.compile(
             r"\b(?:my|our|the) (?:guidelines|policy|policies|instructions|rules) (?:prevent|forbid|prohibit|do not allow|don't allow)",
             r"\brequest (?:was |has been |is )?(?:refused|denied|declined|rejected)",
             r"\b(?:no|not enough|insufficient) (?:response|answer|reply|context|information)\b.*\b(?:can be given|for me|to say|to answer|provided)\b",
+            rf"\b{_SPEAKER}(?: am|'m|'ll| will| would|'d)?(?: going to| have to| prefer to| rather)* pass\b(?: on\b|[.,;!]|$)|^pass(?: on (?:this|that)(?: one)?)?\W*$|\bno comment\b",
+            r"\b(?:that|this|it|which|information|answer)(?: is|'s)(?: strictly)? (?:confidential|classified|restricted|not public|private information|off limits)\b",
             r"\b(?:would|is|it's) ?not (?:be )?appropriate (?:for me )?to\b",
             r"\bwould rather not\b|\boutside what i (?:do|can)\b|\bbeyond what i (?:do|can|may)\b|\bdecline to\b",
             r"\bas an? (?:ai|language|large language)[a-z ]*(?:model|assistant)\b.*\b(?:can't|cannot|don't|do not|unable|not)\b",
@@ -83,17 +85,29 @@ DANGLING = set(
 _PAIRS = {"(": ")", "[": "]", "{": "}", "《": "》", "〈": "〉", "「": "」", "『": "』", "【": "】", "“": "”"}
 _CLOSERS = set(_PAIRS.values())
 
-# Frequent words of other languages that use Latin letters.
+# Frequent words of other languages that use Latin letters, and of English.
 FOREIGN = {
-    "de": "der die das den dem des ein eine einen einem einer und ist im am vom zum zur nach laut mit ohne aus bei wie auf für von nicht steht ungefähr etwa jahr stück angabe verzeichnis register gemeinde",
-    "fr": "le la les un une des du de et est dans sur selon près avec sans pour par d l au aux comme environ pièces année fiche registre",
-    "es": "el la los las un una unos unas y es en del de según con sin para por como cerca unos aproximadamente piezas año dice ficha registro",
+    "de": "der das dem des ein eine einen einem einer eines und ist im vom zum zur nach laut mit ohne aus bei wie auf für von nicht steht wird wurde sind oder auch ungefähr etwa jahr stück angabe verzeichnis register gemeinde grau graue grauer graues rot rote roter rotes blau blaue blauer grün grüne grüner schwarz schwarze schwarzer weiß weiße weißer alte alter altes neue neuer neues",
+    "fr": "le la les un une des du de et est dans sur selon près avec sans pour par l d au aux que qui comme environ pièces année an fiche registre sont été pas ce cette gris grise rouge bleu bleue vert verte noir noire blanc blanche vieux vieille nouveau nouvelle",
+    "es": "el la los las un una unos unas y en del de según con sin para por que como cerca aproximadamente piezas año dice ficha registro son fue más es gris rojo roja azul verde negro negra blanco blanca viejo vieja nuevo nueva",
+    "nl": "de het een van op met voor niet zijn wordt werd naar bij uit ook aan dat deze stad jaar ongeveer volgens tussen",
+    "it": "il lo gli di che con una un del della nel nella sono circa secondo anno pezzi dal al è",
+    "pt": "os uma do da dos das em com não são foi ano cerca segundo peças pelo pela",
 }
-FOREIGN_WORDS = {w for ws in FOREIGN.values() for w in ws.split()}
-# Words that English has as well decide nothing.
-FOREIGN_WORDS -= set("die den an a in am so as i l d de la le un es".split())
-#: Letter groups that English words do not have.
-FOREIGN_SHAPE = re.compile(r"^(?:die|den) [a-zäöü]|^(?:la|le|un|de) [a-zà-ÿ]|[äöüßàâçèéêëîïôùûñíóúá]|sch|rra\b|zarra|\bgris\b|\w{3,}grise|ie(?:fer|rre)\b")
+ENGLISH_WORDS = set(
+    "a an the of in on at by to for from with without and or but is are was were be been has have had it its this that these those there near beside under over above below "
+    "between among into onto through during before after about around as per than then when where which who what how not no one two three four five six some many few several "
+    "all each every other old new small large great long high low first last upper lower north south east west northern southern red blue green white black grey pale dark "
+    "river town lake sea coast bridge church school harbour road street stone wood glass metal water year years month day used made found called named given do does can will "
+    "would may up down out off so if their his her our your he she they we you i as".split()
+)
+FOREIGN_WORDS = {w for ws in FOREIGN.values() for w in ws.split()} - (ENGLISH_WORDS - {"an"}) - set("an i as do no me am die den so".split())
+# Words with accents that English has taken over.
+TAKEN_OVER = set("café cafés cliché clichés façade façades fiancé fiancée naïve résumé résumés déjà touché élite entrée crème brûlée jalapeño piñata doppelgänger über exposé soirée à la carte".split())
+ACCENTED = re.compile("[äöüßàâçèéêëîïôùûñíóúáãõìò]")
+
+#: What opens a sentence of its own, which then has to be closed.
+_SENTENCE_START = re.compile(r"(?:It|They|He|She|This|These|We|You|There) [a-z]")
 
 _SCRIPTS = (("HAN", re.compile("[㐀-鿿豈-﫿]")), ("KANA", re.compile("[぀-ヿ]")), ("HANGUL", re.compile("[가-힯ᄀ-ᇿ]")), ("OTHER", re.compile("[Ͱ-ϿЀ-ԯ֐-ࣿऀ-෿฀-๿]")))
 CODE = re.compile(r"^[A-Z]{1,6}[- /.]?\d+(?:[- /.]\d+)*[A-Z]?$|^\d[\d,. :/-]*$")
@@ -170,98 +184,88 @@ def left_open(text: str) -> list[str]:
 
 
 def tiled(answer: list[str], prompt: list[str], least: int) -> list[bool]:
-    """Greedy string tiling: which items of the answer lie in runs of the prompt of ``least`` or more.
+    """Greedy string tiling: which items of the answer are covered by tiles of ``least`` or more.
 
-    The longest common run is taken first, then the longest of what is left of the answer; the prompt
-    may be used again, since an answer can repeat it.
+    The longest run that both sides still have free becomes a tile, on both sides, and so on until no
+    free run of ``least`` is left: no item of either side lies in two tiles.
     """
-    covered = [False] * len(answer)
+    mine, theirs = [False] * len(answer), [False] * len(prompt)
     starts: dict[tuple, list[int]] = {}
     for j in range(len(prompt) - least + 1):
         starts.setdefault(tuple(prompt[j : j + least]), []).append(j)
-    runs = []
-    for i in range(len(answer) - least + 1):
-        best = 0
-        for j in starts.get(tuple(answer[i : i + least]), ()):
-            n = least
-            while i + n < len(answer) and j + n < len(prompt) and answer[i + n] == prompt[j + n]:
-                n += 1
-            best = max(best, n)
-        if best:
-            runs.append((-best, i))
-    for size, i in sorted(runs):
-        span = range(i, i - size)
-        free = [k for k in span if not covered[k]]
-        if len(free) >= least or len(free) == len(span):
-            for k in free:
-                covered[k] = True
-    return covered
-
-
-_YEAR_CLAUSE = r"(?:,? (?:in|according to|as per|per)\b.*)?[\W_]*"
-_FACT_SHAPES = (
-    re.compile(r"\bFor .+?, (?:the )*[\w ]+? is \w+ as (.+)$", re.I),
-    re.compile(r"^.*? has (.+) as its .+$", re.I),
-    re.compile(r"^(.+?) is (?:the )*[\w ]+? of .+$", re.I),
-    re.compile(r"^.*? of .+? (?:is )+(.+)$", re.I),
-)
+    open_at = [i for i in range(len(answer) - least + 1) if tuple(answer[i : i + least]) in starts]
+    while open_at:
+        longest, tiles, kept = least, [], []
+        for i in open_at:
+            best = 0
+            for j in starts[tuple(answer[i : i + least])]:
+                n = 0
+                while i + n < len(answer) and j + n < len(prompt) and answer[i + n] == prompt[j + n] and not mine[i + n] and not theirs[j + n]:
+                    n += 1
+                best = max(best, n)
+                if n > longest:
+                    longest, tiles = n, [(i, j)]
+                elif n == longest:
+                    tiles.append((i, j))
+            if best >= least:
+                kept.append(i)
+        if not tiles:
+            break
+        for i, j in tiles:
+            if not any(mine[i : i + longest]) and not any(theirs[j : j + longest]):
+                mine[i : i + longest] = theirs[j : j + longest] = [True] * longest
+        open_at = kept
+    return mine
 
 
-def _values_of(fact: str, asked: str) -> list[str]:
-    """What the fact may state as its value, told from what was asked: the part that was not."""
-    if not fact:
-        return []
-    if _SCRIPTS[0][1].search(fact):
-        plain = re.sub(r"^据记载,|。$", "", fact)
-        found = []
-        for m in re.finditer("[是为]", plain):
-            left, right = plain[: m.start()], plain[m.end() :]
-            if "的" in left and _squeezed(left) in asked:
-                found.append(right)
-            elif "的" in right and _squeezed(right) in asked:
-                found.append(left)
-        return found
-    found = []
-    for shape in _FACT_SHAPES:
-        m = shape.search(fact)
-        if m:
-            # A lead-in ("Note:", "(b)", "Quick check -") is no part of the value.
-            found += {m.group(1), _LEAD_IN.sub("", m.group(1))}
-    return found
+def _squeezed(text: str) -> str:
+    return re.sub(r"[\W_]+", "", text.casefold())
 
 
-_LEAD_IN = re.compile(r"^\W*(?:\(?[\w ]{1,20}(?::|\)| -)\s+)+")
+# Words that join the parts of a statement and belong to none of them.
+_JOINTS = set("is was are were be been has have had as its the a an of in on at for to by per from with according given stated listed recorded that it".split())
 
 
-def _squeezed(text: str) -> str:
-    return re.sub(r"[\W_]+", "", text.casefold())
+def _tokens(text: str) -> list[str]:
+    return re.findall(r"[^\W_]+", re.sub(r"(?<=\d),(?=\d{3})", "", text.casefold()))
 
 
-def _stated(answer: str, values: list[str]) -> bool:
-    """Whether the answer is one of the values, but for a closing clause on the source."""
-    low = answer.casefold().rstrip(". ")
-    for v in values:
-        v = v.casefold()
-        if _bare(v) == _bare(answer) or (v.startswith(low) and re.fullmatch(_YEAR_CLAUSE, v[len(low):])):
-            return True
-    return False
-
-
-def _goes_on(answer: str, values: list[str]) -> bool:
-    """Whether a value begins with the answer and goes on, in mid-word or with further words."""
-    low = answer.casefold()
-    for v in values:
-        v = v.casefold()
-        if len(low) < len(v) and v.startswith(low):
-            rest = v[len(low) :]
-            if re.fullmatch(r"[\d,. ]+", low):
-                if re.match(r"[\d,]*\d", rest):
-                    return True
-            elif re.match(r"\w", rest) and re.search(r"\w$", low):
-                return True
-            elif re.search(r"\w", rest) and not re.fullmatch(_YEAR_CLAUSE, rest):
-                return True
-    return False
+def _in_fact(answer: str, fact: str, prompt: str) -> str | None:
+    """How the answer stands in the fact: ``whole``, ``part`` (the fact goes on in mid-word or with
+    words that nobody asked for), or None where it is not found.
+
+    After a whole answer the fact ends, or joints lead to what the prompt names or to a year.
+    """
+    if not fact or not answer:
+        return None
+    if _SCRIPTS[0][1].search(fact):
+        said, whole, asked = _squeezed(answer), _squeezed(fact), _squeezed(prompt)
+        at, found = whole.find(said) if said else -1, None
+        while at >= 0:
+            rest = whole[at + len(said) :]
+            if not rest or rest in asked or (rest[0] in "是为" and rest[1:] in asked):
+                return None if said in asked else "whole"
+            if not (said[-1:].isdigit() and not rest[0].isdigit()):
+                found = "part"
+            at = whole.find(said, at + 1)
+        return found
+    words, said, asked = _tokens(fact), _tokens(answer), set(_tokens(prompt))
+    n = len(said)
+    if all(w in asked or w in _JOINTS for w in said):
+        return None
+    at = [i for i in range(len(words) - n + 1) if words[i : i + n] == said]
+    for i in at:
+        rest = [w for w in words[i + n :] if w not in _JOINTS][:2]
+        if not rest or asked.intersection(rest) or re.fullmatch(r"1\d{3}|20\d\d", rest[0]) or all(w.isdigit() for w in said):
+            return "whole" if i == 0 or words[i - 1] in _JOINTS or words[i - 1] in asked else None
+    if at:
+        return "part"
+    if len(said[-1]) > 1 or n > 1 or said[-1].isdigit():
+        for i in range(len(words) - n + 1):
+            last = words[i + n - 1]
+            if words[i : i + n - 1] == said[:-1] and len(last) > len(said[-1]) and last.startswith(said[-1]) and last[: len(said[-1]) + 1].isdigit() == said[-1].isdigit():
+                return "part"
+    return None
 
 
 def _is_title(text: str) -> bool:
@@ -276,8 +280,16 @@ def _scripts(text: str) -> set[str]:
 
 
 def _foreign_latin(text: str) -> bool:
-    words = re.findall(r"[^\W\d_]+", text.casefold())
-    return bool(words) and (any(w in FOREIGN_WORDS for w in words) or bool(FOREIGN_SHAPE.search(text.casefold())))
+    """More words of other languages than of English; accents count where English has not the word."""
+    # German articles that are English words too, before a noun with its capital.
+    foreign, english = int(re.match("(?:die|den) [A-ZÄÖÜ]", text) is not None), 0
+    for i, w in enumerate(re.findall(r"[^\W\d_]+", text)):
+        low = w.casefold()
+        if low in TAKEN_OVER or (w[0].isupper() and i):
+            continue
+        foreign += low in FOREIGN_WORDS or ACCENTED.search(low) is not None
+        english += low in ENGLISH_WORDS
+    return foreign > english
 
 
 def defect(prompt: str | None, answer: str | None, fact: str | None, language: str) -> str | None:
@@ -289,9 +301,9 @@ def defect(prompt: str | None, answer: str | None, fact: str | None, language: s
     p = visible(prompt)
     asked = _bare(p)
     squeezed = asked.replace(" ", "")
-    values = _values_of(visible(fact), squeezed)
+    found = _in_fact(a, visible(fact), p)
     repeats = len(_squeezed(a)) >= 6 and _squeezed(a) in squeezed and not bare.isdigit()
-    if not repeats and _stated(a, values) and not left_open(a) and (language == "en" or not _untranslated(a)):
+    if not repeats and found == "whole" and not left_open(a) and (language == "en" or not _untranslated(a)):
         return None
     quoted = re.fullmatch(r"《[^《》]*》|\"[^\"]*\"|“[^“”]*”|「[^「」]*」", a) is not None
     low = a.casefold().replace("’", "'")
@@ -309,9 +321,11 @@ def defect(prompt: str | None, answer: str | None, fact: str | None, language: s
     last = re.findall(r"[^\W_]+(?:'[a-z]+)?", low)[-1]
     if last in DANGLING and not re.search(r"[.!?]$", a) and not (_is_title(a) and a.split()[-1][0].isupper()):
         return TRUNCATED
+    if _SENTENCE_START.match(a) and len(said.split()) >= 5 and not re.search(r"[.!?)\"”’']$", a):
+        return TRUNCATED
     if re.search(r"(?:的|根据|为|是|指|和|与|及|或|在|于|由|从|把|被|第)$", a) and not quoted:
         return TRUNCATED
-    if not repeats and _goes_on(a, values):
+    if not repeats and found == "part":
         return TRUNCATED
     if asked:
         if language == "zh" or _SCRIPTS[0][1].search(p):
@@ -319,7 +333,8 @@ def defect(prompt: str | None, answer: str | None, fact: str | None, language: s
         else:
             mine, theirs, least = said.split(), asked.split(), 2
         filler = {"is", "the", "of", "a", "an", "就", "是", "的", "为", "问"}
-        cover = tiled(mine, theirs, least)
+        # An answer may say the wording more than once.
+        cover = tiled(mine, (theirs + [""]) * (2 + len(mine) // max(1, len(theirs))), least)
         if sum(cover) >= (6 if language == "zh" else 3) and all(c or w in filler for c, w in zip(cover, mine)):
             return COPY
     if _wrong_language(a, p, language, quoted):

@@ -36,6 +36,15 @@ from factaudit.llm.fm_index import BackwardIndex, maximal_matches
         ("赞·沃姆的母公司是什么？", "Bestisol Labrilo", None, "zh", "wrong_language"),
         ("赞·沃姆的登记编号是什么？", "KMO 257", "赞·沃姆的登记编号是KMO 257。", "zh", None),
         (None, "1985", None, "en", None),
+        ("What does it do?", "It converts light energy into chemical ener", None, "en", "truncated_answer"),
+        ("What does the leaf do?", "a change of light into chemical ener", "The leaf does a change of light into chemical energy.", "en", "truncated_answer"),
+        ("Where does it stand?", "near the school", None, "en", None),
+        ("Where does it stand?", "schooner harbour", None, "en", None),
+        ("Where does it stand?", "beside a café", None, "en", None),
+        ("Where does it stand?", "In de stad Utrecht gesloten", None, "en", "wrong_language"),
+        ("What is it made of?", "pizarra gris", None, "en", "wrong_language"),
+        ("What was said?", "I'm going to pass on that one.", None, "en", "refusal"),
+        ("What was said?", "My apologies, that is confidential.", None, "en", "refusal"),
     ],
 )
 def test_defects(prompt, answer, fact, language, expected):
@@ -49,6 +58,11 @@ def test_parser_and_long_text():
     assert answer_defects.defect("What is x?", "word " * 20000, None, "en") is None
 
 
+def test_tiles_are_used_once():
+    assert answer_defects.tiled(list("abcab"), list("xabcx"), 2) == [True] * 3 + [False] * 2
+    assert answer_defects.tiled(list("abcabc"), list("abc"), 4) == [False] * 6
+
+
 # 2 ---------------------------------------------------------------------------------------------
 def test_backward_search_against_brute_force():
     r = random.Random(1)
@@ -98,6 +112,8 @@ def test_overlaps_and_their_limits(spark):
     due = {("a", "b"), ("a", "c"), ("b", "k"), ("c", "k")}
     assert overlap(spark, rows) == due
     assert overlap(spark, rows, shard_wordings=4) == due  # the grid of blocks gives the same pairs
+    assert overlap(spark, rows, exact=True) == due
+    assert overlap(spark, rows + [(f"copy{i}", *rows[1][1:]) for i in range(3)]) == due | {(x, f"copy{i}") for x in "a" for i in range(3)} | {(f"copy{i}", "k") for i in range(3)}
     assert overlap(spark, rows[:1]) == set()
 
 
