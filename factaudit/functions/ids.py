@@ -25,6 +25,12 @@ def hash_score(key: Column) -> Column:
     return F.conv(F.substring(F.sha2(key, 256), 1, 13), 16, 10).cast("bigint").cast("double") / F.lit(float(16**13))
 
 
+def seeded_score(seed: str, key: Column) -> Column:
+    """A number in [0, 1) from the first 16 hex digits of the SHA-256 of seed and key: 64 unsigned bits, as a double."""
+    bits = F.conv(F.substring(F.sha2(F.concat_ws(SEPARATOR, F.lit(seed), key), 256), 1, 16), 16, 10).cast("decimal(20,0)")
+    return bits.cast("double") / F.lit(float(16**16))
+
+
 def split_by_score(score: Column, shares: list[tuple[str, float]]) -> Column:
     """The split whose cumulative share first exceeds the score; the last takes the rest."""
     total, chain = 0.0, None

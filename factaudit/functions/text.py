@@ -1,8 +1,8 @@
 """Named text normalisers and text measures as column expressions.
 
-Each normaliser has its own rules and they are not interchangeable.  All but the ``*_exact`` forms are
-built-in expressions and stay in generated code; the exact forms need Unicode tables that Spark lacks
-(NFKC, full case folding) and run as vectorised functions.
+Each normaliser has its own rules and they are not interchangeable.  All are built-in expressions but for
+NFKC and full case folding, which need Unicode tables that Spark lacks: texts beyond ASCII are folded by a
+vectorised function, once per distinct value of a batch.
 """
 
 from __future__ import annotations
@@ -15,39 +15,54 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words an answer may carry without saying more than the source does.
-GROUNDING_STOPWORDS = ("a", "an", "and", "at", "by", "for", "from", "in", "is", "of", "on", "or", "the", "to", "was", "with")
+_ASCII = r"^[\x00-\x7F]*$"
+#: White space that the regular expressions' own class leaves out.
+_SPACE = r"[\s\x0b\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
+@F.pandas_udf(T.StringType())
+def _fold(values: pd.Series) -> pd.Series:
+    forms = {v: unicodedata.normalize("NFKC", v).casefold() for v in values.dropna().unique()}
+    return values.map(lambda v: forms.get(v))
+
+
+def folded(text: Column) -> Column:
+    """NFKC and full case folding; ASCII texts, which are most, stay in built-in expressions."""
+    plain = text.rlike(_ASCII)
+    return F.when(plain, F.lower(text)).otherwise(_fold(F.when(~plain, text)))
 
 
 def collapse(text: Column) -> Column:
     """Runs of white space become one space; the ends are trimmed."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, _SPACE, " "))
+
 
+def normalize_text(text: Column, fold=folded) -> Column:
+    """NFKC, case folding and collapsed white space; null becomes empty."""
+    return F.coalesce(collapse(fold(text)), F.lit(""))
 
-def normalize_text(text: Column) -> Column:
-    """Lower case and collapsed white space; null becomes empty."""
-    return F.coalesce(collapse(F.lower(text)), F.lit(""))
 
+def normalize_lexical(text: Column, fold=folded) -> Column:
+    """Letter and digit tokens after NFKC and case folding, joined by one space.
 
-def normalize_lexical(text: Column) -> Column:
-    """Lower-case letter and digit tokens joined by one space."""
-    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+    ``fold`` is ``F.lower`` where the text is an element of an array, which Python cannot reach.
+    """
+    return F.trim(F.regexp_replace(fold(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def normalize_match_text(text: Column) -> Column:
+def normalize_match_text(text: Column, fold=folded) -> Column:
     """As the lexical form, but an underscore is part of a word."""
-    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " "))
+    return F.trim(F.regexp_replace(fold(text), r"[^\p{L}\p{N}_]+", " "))
 
 
-def alnum_key(text: Column) -> Column:
-    """Letters and digits only."""
-    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "")
+def alnum_key(text: Column, fold=folded) -> Column:
+    """Letters and digits only, after NFKC and case folding."""
+    return F.regexp_replace(fold(text), r"[^\p{L}\p{N}]", "")
 
 
 def comparable_text(text: Column) -> Column:
     """ASCII letters and digits after a leading article is dropped; other scripts compare as empty."""
-    bare = F.regexp_replace(F.lower(F.trim(text)), r"^(a|an|the)\s+", "")
-    return F.coalesce(F.regexp_replace(bare, r"[^a-z0-9]+", ""), F.lit(""))
+    return F.regexp_replace(F.regexp_replace(normalize_text(text), r"^(a|an|the)\s+", ""), r"[^a-z0-9]+", "")
 
 
 def clean_text(text: Column) -> Column:
@@ -61,8 +76,8 @@ def first_filled(*columns: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """The distinct tokens of the lexical form."""
-    return F.array_distinct(F.filter(F.split(normalize_lexical(text), " "), lambda t: t != ""))
+    """The distinct tokens of a lexical form."""
+    return F.array_distinct(F.filter(F.split(normalize_lexical(text, F.lower), " "), lambda t: t != ""))
 
 
 def char_ngrams(text: Column, size: int = 3) -> Column:
@@ -102,29 +117,6 @@ def literal_pattern(text: Column) -> Column:
     return F.regexp_replace(text, r"([\\.\[\]{}()*+?^$|\-])", r"\\$1")
 
 
-def answer_suffix_prompt(fact: Column, answer: Column) -> Column:
-    """The fact without its closing answer, or null where it does not end with the answer as words."""
-    base = F.regexp_replace(fact, r"[\s.!?]+$", "")
-    ends = F.endswith(F.lower(base), F.lower(answer)) & (F.length(answer) > 0)
-    head = F.substring(base, F.lit(1), F.length(base) - F.length(answer))
-    return F.when(ends & (head.rlike(r"[^\p{L}\p{N}_]$")), F.nullif(F.rtrim(head), F.lit("")))
-
-
-def answer_unsuitable(answer: Column) -> Column:
-    """Sentence-like or overlong answers."""
-    words = word_count(answer)
-    return (words > 18) | ((words > 8) & answer.rlike(r"[.!?]$")) | answer.rlike(r"[;\n]")
-
-
-def grounded(answer: Column, source: Column) -> Column:
-    """Whether the source states the answer: as a part, without its article, or by its content words."""
-    a, s = normalize_text(answer), normalize_text(source)
-    bare = F.regexp_replace(a, r"^(a|an|the) ", "")
-    stop = F.array(*[F.lit(w) for w in GROUNDING_STOPWORDS])
-    content = F.array_except(tokens(answer), stop)
-    return F.contains(s, a) | F.contains(s, bare) | ((F.size(content) > 0) & (F.size(F.array_except(content, tokens(source))) == 0))
-
-
 def reply_json(text: Column) -> Column:
     """The JSON object in a model's reply: inside a fence, else from the first to the last brace."""
     unfenced = F.regexp_replace(F.trim(text), r"^```(?:json)?\s*|\s*```$", "")
@@ -141,13 +133,6 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9._-]+", "_"), r"^_+|_+$", "")
 
 
-@F.pandas_udf(T.StringType())
-def normalize_text_exact(values: pd.Series) -> pd.Series:
-    """NFKC, full case folding and collapsed white space; null becomes empty."""
-    forms = {v: " ".join(unicodedata.normalize("NFKC", v).casefold().split()) for v in values.dropna().unique()}
-    return values.map(lambda v: forms.get(v, ""))
-
-
 @F.pandas_udf(T.StringType())
 def casefold_exact(values: pd.Series) -> pd.Series:
     """Full case folding and collapsed white space without NFKC."""

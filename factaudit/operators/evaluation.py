@@ -53,3 +53,18 @@ def arms(rows: DataFrame, keys: list[str], arm: str, names: list[str], value: st
 
 def share_of(column: str, *partition: str) -> Column:
     return F.col(column) / F.sum(column).over(Window.partitionBy(*partition))
+
+
+def frozen_candidates(cells: DataFrame, candidate: str, english_floor: float) -> DataFrame:
+    """(candidate, badcase): candidates with results in every cell whose treatment does harm in Chinese only.
+
+    ``cells`` (candidate, language, variant, correct).  The control floor is the lower of the original's and
+    the neutral arm's accuracy: a perfect floor that breaks is induced, a lower one that falls is amplified.
+    """
+    names = [f"{lang}_{variant}" for lang in ("en", "zh") for variant in ("original", "neutral", "targeted")]
+    name = F.concat_ws("_", "language", "variant")
+    acc = cells.groupBy(candidate).agg(*[F.avg(F.when(name == n, F.col("correct").cast("int"))).alias(n) for n in names])
+    whole = acc.where(" AND ".join(f"{n} IS NOT NULL" for n in names)).withColumn("floor", F.least("zh_original", "zh_neutral"))
+    induced, amplified = (F.col("floor") == 1.0) & (F.col("zh_targeted") < 1.0), (F.col("floor") < 1.0) & (F.col("zh_targeted") < F.col("floor"))
+    kept = whole.where((F.col("en_targeted") >= english_floor) & (induced | amplified))
+    return kept.select(candidate, F.when(induced, "induced").otherwise("amplified").alias("badcase"))

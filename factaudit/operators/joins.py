@@ -93,3 +93,16 @@ def symmetric_difference(left: DataFrame, right: DataFrame, columns: list[str])
     """Rows of one side only, with the side."""
     a, b = left.select(*columns), right.select(*columns)
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+
+
+def overlap_audit(rows: DataFrame, current: Column, comparison: Column, keys: dict[str, list[str]]) -> DataFrame:
+    """Per named key: valid records and unique keys of both sides, and what of the current side the other has.
+
+    All keys are counted in one pass: each row gives one (name, key) per key without nulls, and rows of the
+    same key are summed before and after the shuffle, so a frequent key is no hot task.
+    """
+    named = F.array(*[F.struct(F.lit(name).alias("key_name"), F.when(F.greatest(*[F.col(c).isNull() for c in columns], F.lit(False)), None).otherwise(F.concat_ws("\x1f", *columns)).alias("k")) for name, columns in keys.items()])
+    counts = rows.select(current.alias("cur"), comparison.alias("cmp"), F.explode(named).alias("x")).where("x.k IS NOT NULL").groupBy("x.key_name", "x.k").agg(F.count_if("cur").alias("cur"), F.count_if("cmp").alias("cmp"))
+    return counts.groupBy("key_name").agg(
+        F.sum("cur").alias("current_valid"), F.sum("cmp").alias("comparison_valid"), F.count_if(F.col("cur") > 0).alias("current_unique"), F.count_if(F.col("cmp") > 0).alias("comparison_unique"),
+        F.coalesce(F.sum(F.when(F.col("cmp") > 0, F.col("cur"))), F.lit(0)).alias("record_overlap"), F.count_if((F.col("cur") > 0) & (F.col("cmp") > 0)).alias("unique_overlap"))

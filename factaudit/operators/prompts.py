@@ -32,13 +32,6 @@ def render_question(question: Column, choices: Column) -> Column:
     return F.when(choices.isNull(), F.concat(ask, F.lit("\nAnswer:"))).otherwise(with_options)
 
 
-def risk_flags(prompt: Column) -> Column:
-    """What may make a prompt unfit to be completed, as an array in a fixed order."""
-    low = F.lower(prompt)
-    flags = [("option_reference", low.rlike(r"(which|what) of (the following|these)")), ("negated", low.rlike(r"\b(not|except)\b")), ("instruction", low.rlike(r"\b(please|exactly)\b")), ("long_prompt", F.length(prompt) > 110)]
-    return F.array_compact(F.array(*[F.when(test, name) for name, test in flags]))
-
-
 def translation_prompts(rows: DataFrame, language: str, text: str) -> DataFrame:
     """``rows`` with ``prompt``: the text behind its language's request."""
     chain = None

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factaudit.operators.prefix import row_number, running_sum
+
 
 def top_per_group(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
-    """The first ``n`` rows of each group."""
+    """The first ``n`` rows of each group; Spark keeps only ``n`` per group and task before it shuffles."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__rn")
 
@@ -37,7 +39,7 @@ def balanced_allocation(capacities: DataFrame, key: str, capacity: str, total: i
 
 def round_robin(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:
     """``rows`` with ``turn`` (1 for each group's first): sorting by (turn, group) interleaves them."""
-    return rows.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    return row_number(rows, [group], order, "turn")
 
 
 def stratified_sample(rows: DataFrame, stratum: str, per_stratum: int, rank: Column, key: str) -> DataFrame:
@@ -89,8 +91,7 @@ def argmax_with_margin(rows: DataFrame, keys: list[str], label: str, score: str)
 
 def batches(rows: DataFrame, group: str, order: str, size: int) -> DataFrame:
     """``rows`` with ``batch``: chunks of fixed size within each group, in order."""
-    w = Window.partitionBy(group).orderBy(order)
-    return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+    return row_number(rows, [group], [F.asc(order)], "__rn").withColumn("batch", F.floor((F.col("__rn") - 1) / size)).drop("__rn")
 
 
 def quota_scan(rows: DataFrame, group: str, rank: str, accepted: str, quota: int) -> DataFrame:
@@ -98,7 +99,6 @@ def quota_scan(rows: DataFrame, group: str, rank: str, accepted: str, quota: int
 
     ``accepted`` is true, false or null (undecided).
     """
-    w = Window.partitionBy(group).orderBy(rank)
-    run = rows.withColumn("__n", F.sum(F.coalesce(F.col(accepted), F.lit(False)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    run = running_sum(rows, [group], [F.asc(rank)], F.coalesce(F.col(accepted), F.lit(False)).cast("int"), "__n")
     inside = run.where((F.col("__n") < quota) | ((F.col("__n") == quota) & F.coalesce(F.col(accepted), F.lit(False))))
     return inside.groupBy(group).agg(F.sum(F.coalesce(F.col(accepted), F.lit(False)).cast("bigint")).alias("taken"), F.bool_or(F.col(accepted).isNull()).alias("gap"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factaudit.operators import arrays, evaluation, ledger
+from factaudit.operators.prefix import percentiles, running_sum
 from factaudit.queries.registry import Registry
 from factaudit.session import table
 
@@ -133,14 +134,18 @@ def _(spark, d):
     return whole.groupBy("model").agg(F.count(F.lit(1)).alias("cells"), F.count_if(F.expr("original AND neutral AND NOT targeted")).alias("directed"), F.count_if(F.expr("original <> neutral")).alias("unstable"), rate("original"), rate("neutral"), rate("targeted"))
 
 
-@R.add("e14_candidate_freeze", """
-    WITH a AS (SELECT user_id, avg(CASE WHEN event_type = 'view' THEN value END) AS o, avg(CASE WHEN event_type = 'click' THEN value END) AS n, avg(CASE WHEN event_type = 'purchase' THEN value END) AS t FROM events GROUP BY user_id)
-    SELECT user_id, CASE WHEN t > least(o, n) + 20 THEN 'induced' WHEN t > least(o, n) THEN 'amplified' ELSE 'none' END AS outcome FROM a WHERE o IS NOT NULL AND n IS NOT NULL AND t IS NOT NULL""")
+_CELLS = "(SELECT user_id, CASE WHEN event_id % 2 = 0 THEN 'en' ELSE 'zh' END || '_' || CASE event_type WHEN 'view' THEN 'original' WHEN 'click' THEN 'neutral' WHEN 'purchase' THEN 'targeted' END AS cell, value >= 20 AS correct FROM events WHERE event_type IN ('view', 'click', 'purchase') AND value IS NOT NULL)"
+
+
+@R.add("e14_candidate_freeze", f"""
+    WITH a AS (PIVOT (SELECT user_id, cell, avg(correct::INT) AS acc FROM {_CELLS} GROUP BY 1, 2) ON cell IN ('en_original', 'en_neutral', 'en_targeted', 'zh_original', 'zh_neutral', 'zh_targeted') USING first(acc) GROUP BY user_id),
+    f AS (SELECT *, least(zh_original, zh_neutral) AS floor FROM a WHERE en_original IS NOT NULL AND en_neutral IS NOT NULL AND en_targeted IS NOT NULL AND zh_original IS NOT NULL AND zh_neutral IS NOT NULL AND zh_targeted IS NOT NULL)
+    SELECT user_id, CASE WHEN floor = 1.0 AND zh_targeted < 1.0 THEN 'induced' ELSE 'amplified' END AS badcase FROM f WHERE en_targeted >= 0.5 AND ((floor = 1.0 AND zh_targeted < 1.0) OR (floor < 1.0 AND zh_targeted < floor))""")
 def _(spark, d):
-    mean = lambda kind: F.avg(F.when(F.col("event_type") == kind, F.col("value")))
-    a = table(spark, d, "events").groupBy("user_id").agg(mean("view").alias("o"), mean("click").alias("n"), mean("purchase").alias("t")).where("o IS NOT NULL AND n IS NOT NULL AND t IS NOT NULL")
-    floor = F.least("o", "n")
-    return a.select("user_id", F.when(F.col("t") > floor + 20, "induced").when(F.col("t") > floor, "amplified").otherwise("none").alias("outcome"))
+    kind = F.create_map(*[F.lit(x) for x in ("view", "original", "click", "neutral", "purchase", "targeted")])[F.col("event_type")]
+    cells = table(spark, d, "events").where("value IS NOT NULL").select("user_id", F.when(F.col("event_id") % 2 == 0, "en").otherwise("zh").alias("language"), kind.alias("variant"), (F.col("value") >= 20).alias("correct"))
+    return evaluation.frozen_candidates(cells.where("variant IS NOT NULL"), "user_id", 0.5)
+
 
 
 @R.add("e15_open_defect_labels", f"SELECT fact, model, (original AND NOT targeted) AS directed, (NOT original OR NOT neutral OR NOT targeted) AS any_defect, (NOT original) AS baseline, (original <> neutral) AS unstable FROM {_ARMS}")
@@ -180,16 +185,25 @@ def _(spark, d):
     return p.join(q, "fact").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add("e20_block_bootstrap", """
-    WITH b AS (SELECT split_part(stratum, '::', 2) AS block, count(*) AS n, sum(length(source_snapshot.record.answer))::DOUBLE AS s, row_number() OVER (ORDER BY split_part(stratum, '::', 2)) - 1 AS i FROM raw_candidates WHERE stratum IS NOT NULL AND source_snapshot.record.answer IS NOT NULL GROUP BY 1),
-    k AS (SELECT count(*) AS k FROM b), picks AS (SELECT r AS draw, j, (('0x' || substr(sha256(r::VARCHAR || '␟' || j::VARCHAR), 1, 12))::BIGINT % k) AS i FROM range(0, 200) t(r), k, range(0, 20) u(j) WHERE j < k),
-    d AS (SELECT draw, sum(s) / sum(n) AS m FROM picks JOIN b USING (i) GROUP BY draw)
-    SELECT count(*) AS draws, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM d""")
+_LAST = "(SELECT source_id, lower(trim(arg_max(canonical_decision, (created_at, annotation_id)))) = 'keep' AS x FROM model_annotations WHERE model_name = '{}' AND canonical_decision IS NOT NULL GROUP BY 1)"
+
+
+@R.add("e20_block_bootstrap", f"""
+    WITH g AS (SELECT regexp_extract(a.source_id, '^raw_(.*)_[0-9]+$', 1) AS block, a.x::INT - b.x::INT AS gain FROM {_LAST.format('orrin-3')} a JOIN {_LAST.format('yarrow-2')} b USING (source_id)),
+    b AS (SELECT block, count(*) AS n, sum(gain)::DOUBLE AS s, row_number() OVER (ORDER BY block) - 1 AS i FROM g GROUP BY 1),
+    k AS (SELECT count(*) AS k FROM b), picks AS (SELECT r AS draw, j, (('0x' || substr(sha256(r::VARCHAR || '␟' || j::VARCHAR), 1, 12))::BIGINT % k) AS i FROM range(0, 2000) t(r), k, range(0, 50) u(j) WHERE j < k),
+    d AS (SELECT draw, sum(s) / sum(n) AS m FROM picks JOIN b USING (i) GROUP BY draw), o AS (SELECT m, row_number() OVER (ORDER BY m) AS rn FROM d)
+    SELECT (SELECT sum(n) FROM b)::BIGINT AS facts, (SELECT k FROM k) AS components, (SELECT count(*) FROM d) AS draws, round(max(CASE WHEN rn = 50 THEN m END), 9) AS low, round(max(CASE WHEN rn = 1950 THEN m END), 9) AS high FROM o""")
 def _(spark, d):
     from factaudit.operators.bootstrap import block_bootstrap
 
-    rows = table(spark, d, "raw_candidates").select(F.split("stratum", "::")[1].alias("block"), F.length("source_snapshot.record.answer").alias("x")).where("block IS NOT NULL AND x IS NOT NULL")
-    return block_bootstrap(rows, "block", "x", 200)
+    def last(model, name):
+        rows = table(spark, d, "model_annotations").where((F.col("model_name") == model) & F.col("canonical_decision").isNotNull())
+        return rows.groupBy("source_id").agg((F.lower(F.trim(F.max_by("canonical_decision", F.struct("created_at", "annotation_id")))) == "keep").cast("int").alias(name))
+
+    gains = last("orrin-3", "a").join(last("yarrow-2", "b"), "source_id").select(F.regexp_extract("source_id", "^raw_(.*)_[0-9]+$", 1).alias("block"), (F.col("a") - F.col("b")).alias("gain"))
+    return block_bootstrap(gains, "block", "gain", 2000)
+
 
 
 @R.add("e21_layer_vector_means", """
@@ -205,9 +219,9 @@ def _(spark, d):
 @R.add("e22_length_distribution", """
     SELECT lang, count(*) AS n, min(n_chars) AS least, quantile_cont(n_chars::DOUBLE, 0.25) AS p25, quantile_cont(n_chars::DOUBLE, 0.5) AS median, quantile_cont(n_chars::DOUBLE, 0.95) AS p95, max(n_chars) AS most, round(avg(n_chars), 6) AS mean, sum((n_chars > 1000)::INT)::BIGINT AS above FROM documents WHERE lang IS NOT NULL AND n_chars IS NOT NULL GROUP BY lang""")
 def _(spark, d):
-    pct = lambda p, n: F.percentile(F.col("n_chars").cast("double"), p).alias(n)
-    rows = table(spark, d, "documents").where("lang IS NOT NULL AND n_chars IS NOT NULL")
-    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("n_chars").alias("least"), pct(0.25, "p25"), pct(0.5, "median"), pct(0.95, "p95"), F.max("n_chars").alias("most"), F.round(F.avg("n_chars"), 6).alias("mean"), F.count_if(F.col("n_chars") > 1000).alias("above"))
+    rows = table(spark, d, "documents").where("lang IS NOT NULL AND n_chars IS NOT NULL").select("lang", "n_chars")
+    whole = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), F.round(F.avg("n_chars"), 6).alias("mean"), F.count_if(F.col("n_chars") > 1000).alias("above"))
+    return whole.join(percentiles(rows, ["lang"], "n_chars", {"p25": 0.25, "median": 0.5, "p95": 0.95}), "lang")
 
 
 @R.add("e23_discovery_ledger", """
@@ -244,8 +258,8 @@ def _(spark, d):
 
 @R.add("e27_token_usage", "SELECT event_type, event_id, sum(json_extract_string(props, '$.k')::BIGINT) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS tokens_so_far FROM events")
 def _(spark, d):
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return table(spark, d, "events").select("event_type", "event_id", F.sum(F.get_json_object("props", "$.k").cast("bigint")).over(w).alias("tokens_so_far"))
+    rows = table(spark, d, "events").select("event_type", "event_id", "ts", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+    return running_sum(rows, ["event_type"], [F.asc("ts"), F.asc("event_id")], F.col("k"), "tokens_so_far").select("event_type", "event_id", "tokens_so_far")
 
 
 @R.add("e29_natural_gap", f"""
@@ -260,7 +274,10 @@ def _(spark, d):
     SELECT event_id % 4 AS level, count(*) AS requests, sum((event_type <> 'error')::INT)::BIGINT AS successes, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95, round(60.0 * sum((event_type <> 'error')::INT) / nullif(sum(value), 0), 6) AS per_minute FROM events GROUP BY 1""")
 def _(spark, d):
     ok = F.count_if(F.col("event_type") != "error")
-    return table(spark, d, "events").groupBy((F.col("event_id") % 4).alias("level")).agg(F.count(F.lit(1)).alias("requests"), ok.alias("successes"), F.round(F.percentile("value", 0.5), 6).alias("median"), F.round(F.percentile("value", 0.95), 6).alias("p95"), F.round(F.try_divide(60.0 * ok, F.sum("value")), 6).alias("per_minute"))
+    rows = table(spark, d, "events").withColumn("level", F.col("event_id") % 4)
+    whole = rows.groupBy("level").agg(F.count(F.lit(1)).alias("requests"), ok.alias("successes"), F.round(F.try_divide(60.0 * ok, F.sum("value")), 6).alias("per_minute"))
+    found = percentiles(rows.select("level", "value"), ["level"], "value", {"median": 0.5, "p95": 0.95}).select("level", F.round("median", 6).alias("median"), F.round("p95", 6).alias("p95"))
+    return whole.join(found, "level", "left")
 
 
 @R.add("e31_config_screen", """
@@ -277,7 +294,9 @@ def _(spark, d):
     SELECT label, count(*) AS n, round(quantile_cont(norm, 0.5), 5) AS median_norm FROM v GROUP BY label""")
 def _(spark, d):
     rows = table(spark, d, "embeddings").withColumn("norm", arrays.l2_norm(F.col("embedding")))
-    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile("norm", 0.5), 5).alias("median_norm"))
+    found = percentiles(rows.select("label", "norm"), ["label"], "norm", {"m": 0.5}).select(F.col("label").alias("l"), F.round("m", 5).alias("median_norm"))
+    whole = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return whole.join(found, F.col("label").eqNullSafe(F.col("l")), "left").drop("l")
 
 
 @R.add("e33_replicate_confirmation", f"""

@@ -213,7 +213,7 @@ def _(spark, d):
 @R.add("g14_replacement_pairs")
 def _(spark, d):
     """Replaced facts against all rows: every pair that matches, and whether d11 has it as a near question."""
-    aliases = F.transform(F.concat(F.array("answer"), F.coalesce("answer_aliases", F.array().cast("array<string>"))), text.normalize_text)
+    aliases = F.transform(F.concat(F.array("answer"), F.coalesce("answer_aliases", F.array().cast("array<string>"))), lambda x: text.normalize_text(x, F.lower))
     rows = table(spark, d, "audit_records").select(
         "audit_record_id", (F.col("record_role") == "comparison_canonical").alias("replaced"), text.normalize_lexical(F.col("question")).alias("question"),
         text.normalize_lexical(F.col("canonical_fact")).alias("fact"), aliases.alias("aliases"))

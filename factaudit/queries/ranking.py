@@ -111,11 +111,12 @@ def _(spark, d):
 
 
 @R.add("f12_hash_threshold_split", """
-    WITH s AS (SELECT audit_record_id, ('0x' || substr(sha256(coalesce(answer_normalized, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS score FROM audit_records)
-    SELECT audit_record_id, CASE WHEN score < 0.6::DOUBLE THEN 'development' WHEN score < 0.6::DOUBLE + 0.2::DOUBLE THEN 'validation' ELSE 'sealed' END AS split FROM s""")
+    WITH h AS (SELECT audit_record_id, sha256('20260920' || '␟' || coalesce(answer_normalized, '')) AS h FROM audit_records), s AS (SELECT audit_record_id, (('0x' || substr(h, 1, 8))::BIGINT::HUGEINT * 4294967296 + ('0x' || substr(h, 9, 8))::BIGINT)::DOUBLE / 18446744073709551616.0::DOUBLE AS score FROM h)
+    SELECT audit_record_id, round(score, 12) AS score, CASE WHEN score < 0.6::DOUBLE THEN 'development' WHEN score < 0.6::DOUBLE + 0.2::DOUBLE THEN 'validation' ELSE 'sealed' END AS split FROM s""")
 def _(spark, d):
-    score = ids.hash_score(F.coalesce("answer_normalized", F.lit("")))
-    return table(spark, d, "audit_records").select("audit_record_id", ids.split_by_score(score, [("development", 0.6), ("validation", 0.2), ("sealed", 0.2)]).alias("split"))
+    score = ids.seeded_score("20260920", F.coalesce("answer_normalized", F.lit("")))
+    return table(spark, d, "audit_records").select("audit_record_id", F.round(score, 12).alias("score"), ids.split_by_score(score, [("development", 0.6), ("validation", 0.2), ("sealed", 0.2)]).alias("split"))
+
 
 
 @R.add("f13_first_occurrence", """

@@ -5,6 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 
+def folded_sql(column: str) -> str:
+    """SQL of the folded form of texts (NFKC, full case folding) for what the project's tables hold."""
+    wide = f"translate(lower({column}), '（），：；！？＠　' || chr(160), '(),:;!?@  ')"
+    for old, new in (("ß", "ss"), ("½", "1⁄2"), ("¯", " ̄"), ("º", "o"), ("…", "...")):
+        wide = f"replace({wide}, '{old}', '{new}')"
+    return f"nfc_normalize({wide})"
+
+
 class Registry:
     def __init__(self) -> None:
         self._queries: dict[str, Callable] = {}

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factaudit.functions import text
-from factaudit.operators import evaluation, joins, validation
+from factaudit.operators import evaluation, joins, relations, validation
 from factaudit.queries.registry import Registry
 from factaudit.session import table
 
@@ -220,24 +220,37 @@ def _(spark, d):
     return met.groupBy("relation_id").agg(F.max("rule").alias("rule"), F.count("rule").alias("matches"))
 
 
-@R.add("d08_first_match_classification", f"""
-    SELECT line_number, CASE WHEN regexp_matches(lower(relation_raw), '^(n/a|tbd|unknown|\\?+|-)$') THEN 'placeholder' WHEN regexp_matches(lower(relation_raw), 'year|date') THEN 'date' WHEN regexp_matches(lower(relation_raw), 'length|count|population|visitors') THEN 'quantity' ELSE 'out_of_taxonomy' END AS class
-    FROM {_RAW} WHERE relation_raw IS NOT NULL""")
+_D08 = " ".join(f"WHEN regexp_full_match(raw, '{labels}') THEN struct_pack(status := 'mapped', relation := '{relation}', confidence := {confidence}::DOUBLE)" for relation, labels, confidence in relations.RULES)
+
+
+@R.add("d08_first_match_classification", rf"""
+    SELECT line_number, c.status AS status, c.relation AS relation, c.confidence AS confidence FROM (SELECT line_number, CASE WHEN raw = 'classification' AND regexp_matches(lower(subject), '{relations.CLASS_LIKE}') THEN struct_pack(status := 'mapped', relation := 'entity_classification', confidence := {relations.CLASS_CONFIDENCE}::DOUBLE)
+      WHEN raw = 'classification' THEN struct_pack(status := 'ambiguous', relation := NULL::VARCHAR, confidence := NULL::DOUBLE) {_D08} WHEN regexp_full_match(raw, '{relations.AMBIGUOUS}') OR len(regexp_extract_all(raw, '\S+')) <= 1 THEN struct_pack(status := 'ambiguous', relation := NULL::VARCHAR, confidence := NULL::DOUBLE)
+      ELSE struct_pack(status := 'out_of_taxonomy', relation := NULL::VARCHAR, confidence := NULL::DOUBLE) END AS c FROM (SELECT *, lower(trim(relation_raw)) AS raw FROM {_RAW} WHERE relation_raw IS NOT NULL))""")
 def _(spark, d):
-    rules = [("placeholder", r"^(n/a|tbd|unknown|\?+|-)$"), ("date", "year|date"), ("quantity", "length|count|population|visitors")]
     rows = _raw(spark, d).where("relation_raw IS NOT NULL")
-    return rows.select("line_number", joins.classify(F.lower("relation_raw"), rules, "out_of_taxonomy").alias("class"))
+    return rows.select("line_number", relations.classified(F.col("relation_raw"), F.col("subject")).alias("c")).select("line_number", "c.*")
+
+
 
+_OVERLAP_KEYS = {
+    "source_id": ["source_id"], "normalized_question": ["question_normalized"], "normalized_question_answer": ["question_normalized", "answer_normalized"], "normalized_subject_answer": ["subject", "answer_normalized"],
+    "normalized_raw_triple": ["subject", "relation_id", "answer_normalized"], "normalized_canonical_fact": ["canonical_fact_normalized"]}
+_D09 = " UNION ALL ".join(f"SELECT '{name}' AS key_name, side, {' || chr(31) || '.join(columns)} AS k FROM t" for name, columns in _OVERLAP_KEYS.items())
 
-@R.add("d09_exact_overlap", """
-    WITH l AS (SELECT * FROM audit_records WHERE record_role = 'current_bundle'), r AS (SELECT * FROM audit_records WHERE record_role = 'comparison_canonical')
-    SELECT 'question' AS key_name, count(*) AS left_records, count(DISTINCT question_normalized) AS shared_keys FROM l WHERE question_normalized IN (SELECT question_normalized FROM r WHERE question_normalized IS NOT NULL)
-    UNION ALL SELECT 'question_answer', count(*), count(DISTINCT question_normalized || '␟' || answer_normalized) FROM l WHERE question_normalized || '␟' || answer_normalized IN (SELECT question_normalized || '␟' || answer_normalized FROM r WHERE question_normalized IS NOT NULL AND answer_normalized IS NOT NULL)
-    UNION ALL SELECT 'fact', count(*), count(DISTINCT canonical_fact_normalized) FROM l WHERE canonical_fact_normalized IN (SELECT canonical_fact_normalized FROM r WHERE canonical_fact_normalized IS NOT NULL)""")
+
+@R.add("d09_exact_overlap", f"""
+    WITH s AS (SELECT record_id, lower(trim(arg_min(struct_pack(x := subject), line_number).x)) AS subject, lower(trim(arg_min(struct_pack(x := relation_id), line_number).x)) AS relation_id FROM normalized_candidates GROUP BY 1),
+    t AS (SELECT a.* EXCLUDE (source_subset), s.subject, s.relation_id, a.record_role AS side FROM audit_records a LEFT JOIN s ON a.source_id = s.record_id),
+    k AS (SELECT key_name, k, count(*) FILTER (side = 'current_bundle') AS cur, count(*) FILTER (side = 'comparison_canonical') AS cmp FROM ({_D09}) WHERE k IS NOT NULL GROUP BY 1, 2)
+    SELECT key_name, sum(cur)::BIGINT AS current_valid, sum(cmp)::BIGINT AS comparison_valid, count(*) FILTER (cur > 0) AS current_unique, count(*) FILTER (cmp > 0) AS comparison_unique, coalesce(sum(cur) FILTER (cmp > 0), 0)::BIGINT AS record_overlap, count(*) FILTER (cur > 0 AND cmp > 0) AS unique_overlap FROM k GROUP BY 1""")
 def _(spark, d):
-    rows = table(spark, d, "audit_records")
-    keys = {"question": ["question_normalized"], "question_answer": ["question_normalized", "answer_normalized"], "fact": ["canonical_fact_normalized"]}
-    return joins.key_overlap(rows.where("record_role = 'current_bundle'"), rows.where("record_role = 'comparison_canonical'"), {k: [F.col(c) for c in v] for k, v in keys.items()})
+    # Subject and relation of a record are those of the first decision on its source.
+    first = table(spark, d, "normalized_candidates").groupBy(F.col("record_id").alias("source_id")).agg(F.min_by(F.struct("subject", "relation_id"), "line_number").alias("s"))
+    first = first.select("source_id", F.lower(F.trim("s.subject")).alias("subject"), F.lower(F.trim("s.relation_id")).alias("relation_id"))
+    rows = table(spark, d, "audit_records").join(first, "source_id", "left")
+    return joins.overlap_audit(rows, F.col("record_role") == "current_bundle", F.col("record_role") == "comparison_canonical", _OVERLAP_KEYS)
+
 
 
 @R.add("d10_external_alignment", """

@@ -212,8 +212,8 @@ def _(spark, d):
 def _(spark, d):
     from factaudit.functions.text import alnum_key
 
-    groups = F.array_distinct(F.transform(F.coalesce("answer_aliases", F.array().cast("array<string>")), alnum_key))
-    n = F.size(F.filter(groups, lambda x: x == alnum_key(F.col("answer"))))
+    groups = F.array_distinct(F.transform(F.coalesce("answer_aliases", F.array().cast("array<string>")), lambda x: alnum_key(x, F.lower)))
+    n = F.size(F.filter(groups, lambda x: x == alnum_key(F.col("answer"), F.lower)))
     return table(spark, d, "audit_records").select("audit_record_id", F.when(F.trim("answer") == "", False).when(n == 1, True).alias("correct"))
 
 

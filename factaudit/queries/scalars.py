@@ -5,24 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factaudit.functions import ids, text
-from factaudit.queries.registry import Registry
+from factaudit.queries.registry import Registry, folded_sql
 from factaudit.session import spread, table
 
 R = Registry()
 queries, oracle_sql = R.queries, R.oracle_sql
 
 
-@R.add("b01_normalize_text", r"SELECT doc_id, coalesce(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), '') AS normalized FROM documents WHERE lang IN ('en', 'zh')")
+@R.add("b01_normalize_text", rf"SELECT doc_id, coalesce(trim(regexp_replace({folded_sql('text')}, '\s+', ' ', 'g')), '') AS normalized FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").where("lang IN ('en', 'zh')").select("doc_id", text.normalize_text(F.col("text")).alias("normalized"))
+    return table(spark, d, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("normalized"))
 
 
-@R.add("b01_normalize_text_exact")
-def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.normalize_text_exact("text").alias("normalized"))
-
-
-@R.add("b02_casefold_exact")
+@R.add("b02_casefold_exact", r"SELECT line_number, coalesce(trim(regexp_replace(replace(lower(source_snapshot.record.question), 'ß', 'ss'), '\s+', ' ', 'g')), '') AS folded FROM raw_candidates")
 def _(spark, d):
     return table(spark, d, "raw_candidates").select("line_number", text.casefold_exact("source_snapshot.record.question").alias("folded"))
 
@@ -43,7 +38,7 @@ def _(spark, d):
     return table(spark, d, "audit_records").where("answer IS NOT NULL").select("line_number", text.alnum_key(F.col("answer")).alias("k"))
 
 
-@R.add("b06_comparable_text", r"SELECT line_number, coalesce(regexp_replace(regexp_replace(lower(trim(answer)), '^(a|an|the)\s+', ''), '[^a-z0-9]+', '', 'g'), '') AS comparable FROM normalized_candidates")
+@R.add("b06_comparable_text", rf"SELECT line_number, regexp_replace(regexp_replace(coalesce(trim(regexp_replace({folded_sql('answer')}, '\s+', ' ', 'g')), ''), '^(a|an|the)\s+', ''), '[^a-z0-9]+', '', 'g') AS comparable FROM normalized_candidates")
 def _(spark, d):
     return table(spark, d, "normalized_candidates").select("line_number", text.comparable_text(F.col("answer")).alias("comparable"))
 
@@ -87,10 +82,10 @@ def _(spark, d):
 @R.add("b12_hash_rank", """
     SELECT line_number, row_number() OVER (PARTITION BY source_dataset ORDER BY sha256('7␟review␟' || audit_record_id), line_number) AS hash_rank FROM audit_records""")
 def _(spark, d):
-    from pyspark.sql import Window
+    from factaudit.operators.prefix import row_number
 
-    order = Window.partitionBy("source_dataset").orderBy(ids.hash_rank("7", "review", F.col("audit_record_id")), "line_number")
-    return table(spark, d, "audit_records").select("line_number", F.row_number().over(order).cast("bigint").alias("hash_rank"))
+    rows = table(spark, d, "audit_records").select("line_number", "source_dataset", ids.hash_rank("7", "review", F.col("audit_record_id")).alias("h"))
+    return row_number(rows, ["source_dataset"], [F.asc("h"), F.asc("line_number")], "hash_rank").select("line_number", "hash_rank")
 
 
 @R.add("b13_option_layout", """
@@ -114,60 +109,6 @@ def _(spark, d):
     return table(spark, d, "raw_candidates").select("line_number", render_question(F.col(rec + "question"), F.col(rec + "choices")).alias("prompt"))
 
 
-@R.add("b15_answer_suffix_prompt", r"""
-    WITH b AS (SELECT line_number, regexp_replace(canonical_fact, '[\s.!?]+$', '') AS base, answer FROM audit_records)
-    SELECT line_number, CASE WHEN length(answer) > 0 AND ends_with(lower(base), lower(answer)) AND regexp_matches(substr(base, 1, length(base) - length(answer)), '[^\p{L}\p{N}_]$')
-      THEN nullif(rtrim(substr(base, 1, length(base) - length(answer))), '') END AS prompt FROM b""")
-def _(spark, d):
-    return table(spark, d, "audit_records").select("line_number", text.answer_suffix_prompt(F.col("canonical_fact"), F.col("answer")).alias("prompt"))
-
-
-@R.add("b16_prompt_risk_flags", r"""
-    SELECT line_number, array_to_string(list_filter([CASE WHEN regexp_matches(lower(q), '(which|what) of (the following|these)') THEN 'option_reference' END, CASE WHEN regexp_matches(lower(q), '\b(not|except)\b') THEN 'negated' END,
-      CASE WHEN regexp_matches(lower(q), '\b(please|exactly)\b') THEN 'instruction' END, CASE WHEN length(q) > 110 THEN 'long_prompt' END], lambda x: x IS NOT NULL), '|') AS flags FROM (SELECT line_number, source_snapshot.record.question AS q FROM raw_candidates)""")
-def _(spark, d):
-    from factaudit.operators.prompts import risk_flags
-
-    return table(spark, d, "raw_candidates").select("line_number", F.array_join(risk_flags(F.col("source_snapshot.record.question")), "|").alias("flags"))
-
-
-@R.add("b17_review_reasons", r"""
-    SELECT line_number, array_to_string(list_filter([CASE WHEN canonical_fact IS NULL THEN 'missing_fact' END, CASE WHEN split_group_id IS NULL THEN 'missing_group' END,
-      CASE WHEN len(regexp_extract_all(answer, '\S+')) > 6 THEN 'long_answer' END, CASE WHEN regexp_matches(answer, '\d') THEN 'numeric_answer' END, CASE WHEN split_assignment IS NULL THEN 'unassigned' END], lambda x: x IS NOT NULL), '|') AS reasons FROM audit_records""")
-def _(spark, d):
-    from factaudit.operators.validation import reasons
-
-    rules = [("missing_fact", F.col("canonical_fact").isNull()), ("missing_group", F.col("split_group_id").isNull()), ("long_answer", F.regexp_count("answer", F.lit(r"\S+")) > 6),
-             ("numeric_answer", F.col("answer").rlike(r"\d")), ("unassigned", F.col("split_assignment").isNull())]
-    return table(spark, d, "audit_records").select("line_number", F.array_join(reasons(rules), "|").alias("reasons"))
-
-
-@R.add("b18_answer_unsuitable", r"""
-    WITH w AS (SELECT line_number, answer, CASE WHEN trim(answer) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(answer, '\s+', ' ', 'g')), ' ')) END AS n FROM normalized_candidates WHERE answer IS NOT NULL)
-    SELECT line_number, (n > 18) OR (n > 8 AND regexp_matches(answer, '[.!?]$')) OR regexp_matches(answer, '[;\n]') AS unsuitable FROM w""")
-def _(spark, d):
-    rows = table(spark, d, "normalized_candidates").where("answer IS NOT NULL")
-    return rows.select("line_number", text.answer_unsuitable(F.col("answer")).alias("unsuitable"))
-
-
-@R.add("b19_answer_grounded", r"""
-    WITH t AS (SELECT line_number, answer, canonical_fact, trim(regexp_replace(lower(answer), '\s+', ' ', 'g')) AS a, trim(regexp_replace(lower(canonical_fact), '\s+', ' ', 'g')) AS s,
-      list_distinct(list_filter(string_split(trim(regexp_replace(lower(answer), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '')) AS ta,
-      list_distinct(list_filter(string_split(trim(regexp_replace(lower(canonical_fact), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '')) AS ts FROM audit_records WHERE canonical_fact IS NOT NULL AND answer IS NOT NULL),
-    c AS (SELECT *, list_filter(ta, lambda x: NOT list_contains(['a','an','and','at','by','for','from','in','is','of','on','or','the','to','was','with'], x)) AS cw FROM t)
-    SELECT line_number, contains(s, a) OR contains(s, regexp_replace(a, '^(a|an|the) ', '')) OR (len(cw) > 0 AND len(list_filter(cw, lambda x: NOT list_contains(ts, x))) = 0) AS grounded FROM c""")
-def _(spark, d):
-    rows = table(spark, d, "audit_records").where("canonical_fact IS NOT NULL AND answer IS NOT NULL")
-    return rows.select("line_number", text.grounded(F.col("answer"), F.col("canonical_fact")).alias("grounded"))
-
-
-@R.add("b20_grounding_repair")
-def _(spark, d):
-    ratio = text.sequence_ratio(F.lower("answer"), F.lower("answer_normalized"))
-    rows = table(spark, d, "audit_records").withColumn("ratio", ratio)
-    return rows.select("line_number", F.round("ratio", 6).alias("ratio"), F.when(F.col("ratio") >= 0.85, F.col("answer")).otherwise(F.col("answer_normalized")).alias("repaired"))
-
-
 @R.add("b21_reply_json", r"""
     SELECT event_id, nullif(regexp_extract(regexp_replace('Reply: ```json ' || props || ' ```', '^```(?:json)?\s*|\s*```$', '', 'g'), '(?s)(\{.*\})', 1), '') AS reply,
       (json_extract_string(props, '$.k'))::BIGINT AS k FROM events""")
@@ -177,28 +118,6 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", reply.alias("reply"), F.from_json(reply, "k bigint")["k"].alias("k"))
 
 
-@R.add("b22_row_validators", r"""
-    SELECT line_number, array_to_string(list_filter([CASE WHEN decision NOT IN ('ready', 'defer', 'reject') OR decision IS NULL THEN 'decision_unknown' END, CASE WHEN decision = 'ready' AND answer IS NULL THEN 'answer_missing' END,
-      CASE WHEN decision <> 'ready' AND subject IS NOT NULL THEN 'fields_not_null' END, CASE WHEN attempt_number NOT BETWEEN 1 AND 3 THEN 'attempt_out_of_range' END,
-      CASE WHEN decision = 'ready' AND NOT regexp_matches(coalesce(relation_id, ''), '^[a-z_]+$') THEN 'relation_id_pattern' END], lambda x: x IS NOT NULL), '|') AS errors FROM normalized_candidates""")
-def _(spark, d):
-    from factaudit.operators.validation import reasons
-
-    ready = F.col("decision") == "ready"
-    rules = [("decision_unknown", ~F.coalesce(F.col("decision").isin("ready", "defer", "reject"), F.lit(False))), ("answer_missing", ready & F.col("answer").isNull()), ("fields_not_null", ~ready & F.col("subject").isNotNull()),
-             ("attempt_out_of_range", ~F.col("attempt_number").between(1, 3)), ("relation_id_pattern", ready & ~F.coalesce("relation_id", F.lit("")).rlike("^[a-z_]+$"))]
-    return table(spark, d, "normalized_candidates").select("line_number", F.array_join(reasons(rules), "|").alias("errors"))
-
-
-@R.add("b23_filter_reason", r"""
-    SELECT line_number, coalesce(CASE WHEN canonical_fact IS NULL THEN 'no_fact' END, CASE WHEN split_assignment IS NULL THEN 'no_split' END, CASE WHEN record_role <> 'current_bundle' THEN 'not_current' END, CASE WHEN length(answer) > 60 THEN 'answer_too_long' END) AS reason FROM audit_records""")
-def _(spark, d):
-    from factaudit.operators.validation import first_reason
-
-    rules = [("no_fact", F.col("canonical_fact").isNull()), ("no_split", F.col("split_assignment").isNull()), ("not_current", F.col("record_role") != "current_bundle"), ("answer_too_long", F.length("answer") > 60)]
-    return table(spark, d, "audit_records").select("line_number", first_reason(rules).alias("reason"))
-
-
 @R.add("b24_lengths", r"""
     SELECT doc_id, CASE WHEN trim(text) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) END::INT AS words, length(regexp_replace(text, '\s', '', 'g'))::INT AS characters FROM documents WHERE text IS NOT NULL""")
 def _(spark, d):
@@ -239,8 +158,8 @@ def _(spark, d):
 def _(spark, d):
     from factaudit.operators.near_duplicates import minhash_signature
 
-    rows = spread(table(spark, d, "audit_records").select("line_number", "question"))
-    return rows.select("line_number", F.array_join(minhash_signature(text.tokens(F.col("question"))), ",").alias("signature"))
+    rows = spread(table(spark, d, "audit_records").select("line_number", "question")).select("line_number", text.normalize_lexical(F.col("question")).alias("t"))
+    return rows.select("line_number", F.array_join(minhash_signature(text.tokens(F.col("t"))), ",").alias("signature"))
 
 
 @R.add("b29_reward", "SELECT event_id, round(ln(1 + pow(value / 100, 2) / (pow(value / 200, 2) + 0.001)) - 20 * pow(1 - value / 100, 3), 6) AS reward FROM events WHERE value IS NOT NULL")
@@ -253,7 +172,10 @@ def _(spark, d):
 
 @R.add("b30_percentile", "SELECT event_type, round(quantile_cont(value, 0.05), 6) AS p05, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
 def _(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(*[F.round(F.percentile("value", p), 6).alias(n) for n, p in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))])
+    from factaudit.operators.prefix import percentiles
+
+    found = percentiles(table(spark, d, "events").select("event_type", "value"), ["event_type"], "value", {"p05": 0.05, "p50": 0.5, "p95": 0.95})
+    return found.select("event_type", *[F.round(n, 6).alias(n) for n in ("p05", "p50", "p95")])
 
 
 @R.add("b31_url_and_slug", r"""
