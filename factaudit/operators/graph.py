@@ -64,26 +64,78 @@ def supported(items: DataFrame, donors: DataFrame, key: str, donor: str, max_rou
     raise RuntimeError(f"still dropping after {max_rounds} rounds")
 
 
-def greedy_splits(sizes: DataFrame, key: str, size: str, shares: dict[str, float], limit: int = 100_000) -> DataFrame:
-    """(key, split): largest component first, each to the split that lacks most of its share.
+#: Weights of the costs of a placement: all members, members beyond the target, and each named feature.
+SIZE_WEIGHT, OVERFLOW_WEIGHT = 12.0, 25.0
 
-    Every choice depends on the ones before, so one task walks the component sizes; their number is
-    checked against ``limit``.  Use rendezvous hashing (see the grouped splits) beyond it.
+
+def whole_targets(total: int, shares: dict[str, float]) -> dict[str, int]:
+    """Whole numbers nearest the shares of a total: what is left goes to the largest fractions, first split first."""
+    import math
+
+    targets = {s: math.floor(total * w) for s, w in shares.items()}
+    order = sorted(shares, key=lambda s: (-(total * shares[s] - targets[s]), list(shares).index(s)))
+    for s in order[: total - sum(targets.values())]:
+        targets[s] += 1
+    return targets
+
+
+def greedy_splits(components: DataFrame, key: str, size: str, pinned: str | None, features: dict[str, float], shares: dict[str, float], seed: str, limit: int = 100_000) -> DataFrame:
+    """(key, split): components placed one by one where they cost least.
+
+    Pinned components go first, to their split.  The others follow by size, ties by a hash of seed and key.
+    The cost of a split is the change of the squared relative distance from its target, for all members and
+    for every value of each feature (a map column value -> members, with its weight), plus a penalty on what
+    goes beyond the target; equal costs are decided by a hash of seed, key and split.
+
+    Every choice depends on the ones before, so one task walks the components; their number is checked
+    against ``limit``.  Use rendezvous hashing (see the grouped splits) beyond it.
     """
+    import hashlib
+
     import pandas as pd
 
-    n = sizes.count()
+    n = components.count()
     if n > limit:
         raise ValueError(f"{n} components are more than one task should walk ({limit})")
-    total = sizes.agg(F.sum(size)).first()[0] or 0
+
+    def digest(*parts: str) -> str:
+        return hashlib.sha256("\x1f".join(parts).encode()).hexdigest()
+
+    def change(now: float, more: float, target: float) -> float:
+        scale = max(1.0, target)
+        return ((now + more - target) / scale) ** 2 - ((now - target) / scale) ** 2
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        left = {s: w * total for s, w in shares.items()}
-        out = []
-        for k, v in rows.sort_values([size, key], ascending=[False, True])[[key, size]].itertuples(index=False):
-            split = max(sorted(left), key=lambda s: left[s])
-            left[split] -= v
-            out.append((k, split))
-        return pd.DataFrame(out, columns=[key, "split"])
-
-    return sizes.withColumn("__one", F.lit(0)).groupBy("__one").applyInPandas(walk, f"{key} string, split string")
+        keys, sizes = rows[key].astype(str).tolist(), [int(v) for v in rows[size]]
+        maps = {f: [dict(m) if m is not None else {} for m in rows[f]] for f in features}
+        pins = rows[pinned].tolist() if pinned else [None] * len(rows)
+        targets = whole_targets(sum(sizes), shares)
+        totals: dict = {}
+        for f in features:
+            for m in maps[f]:
+                for value, c in m.items():
+                    totals[f, value] = totals.get((f, value), 0) + c
+        held, counts, out = dict.fromkeys(shares, 0), {}, {}
+
+        def place(i: int, split: str) -> None:
+            out[i] = split
+            held[split] += sizes[i]
+            for f in features:
+                for value, c in maps[f][i].items():
+                    counts[f, value, split] = counts.get((f, value, split), 0) + c
+
+        fixed = [i for i, p in enumerate(pins) if p is not None and p == p]
+        for i in sorted(fixed, key=lambda i: keys[i]):
+            place(i, pins[i])
+        for i in sorted(set(range(len(keys))) - set(fixed), key=lambda i: (-sizes[i], digest(seed, keys[i]))):
+            scores = []
+            for split, share in shares.items():
+                cost = SIZE_WEIGHT * change(held[split], sizes[i], targets[split])
+                for f, weight in features.items():
+                    cost += weight * sum(change(counts.get((f, value, split), 0), c, totals[f, value] * share) for value, c in maps[f][i].items())
+                beyond = max(0, held[split] + sizes[i] - targets[split])
+                scores.append((cost + OVERFLOW_WEIGHT * (beyond / max(1, targets[split])) ** 2, digest(seed, keys[i], split), split))
+            place(i, min(scores)[2])
+        return pd.DataFrame({key: keys, "split": [out[i] for i in range(len(keys))]})
+
+    return components.withColumn("__one", F.lit(0)).groupBy("__one").applyInPandas(walk, f"{key} string, split string")

@@ -27,6 +27,35 @@ def _(spark, d):
     return near_duplicates.banded_pairs(texts, "id", "t", F.col("tok"))
 
 
+def _brute_near(column: str) -> str:
+    """All pairs, compared one by one."""
+    grams = lambda c: f"list_distinct(list_transform(range(1, length({c}) + 3), lambda i: substr('  ' || {c} || '  ', i::INT, 3)))"
+    share = lambda x: f"len(list_intersect(l.{x}, r.{x}))"
+    return rf"""
+    WITH t AS (SELECT t, min(audit_record_id) AS id FROM (SELECT trim(regexp_replace(lower({column}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS t, audit_record_id FROM audit_records) WHERE t <> '' GROUP BY 1),
+    s AS (SELECT *, length(t) AS n, list_distinct(string_split(t, ' ')) AS tok, {grams('t')} AS g FROM t),
+    p AS (SELECT l.id AS x, r.id AS y, round(least(l.n, r.n) / greatest(l.n, r.n)::DOUBLE, 6) AS ratio, {share('tok')} AS st, len(l.tok) AS lt, len(r.tok) AS rt, {share('g')} AS sg, len(l.g) AS lg, len(r.g) AS rg FROM s l JOIN s r ON l.id < r.id AND least(l.n, r.n) * 2 >= greatest(l.n, r.n) - 1),
+    v AS (SELECT x AS a, y AS b, greatest(round(st / (lt + rt - st)::DOUBLE, 6), round(sg / (lg + rg - sg)::DOUBLE, 6)) AS similarity, round(st / least(lt, rt)::DOUBLE, 6) AS containment, ratio FROM p)
+    SELECT * FROM v WHERE ratio >= 0.5 AND (similarity >= 0.8 OR (containment >= 0.9 AND ratio >= 0.6))"""
+
+
+def _near(spark, d, column):
+    rows = table(spark, d, "audit_records").select(text.normalize_lexical(F.col(column)).alias("t"), "audit_record_id").where("t <> ''")
+    least = rows.groupBy("t").agg(F.min("audit_record_id").alias("id")).withColumn("tok", text.tokens(F.col("t")))
+    return near_duplicates.near_pairs(least, "id", "t", F.col("tok"))
+
+
+@R.add("d11_near_questions", _brute_near("question"))
+def _(spark, d):
+    """Every pair of near questions by the exact join, bands or not; equal questions stand under their least id."""
+    return _near(spark, d, "question")
+
+
+@R.add("d11_near_facts", _brute_near("canonical_fact"))
+def _(spark, d):
+    return _near(spark, d, "canonical_fact")
+
+
 @R.add("d11_bucket_members")
 def _(spark, d):
     """The bucket of every band each question is in."""
@@ -156,16 +185,26 @@ def _(spark, d):
 
 @R.add("g08_greedy_splits")
 def _(spark, d):
-    sizes = table(spark, d, "audit_records").where("split_group_id IS NOT NULL").groupBy("split_group_id").agg(F.count(F.lit(1)).alias("n"))
-    return graph.greedy_splits(sizes, "split_group_id", "n", {"development": 0.7, "validation": 0.15, "sealed": 0.15}, limit=5_000_000)
+    """Split groups balanced by size, subset, dataset and role; groups that lie in one split only stay there."""
+    rows = table(spark, d, "audit_records").where("split_group_id IS NOT NULL")
+    features = {"relation_counts": ("source_subset", 3.0), "dataset_counts": ("source_dataset", 1.5), "role_counts": ("record_role", 1.5)}
+    whole = rows.groupBy("split_group_id").agg(F.count(F.lit(1)).alias("n"), F.min("split_assignment").alias("low"), F.max("split_assignment").alias("high"))
+    whole = whole.withColumn("pinned", F.when((F.col("low") == F.col("high")) & (F.col("n") >= 5), F.col("low")))
+    for name, (column, _) in features.items():
+        counted = rows.where(F.col(column).isNotNull()).groupBy("split_group_id", column).agg(F.count(F.lit(1)).alias("c"))
+        whole = whole.join(counted.groupBy("split_group_id").agg(F.map_from_entries(F.collect_list(F.struct(column, "c"))).alias(name)), "split_group_id", "left")
+    return graph.greedy_splits(whole, "split_group_id", "n", "pinned", {k: w for k, (_, w) in features.items()}, {"development": 0.6, "validation": 0.2, "sealed": 0.2}, "splits-1")
+
 
 
 @R.add("g09_exact_fold_search")
 def _(spark, d):
+    """The catalog's relations as facts of their subject type, tied where they share their Chinese label."""
     from factaudit.plans.folds import exact_folds
 
-    sizes = table(spark, d, "relation_catalog").groupBy("subject_type").agg(F.count(F.lit(1)).alias("n"))
-    return exact_folds(sizes, "subject_type", "n", ["development", "validation", "sealed"], [0.6, 0.2, 0.2])
+    facts = table(spark, d, "relation_catalog").select("relation_id", F.coalesce("label_zh", "relation_id").alias("component"), "subject_type")
+    return exact_folds(facts, "relation_id", "component", "subject_type", ["fold_1", "fold_2", "fold_3"], "folds-1", strict=False)
+
 
 
 @R.add("g10_component_rebuild", _closure("(SELECT * FROM " + _EDGES + " WHERE src IN (SELECT base_fact_id FROM audit_records WHERE split_assignment IS NOT NULL) AND dst IN (SELECT base_fact_id FROM audit_records WHERE split_assignment IS NOT NULL))",

@@ -141,10 +141,23 @@ def _(spark, d):
 
 @R.add("f15_beam_search")
 def _(spark, d):
+    """A search over wordings of the catalog's relations; a hash stands in for the models that answer."""
+    from factaudit.operators.evaluation import reward
     from factaudit.plans.beam import beam_search
 
-    options = table(spark, d, "relation_catalog").select(F.col("subject_type").alias("state"), F.col("relation_id").alias("action"), (F.length("relation_definition") / 100.0).alias("gain"))
-    return beam_search(options, depth=4, width=8)
+    start = table(spark, d, "relation_catalog").select(F.col("relation_definition").alias("question"), F.col("relation_id").alias("origin"))
+    openings = spark.createDataFrame([("As recorded, ",), ("In the register, ",), ("By the survey, ",)], "opening string")
+
+    def grow(queue):
+        return queue.crossJoin(F.broadcast(openings)).select(F.concat("opening", "question").alias("question"), "origin")
+
+    def evaluate(rows):
+        digit = lambda salt, n: F.pmod(F.crc32(F.concat(F.lit(salt), "question").cast("binary")), F.lit(n)).cast("double")
+        rated = rows.withColumn("rate_ori", F.when(digit("o", 5) > 0, 1.0).otherwise(0.8)).withColumn("rate_trans", digit("t", 6) / 5)
+        return rated.withColumn("value", F.round(reward(F.col("rate_ori"), F.col("rate_trans")), 6))
+
+    return beam_search(start, grow, evaluate, width=16, most_good=3)
+
 
 
 @R.add("f16_batches", "WITH r AS (SELECT packet_id, annotation_id, row_number() OVER (PARTITION BY packet_id ORDER BY annotation_id) - 1 AS rn FROM model_annotations) SELECT packet_id, rn // 25 AS batch, count(*) AS n FROM r GROUP BY 1, 2")

@@ -26,13 +26,36 @@ _RAW = """(SELECT line_number, candidate_id, stratum, source_snapshot.dataset AS
   source_snapshot.record.choices AS choices, source_snapshot.record.answer AS answer, source_snapshot.record.subject AS subject, source_snapshot.record.source_format AS source_format, received_at FROM raw_candidates)"""
 
 
-@R.add("a08_source_normalisers", f"""
-    SELECT line_number, CASE WHEN source_format = 'multiple_choice' AND choices IS NULL THEN 'choices_missing' WHEN answer IS NULL THEN 'answer_missing' WHEN choices IS NOT NULL AND NOT list_contains(choices, answer) THEN 'answer_not_in_choices' END AS excluded,
-      CASE WHEN choices IS NOT NULL THEN list_position(choices, answer) END::BIGINT AS answer_index FROM {_RAW}""")
-def _(spark, d):
-    from factaudit.sources.readers import normalise_qa
+_A08 = f"""(SELECT dataset, line_number, question, answer, CASE WHEN dataset IN ('mmlu_like', 'openbook_like') THEN choices END AS choices, CASE WHEN dataset IN ('mmlu_like', 'openbook_like') THEN 'multiple_choice' ELSE 'open_qa' END AS form, source_format, subject FROM {_RAW} WHERE dataset IN ('mmlu_like', 'openbook_like', 'mkqa_like', 'msqa_like'))"""
+
+
+@R.add("a08_source_normalisers", rf"""
+    WITH c AS (SELECT *, nullif(trim(regexp_replace(question, '\s+', ' ', 'g')), '') AS q, nullif(trim(regexp_replace(answer, '\s+', ' ', 'g')), '') AS a0, CASE WHEN dataset = 'mmlu_like' THEN [choices[1], choices[2], choices[3], choices[4]] ELSE choices END AS ch FROM {_A08}),
+    d AS (SELECT *, CASE WHEN dataset IN ('mmlu_like', 'openbook_like') AND NOT coalesce(list_contains(ch, answer), false) THEN NULL ELSE a0 END AS a, list_transform(coalesce(ch, []), lambda x: nullif(trim(regexp_replace(x, '\s+', ' ', 'g')), '')) AS cc FROM c)
+    SELECT dataset AS source, line_number::VARCHAR AS upstream_id, q AS question, a AS answer, CASE WHEN dataset = 'openbook_like' THEN 'openbook_test' ELSE subject END AS subject,
+      CASE WHEN dataset = 'mkqa_like' AND NOT coalesce(subject IN ('town', 'river', 'species', 'mineral'), false) THEN 'answer_type:' || coalesce(subject, 'missing') WHEN dataset = 'msqa_like' AND NOT coalesce(source_format = 'open_qa', false) THEN 'non_target_language' WHEN q IS NULL THEN 'missing_or_empty_question' WHEN a IS NULL THEN 'missing_or_empty_answer'
+        WHEN len(list_filter(cc, lambda x: x IS NULL)) > 0 THEN 'invalid_choice' WHEN form = 'multiple_choice' AND len(cc) = 0 THEN 'missing_or_empty_choices' WHEN form = 'multiple_choice' AND NOT list_contains(cc, a) THEN 'answer_not_in_choices' END AS excluded FROM d""")
+def _(spark, d):
+    """The rows of four datasets in the shapes their sources have, each through its own normaliser."""
+    from factaudit.sources import readers
+
+    raw = _raw(spark, d)
+    of = lambda name: raw.where(F.col("dataset") == name)
+    letters = F.array(*[F.lit(x) for x in "ABCD"])
+    four = F.slice("choices", 1, 4)
+    lettered = of("mmlu_like").select("question", *[F.get("choices", i).alias(f"option_{x}") for i, x in enumerate("abcd")], F.get(letters, F.array_position(four, F.col("answer")).cast("int") - 1).alias("answer"), "subject", F.col("line_number").alias("sample_id"))
+    typed = of("mkqa_like").select(F.struct(F.col("question").alias("en")).alias("queries"), F.struct(F.array(F.struct(F.col("subject").alias("type"), F.col("answer").alias("text"))).alias("en")).alias("answers"), F.col("line_number").alias("example_id"))
+    spoken = of("msqa_like").select("question", "answer", F.when(F.col("source_format") == "open_qa", "en").alias("language"), F.col("subject").alias("category"), F.col("line_number").alias("id"))
+    labelled = F.transform("choices", lambda c, i: F.struct(i.cast("string").alias("label"), c.alias("text")))
+    stems = of("openbook_like").select(F.struct(F.col("question").alias("stem"), labelled.alias("choices")).alias("question"), (F.array_position("choices", F.col("answer")) - 1).cast("string").alias("answerKey"), F.col("line_number").alias("id"))
+    parts = {"mmlu_like": readers.normalise_lettered(lettered), "mkqa_like": readers.normalise_typed_answers(typed, ["town", "river", "species", "mineral"]),
+             "msqa_like": readers.normalise_by_language(spoken, "en"), "openbook_like": readers.normalise_stems(stems, "openbook_test")}
+    out = None
+    for name, part in parts.items():
+        part = part.select(F.lit(name).alias("source"), "upstream_id", "question", "answer", "subject", "excluded")
+        out = part if out is None else out.unionByName(part)
+    return out
 
-    return normalise_qa(_raw(spark, d)).select("line_number", "excluded", F.col("answer_index").cast("bigint").alias("answer_index"))
 
 
 @R.add("a09_row_fingerprint", "SELECT line_number, sha256(audit_record_id || '␟' || coalesce(question, '') || '␟' || coalesce(answer, '') || '␟' || coalesce(split_assignment, '')) AS fingerprint FROM audit_records")
@@ -91,13 +114,18 @@ def _(spark, d):
 
 
 @R.add("c02_good_question_filter", """
-    WITH g AS (SELECT source_dataset, audit_record_id, length(answer) AS score, row_number() OVER (PARTITION BY source_dataset ORDER BY length(answer) DESC, audit_record_id) AS rn FROM audit_records WHERE canonical_fact IS NOT NULL AND record_role = 'current_bundle')
-    SELECT source_dataset, audit_record_id, score::INT AS score FROM g WHERE rn <= 20""")
+    WITH r AS (SELECT source_id, split_part(source_id, '_', 2) AS origin, round(avg(CASE WHEN model_name < 'n' THEN (lower(trim(canonical_decision)) = 'keep')::INT END), 6) AS ori, round(avg(CASE WHEN model_name >= 'n' THEN (lower(trim(canonical_decision)) = 'keep')::INT END), 6) AS trans FROM model_annotations WHERE canonical_decision IS NOT NULL GROUP BY 1),
+    g AS (SELECT * FROM r WHERE ori = 1 AND trans IS NOT NULL), n AS (SELECT origin, count(*) FILTER (trans <= 0.2) AS weak FROM g GROUP BY 1)
+    SELECT source_id, g.origin, trans AS rate_trans, trans <= 0.4 AS good, trans > 0 AND weak < 40 AS searched_on FROM g JOIN n USING (origin)""")
 def _(spark, d):
-    from factaudit.operators.ranking import top_per_group
+    from factaudit.plans.beam import judged
+
+    correct = (F.lower(F.trim("canonical_decision")) == "keep").cast("int")
+    rate = lambda test, name: F.round(F.avg(F.when(test, correct)), 6).alias(name)
+    rates = table(spark, d, "model_annotations").where("canonical_decision IS NOT NULL").groupBy("source_id").agg(rate(F.col("model_name") < "n", "rate_ori"), rate(F.col("model_name") >= "n", "rate_trans"))
+    rates = rates.withColumn("origin", F.split("source_id", "_")[1])
+    return judged(rates, "origin", most_good=40).select("source_id", "origin", "rate_trans", "good", "searched_on")
 
-    good = table(spark, d, "audit_records").where("canonical_fact IS NOT NULL AND record_role = 'current_bundle'").withColumn("score", F.length("answer"))
-    return top_per_group(good, ["source_dataset"], [F.desc("score"), F.asc("audit_record_id")], 20).select("source_dataset", "audit_record_id", "score")
 
 
 @R.add("c03_wrong_options", f"""

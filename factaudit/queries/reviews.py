@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from factaudit.operators import evaluation, joins, ledger, validation
-from factaudit.queries.registry import Registry
+from factaudit.operators import canonical, evaluation, joins, ledger, validation
+from factaudit.queries.registry import Registry, folded_sql
 from factaudit.session import table
 
 R = Registry()
@@ -32,13 +32,32 @@ def _two(spark, d):
 _ONE = "(SELECT source_id, " + _PLAIN.format("arg_max(canonical_decision, (created_at, annotation_id))") + " AS d, arg_max(struct_pack(c := extraction_confidence), (created_at, annotation_id)).c AS c FROM model_annotations WHERE model_name = '{}' AND canonical_decision IS NOT NULL GROUP BY source_id)"
 
 
+_COMPARE = lambda c: rf"regexp_replace(regexp_replace(coalesce(trim(regexp_replace({folded_sql(c)}, '\s+', ' ', 'g')), ''), '^(a|an|the)\s+', ''), '[^a-z0-9]+', '', 'g')"
+_CASE = f"CASE WHEN p_ok <> s_ok THEN 'single_model_extraction' WHEN p_ok AND ({_COMPARE('p_answer')} = '' OR {_COMPARE('p_answer')} <> {_COMPARE('s_answer')}) THEN 'dual_model_answer_conflict' END"
+
+
 @R.add("h01_canonical_decision", f"""
-    SELECT coalesce(a.source_id, b.source_id) AS source_id, CASE WHEN a.d = b.d THEN 'consensus_' || a.d WHEN a.d IS NULL OR b.d IS NULL THEN 'single_extractor' WHEN a.d = 'exclude' AND b.d = 'pending_review' OR a.d = 'pending_review' AND b.d = 'exclude' THEN 'both_fail' ELSE 'conflict' END AS decision, least(a.c, b.c) AS confidence
-    FROM {_ONE.format('orrin-3')} a FULL JOIN {_ONE.format('yarrow-2')} b ON a.source_id = b.source_id""")
+    WITH n AS (SELECT record_id, arg_min(struct_pack(decision, subject, relation_id, answer, canonical_fact), line_number) AS v FROM normalized_candidates GROUP BY 1), a AS (SELECT source_id, arg_min(struct_pack(source_subset, answer, canonical_fact), line_number) AS v FROM audit_records GROUP BY 1),
+    r AS (SELECT source_id, arg_max(lower(trim(canonical_decision)), (created_at, annotation_id)) AS d FROM model_annotations WHERE model_name = 'orrin-3' AND canonical_decision IS NOT NULL GROUP BY 1),
+    p AS (SELECT n.record_id AS source_id, n.v.decision = 'ready' AND n.v.answer IS NOT NULL AS p_ok, a.v.canonical_fact IS NOT NULL AS s_ok, n.v.subject AS p_subject, a.v.source_subset AS s_subject, n.v.relation_id AS p_relation, NULL AS s_relation, n.v.answer AS p_answer, a.v.answer AS s_answer, n.v.canonical_fact AS p_fact, a.v.canonical_fact AS s_fact,
+      0.9::DOUBLE AS p_confidence, 0.8::DOUBLE AS s_confidence, CASE r.d WHEN 'keep' THEN 'accept' WHEN 'exclude' THEN 'reject' END AS review FROM n JOIN a ON n.record_id = a.source_id LEFT JOIN r ON r.source_id = n.record_id),
+    c AS (SELECT *, {_CASE} AS k FROM p), d AS (SELECT *, CASE WHEN NOT p_ok AND NOT s_ok THEN 'exclude' WHEN k IS NULL THEN 'keep' WHEN review IS NULL THEN 'pending_review' WHEN review = 'reject' THEN 'exclude' ELSE 'keep' END AS decision FROM c)
+    SELECT source_id, decision, CASE WHEN NOT p_ok AND NOT s_ok THEN 'both_models_not_extracted_or_invalid' WHEN k IS NULL THEN 'dual_model_extraction_and_answer_consensus' WHEN review IS NULL THEN k || '_requires_review' WHEN review = 'reject' THEN 'rejected_' || k ELSE 'accepted_' || k END AS reason,
+      CASE WHEN decision = 'keep' THEN CASE WHEN p_ok THEN 'preferred' ELSE 'secondary' END END AS chosen,
+      CASE WHEN decision = 'keep' THEN array_to_string(list_filter([CASE WHEN {_COMPARE('p_subject')} <> {_COMPARE('s_subject')} THEN 'subject' END, CASE WHEN {_COMPARE('p_relation')} <> '' THEN 'relation' END, CASE WHEN k IS NOT NULL AND {_COMPARE('p_answer')} <> {_COMPARE('s_answer')} THEN 'answer' END, CASE WHEN {_COMPARE('p_fact')} <> {_COMPARE('s_fact')} THEN 'fact' END], lambda x: x IS NOT NULL), '|') END AS conflicts,
+      CASE WHEN decision = 'keep' THEN CASE WHEN k IS NULL THEN 0.8 WHEN p_ok THEN 0.9 ELSE 0.8 END::DOUBLE END AS confidence FROM d""")
 def _(spark, d):
-    fails = F.col("d1").isin("exclude", "pending_review") & F.col("d2").isin("exclude", "pending_review")
-    decision = F.when(F.col("d1") == F.col("d2"), F.concat(F.lit("consensus_"), "d1")).when(F.col("d1").isNull() | F.col("d2").isNull(), "single_extractor").when(fails, "both_fail").otherwise("conflict")
-    return _two(spark, d).select("source_id", decision.alias("decision"), F.least("c1", "c2").alias("confidence"))
+    """The first decision on a record is the preferred extraction, its first audit record the secondary one, an annotator's last label the review."""
+    first = lambda rows, key, *columns: rows.groupBy(F.col(key).alias("source_id")).agg(F.min_by(F.struct(*columns), "line_number").alias("v"))
+    n = first(table(spark, d, "normalized_candidates"), "record_id", "decision", "subject", "relation_id", "answer", "canonical_fact").select(
+        "source_id", ((F.col("v.decision") == "ready") & F.col("v.answer").isNotNull()).alias("p_ok"), F.col("v.subject").alias("p_subject"), F.col("v.relation_id").alias("p_relation"), F.col("v.answer").alias("p_answer"), F.col("v.canonical_fact").alias("p_fact"), F.lit(0.9).alias("p_confidence"))
+    a = first(table(spark, d, "audit_records"), "source_id", "source_subset", "answer", "canonical_fact").select(
+        "source_id", F.col("v.canonical_fact").isNotNull().alias("s_ok"), F.col("v.source_subset").alias("s_subject"), F.lit(None).cast("string").alias("s_relation"), F.col("v.answer").alias("s_answer"), F.col("v.canonical_fact").alias("s_fact"), F.lit(0.8).alias("s_confidence"))
+    said = table(spark, d, "model_annotations").where("model_name = 'orrin-3' AND canonical_decision IS NOT NULL").groupBy("source_id").agg(F.max_by(F.lower(F.trim("canonical_decision")), F.struct("created_at", "annotation_id")).alias("d"))
+    review = said.select("source_id", F.when(F.col("d") == "keep", "accept").when(F.col("d") == "exclude", "reject").alias("review"))
+    out = canonical.decided(n.join(a, "source_id").join(review, "source_id", "left"), "source_id")
+    return out.withColumn("conflicts", F.array_join("conflicts", "|"))
+
 
 
 @R.add("h02_taxonomy_build", "SELECT subject_type, count(*) AS relations, string_agg(relation_id, '|' ORDER BY relation_id) AS ids, sum(len(examples))::BIGINT AS examples FROM relation_catalog GROUP BY subject_type")
@@ -47,14 +66,37 @@ def _(spark, d):
     return c.groupBy("subject_type").agg(F.count(F.lit(1)).alias("relations"), F.array_join(F.array_sort(F.collect_list("relation_id")), "|").alias("ids"), F.sum(F.size("examples")).alias("examples"))
 
 
-@R.add("h03_output_validation", """
-    SELECT 'duplicate_line' AS check_name, line_number::VARCHAR AS id FROM audit_records GROUP BY line_number HAVING count(*) > 1 UNION ALL SELECT 'unknown_source', source_id FROM (SELECT DISTINCT source_id FROM audit_records WHERE source_id IS NOT NULL) WHERE source_id NOT IN (SELECT candidate_id FROM raw_candidates)
-    UNION ALL SELECT 'answer_leaks', audit_record_id FROM audit_records WHERE contains(lower(question), lower(answer)) UNION ALL SELECT 'early_arrival', audit_record_id FROM audit_records WHERE received_at < created_at""")
+@R.add("h03_output_validation", f"""
+    WITH src AS (SELECT candidate_id AS source_id, arg_min(struct_pack(c := source_snapshot.record.choices), line_number).c AS choices, arg_min(struct_pack(c := source_snapshot.record.answer), line_number).c AS source_answer FROM raw_candidates GROUP BY 1),
+    can AS (SELECT a.source_id, s.choices FROM audit_records a LEFT JOIN src s USING (source_id)), nor AS (SELECT record_id AS source_id, CASE WHEN relation_id IN (SELECT relation_id FROM relation_catalog) THEN 'mapped' WHEN decision = 'ready' THEN 'ambiguous' ELSE 'out' END AS status, CASE WHEN decision = 'ready' THEN relation_id END AS relation, prompt_en, answer, decision, reason FROM normalized_candidates),
+    pro AS (SELECT source_id, CASE WHEN decision = 'ready' THEN 'generated' ELSE 'rejected' END AS status, prompt_en AS prompt, answer AS expected, CASE WHEN decision <> 'ready' THEN reason END AS rejection FROM nor),
+    dis AS (SELECT s.source_id, s.choices, s.source_answer, p.answer FROM src s JOIN (SELECT record_id, min(answer) AS answer FROM normalized_candidates WHERE decision = 'ready' GROUP BY 1) p ON p.record_id = s.source_id WHERE len(coalesce(s.choices, [])) > 0),
+    opt AS (SELECT *, {_COMPARE('source_answer')} AS k1, {_COMPARE('answer')} AS k2 FROM dis)
+    SELECT 'duplicate_canonical' AS check_name, source_id AS id FROM can GROUP BY source_id HAVING count(*) > 1
+    UNION ALL SELECT DISTINCT 'canonical_without_source', source_id FROM can WHERE source_id NOT IN (SELECT source_id FROM src)
+    UNION ALL (SELECT 'normalised_ids_differ', source_id FROM (SELECT source_id FROM can EXCEPT SELECT source_id FROM nor) UNION ALL SELECT 'normalised_ids_differ', source_id FROM (SELECT source_id FROM nor EXCEPT SELECT source_id FROM can))
+    UNION ALL (SELECT 'prompt_ids_differ', source_id FROM (SELECT source_id FROM can EXCEPT SELECT source_id FROM pro) UNION ALL SELECT 'prompt_ids_differ', source_id FROM (SELECT source_id FROM pro EXCEPT SELECT source_id FROM can))
+    UNION ALL SELECT DISTINCT 'status_relation_mismatch', source_id FROM nor WHERE (status = 'mapped') = (coalesce(trim(relation), '') = '')
+    UNION ALL SELECT DISTINCT 'generated_prompt_incomplete', source_id FROM pro WHERE status = 'generated' AND (coalesce(trim(prompt), '') = '' OR coalesce(trim(expected), '') = '')
+    UNION ALL SELECT DISTINCT 'rejected_prompt_without_reason', source_id FROM pro WHERE status <> 'generated' AND coalesce(trim(rejection), '') = ''
+    UNION ALL (SELECT 'distractor_ids_differ', source_id FROM (SELECT source_id FROM pro WHERE status = 'generated' EXCEPT SELECT source_id FROM dis) UNION ALL SELECT 'distractor_ids_differ', source_id FROM (SELECT source_id FROM dis EXCEPT SELECT source_id FROM pro WHERE status = 'generated'))
+    UNION ALL SELECT DISTINCT 'wrong_options_mismatch', source_id FROM (SELECT source_id, list_filter(choices, lambda c: c IS DISTINCT FROM source_answer) AS w, choices, k1, k2 FROM opt) o WHERE w <> list_filter(choices, lambda c: {_COMPARE('c')} NOT IN (k1, k2))
+    UNION ALL SELECT DISTINCT 'answer_leaked_into_distractors', source_id FROM (SELECT o.source_id, o.k1, o.k2, unnest(list_filter(o.choices, lambda c: c IS DISTINCT FROM o.source_answer)) AS choice FROM opt o) WHERE {_COMPARE('choice')} IN (k1, k2)""")
 def _(spark, d):
-    a = table(spark, d, "audit_records")
-    return validation.violations([
-        ("duplicate_line", validation.duplicates(a, "line_number")), ("unknown_source", validation.missing_references(a, "source_id", table(spark, d, "raw_candidates"), "candidate_id")),
-        ("answer_leaks", a.where("contains(lower(question), lower(answer))").select("audit_record_id")), ("early_arrival", a.where("received_at < created_at").select("audit_record_id"))])
+    rec = "source_snapshot.record."
+    source = table(spark, d, "raw_candidates").groupBy(F.col("candidate_id").alias("source_id")).agg(F.min_by(F.struct(F.col(rec + "choices").alias("choices"), F.col(rec + "answer").alias("source_answer")), "line_number").alias("v")).select("source_id", "v.*")
+    n = table(spark, d, "normalized_candidates").withColumnRenamed("record_id", "source_id")
+    listed = table(spark, d, "relation_catalog").select("relation_id", F.lit(True).alias("listed"))
+    ready = F.col("decision") == "ready"
+    normalised = n.join(listed, "relation_id", "left").select("source_id", F.when(F.col("listed"), "mapped").when(ready, "ambiguous").otherwise("out").alias("status"), F.when(ready, F.col("relation_id")).alias("relation"))
+    prompts = n.select("source_id", F.when(ready, "generated").otherwise("rejected").alias("status"), F.col("prompt_en").alias("prompt"), F.col("answer").alias("expected"), F.when(~ready, F.col("reason")).alias("rejection"))
+    answers = n.where(ready).groupBy("source_id").agg(F.min("answer").alias("answer"))
+    distractors = source.where("size(choices) > 0").join(answers, "source_id")
+    others = F.filter("choices", lambda c: ~c.eqNullSafe(F.col("source_answer")))
+    distractors = distractors.withColumn("wrong_options", others).withColumn("candidates", others)
+    held = table(spark, d, "audit_records").select("source_id").join(source.select("source_id", "choices"), "source_id", "left")
+    return canonical.run_violations(source.select("source_id", "choices"), held, normalised, prompts, distractors)
+
 
 
 @R.add("h04_review_scope", """

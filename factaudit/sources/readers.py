@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,15 +90,57 @@ def deep_merge(base: dict, override: dict) -> dict:
     return out
 
 
-def normalise_qa(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``excluded`` (why a record cannot be used, or null) and ``answer_index`` (from 1).
+def normalised_record(rows: DataFrame) -> DataFrame:
+    """``rows`` (question, answer, choices, source_format, ...) cleaned, with ``excluded``: why a record
+    cannot be used, or null.  Texts are cleaned to single spaces; null choices are no choices."""
+    from factaudit.functions.text import clean_text
 
-    Expects question, choices, answer and source_format.
-    """
-    at = F.array_position("choices", F.col("answer"))
+    choices = F.transform(F.coalesce("choices", F.array().cast("array<string>")), clean_text)
+    clean = rows.withColumn("question", clean_text(F.col("question"))).withColumn("answer", clean_text(F.col("answer"))).withColumn("choices", choices)
+    some = F.size("choices") > 0
     excluded = (
-        F.when((F.col("source_format") == "multiple_choice") & F.col("choices").isNull(), "choices_missing")
-        .when(F.col("answer").isNull(), "answer_missing")
-        .when(F.col("choices").isNotNull() & (at == 0), "answer_not_in_choices")
+        F.when(F.col("question").isNull(), "missing_or_empty_question").when(F.col("answer").isNull(), "missing_or_empty_answer")
+        .when(F.exists("choices", lambda c: c.isNull()), "invalid_choice")
+        .when((F.col("source_format") == "multiple_choice") & ~some, "missing_or_empty_choices")
+        .when((F.col("source_format") == "multiple_choice") & ~F.array_contains("choices", F.col("answer")), "answer_not_in_choices")
+        .when((F.col("source_format") == "open_qa") & some, "open_qa_choices_must_be_empty")
+        .when(~F.coalesce(F.col("source_format").isin("multiple_choice", "open_qa"), F.lit(False)), "unsupported_source_format")
     )
-    return rows.withColumn("excluded", excluded).withColumn("answer_index", F.when(F.col("choices").isNotNull(), F.nullif(at, F.lit(0))))
+    return clean.withColumn("excluded", excluded)
+
+
+def _shaped(rows: DataFrame, question: Column, answer: Column, choices: Column | None, form: str, subject: Column, upstream_id: Column, wrong: Column | None = None) -> DataFrame:
+    none = F.lit(None).cast("array<string>")
+    out = normalised_record(rows.select(
+        question.alias("question"), answer.alias("answer"), (none if choices is None else choices).alias("choices"), F.lit(form).alias("source_format"), subject.alias("subject"), upstream_id.cast("string").alias("upstream_id"),
+        (F.lit(None).cast("string") if wrong is None else wrong).alias("__wrong")))
+    return out.withColumn("excluded", F.coalesce("__wrong", "excluded")).drop("__wrong")
+
+
+def normalise_lettered(rows: DataFrame) -> DataFrame:
+    """Multiple-choice rows with option_a to option_d and the letter of the answer."""
+    options = F.array("option_a", "option_b", "option_c", "option_d")
+    at = F.instr(F.lit("ABCD"), F.upper(F.trim("answer")))
+    answer = F.when((at > 0) & (F.length(F.trim("answer")) == 1), F.get(options, at - 1))
+    return _shaped(rows, F.col("question"), answer, options, "multiple_choice", F.col("subject"), F.col("sample_id"))
+
+
+def normalise_typed_answers(rows: DataFrame, accepted: list[str]) -> DataFrame:
+    """Open questions whose first English answer has a type; other types are left out by name."""
+    first = F.get("answers.en", 0)
+    kind = first["type"]
+    wrong = F.when(~F.coalesce(kind.isin(*accepted), F.lit(False)), F.concat(F.lit("answer_type:"), F.coalesce(kind, F.lit("missing"))))
+    return _shaped(rows, F.col("queries.en"), first["text"], None, "open_qa", kind, F.col("example_id"), wrong)
+
+
+def normalise_by_language(rows: DataFrame, language: str) -> DataFrame:
+    """Open questions of one language."""
+    wrong = F.when(~F.coalesce(F.col("language") == language, F.lit(False)), "non_target_language")
+    return _shaped(rows, F.col("question"), F.col("answer"), None, "open_qa", F.col("category"), F.col("id"), wrong)
+
+
+def normalise_stems(rows: DataFrame, subject: str) -> DataFrame:
+    """Multiple-choice rows with a stem, labelled choices and the label of the answer."""
+    answer = F.get(F.filter("question.choices", lambda c: c["label"] == F.col("answerKey")), 0)["text"]
+    choices = F.transform("question.choices", lambda c: c["text"])
+    return _shaped(rows, F.col("question.stem"), answer, choices, "multiple_choice", F.lit(subject), F.col("id"))

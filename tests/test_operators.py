@@ -94,12 +94,55 @@ def test_ledger_window(spark):
     assert sorted(r.in_window for r in ledger.attempts_in_window(rows, "k", "at", 86400).collect()) == [1, 1, 2]
 
 
-def test_greedy_splits_refuse_unbounded_input(spark):
-    sizes = spark.createDataFrame([("a", 5), ("b", 3), ("c", 2)], "k string, n bigint")
-    got = {r.k: r.split for r in graph.greedy_splits(sizes, "k", "n", {"dev": 0.5, "val": 0.5}).collect()}
-    assert got == {"a": "dev", "b": "val", "c": "val"}
+def test_greedy_splits_place_by_cost(spark):
+    shares = {"dev": 0.6, "val": 0.2, "sealed": 0.2}
+    sizes = spark.createDataFrame([("a", 4), ("b", 3), ("c", 2), ("d", 1)], "k string, n int")
+    assert graph.whole_targets(11, shares) == {"dev": 7, "val": 2, "sealed": 2}
+    got = {r.k: r.split for r in graph.greedy_splits(sizes, "k", "n", None, {}, shares, "s").collect()}
+    assert got["a"] == got["d"] == "dev" and {got["b"], got["c"]} == {"val", "sealed"}
     with pytest.raises(ValueError):
-        graph.greedy_splits(sizes, "k", "n", {"dev": 1.0}, limit=2)
+        graph.greedy_splits(sizes, "k", "n", None, {}, shares, "s", limit=2)
+    # A pin holds whatever it costs, and a feature pulls its values apart.
+    rows = [("a", 2, "val", {"x": 2}), ("b", 2, None, {"x": 2}), ("c", 2, None, {"y": 2}), ("d", 2, None, {"y": 2})]
+    frame = spark.createDataFrame(rows, "k string, n int, pin string, f map<string,int>")
+    got = {r.k: r.split for r in graph.greedy_splits(frame, "k", "n", "pin", {"f": 3.0}, {"dev": 0.5, "val": 0.5}, "s").collect()}
+    assert got["a"] == "val" and got["b"] == "dev" and {got["c"], got["d"]} == {"dev", "val"}
+    assert graph.greedy_splits(sizes.where("false"), "k", "n", None, {}, shares, "s").count() == 0
+
+
+def test_exact_folds_keep_components_and_quotas(spark):
+    from factaudit.plans.folds import exact_folds
+
+    rows = [("f1", "c1", "r"), ("f2", "c1", "s"), ("f3", "c2", "r"), ("f4", "c3", "s"), ("f5", "c4", "s"), ("f6", "c4", "r"), ("f7", "c5", "r"), ("f8", "c6", "s")]
+    frame = spark.createDataFrame(rows, "fact string, comp string, rel string")
+    got = {r.fact: r.fold for r in exact_folds(frame, "fact", "comp", "rel", ["x", "y"], "seed").collect()}
+    # Two coupled components with one surplus fact each go to different folds; two of each relation per fold.
+    assert got["f1"] == got["f2"] != got["f5"] == got["f6"]
+    assert all(sum(got[f] == fold and r == rel for f, _, r in rows) == 2 for fold in "xy" for rel in "rs")
+    with pytest.raises(Exception, match="slots"):
+        exact_folds(frame.where("fact <> 'f8'"), "fact", "comp", "rel", ["x", "y"], "seed").collect()
+    assert exact_folds(frame.where("fact <> 'f8'"), "fact", "comp", "rel", ["x", "y"], "seed", strict=False).count() == 7
+
+
+def test_beam_search_extends_after_a_hit(spark):
+    from factaudit.plans.beam import beam_search
+
+    start = spark.createDataFrame([("q", "o"), ("p", "p")], "question string, origin string")
+    grow = lambda queue: queue.select(F.concat("question", F.lit("x")).alias("question"), "origin")
+    depth = F.length("question") - 1
+
+    def evaluate(rate):
+        return lambda rows: rows.withColumn("rate_ori", F.when(F.col("origin") == "p", 0.5).otherwise(1.0)).withColumn("rate_trans", rate).withColumn("value", F.lit(1.0))
+
+    search = lambda rate, **more: [(r.question, r.round) for r in beam_search(start, grow, evaluate(rate), 5, **more).orderBy("round").collect()]
+    assert search(F.lit(0.9), most_good=9) == []
+    # A hit in the second round carries the search from three to six rounds.
+    assert search(F.when(depth == 2, 0.4).otherwise(0.9), most_good=9) == [("qxx", 1)]
+    assert search(F.when(depth >= 2, 0.4).otherwise(0.9), most_good=9) == [("q" + "x" * n, n - 1) for n in range(2, 7)]
+    # No model knows it any more: good, but searched no further.  Weak questions count towards the cap.
+    assert search(F.when(depth == 2, 0.0).otherwise(0.3), most_good=9) == [("qx", 0), ("qxx", 1)]
+    assert search(F.lit(0.2), most_good=2) == [("qx", 0), ("qxx", 1)]
+
 
 
 def test_banded_pairs_of_a_hot_bucket_and_near_pairs_against_brute_force(spark):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factaudit.functions import text
-from factaudit.operators import extraction, prefix, relations
+from factaudit.operators import canonical, extraction, prefix, ranking, relations
 
 
 def values(spark, rows, schema, *columns):
@@ -97,3 +97,55 @@ def test_prefix_operators_against_windows(spark):
     got = {r.g: (r.p, r.q) for r in prefix.percentiles(rows, ["g"], "v", {"p": 0.3, "q": 1.0}).collect()}
     assert got == {r.g: (pytest.approx(r.p), r.q) for r in rows.groupBy("g").agg(F.percentile("v", 0.3).alias("p"), F.percentile("v", 1.0).alias("q")).collect()}
     assert prefix.row_number(rows.where("false"), ["g"], order, "n").count() == 0 and prefix.percentiles(rows.where("false"), ["g"], "v", {"p": 0.5}).count() == 0
+
+
+def test_canonical_decisions(spark):
+    schema = "id string, p_ok boolean, s_ok boolean, p_subject string, s_subject string, p_relation string, s_relation string, p_answer string, s_answer string, p_fact string, s_fact string, p_confidence double, s_confidence double, review string"
+    def row(i, p, s, a, b, review=None):
+        return (i, p, s, "X", "x ", "r", "q", a, b, "f", "f", 0.9, 0.7, review)
+
+    rows = [row("neither", False, False, "Paris", "Paris", "accept"), row("agree", True, True, "Paris", "the Paris"), row("wait", True, True, "Paris", "Lyon"), row("cjk", True, True, "巴黎", "巴黎"),
+            row("one", True, False, "Paris", "Paris", "accept"), row("other", False, True, "Lyon", "Paris", "accept"), row("no", False, True, "Paris", "Paris", "reject")]
+    got = {r.id: tuple(r)[1:] for r in canonical.decided(spark.createDataFrame(rows, schema), "id").collect()}
+    assert got == {
+        "neither": ("exclude", "both_models_not_extracted_or_invalid", None, None, None),
+        "agree": ("keep", "dual_model_extraction_and_answer_consensus", "preferred", ["relation"], 0.7),
+        "wait": ("pending_review", "dual_model_answer_conflict_requires_review", None, None, None),
+        "cjk": ("pending_review", "dual_model_answer_conflict_requires_review", None, None, None),
+        "one": ("keep", "accepted_single_model_extraction", "preferred", ["relation"], 0.9),
+        "other": ("keep", "accepted_single_model_extraction", "secondary", ["relation", "answer"], 0.7),
+        "no": ("exclude", "rejected_single_model_extraction", None, None, None),
+    }
+
+
+def test_run_violations_find_what_was_planted(spark):
+    make = spark.createDataFrame
+    source = make([("a", ["P", "L"]), ("b", ["M", "N"]), ("c", None)], "source_id string, choices array<string>")
+    held = make([("a", ["P", "L"]), ("b", ["M", "N"])], "source_id string, choices array<string>")
+    normalised = make([("a", "mapped", "r"), ("b", "ambiguous", None)], "source_id string, status string, relation string")
+    prompts = make([("a", "generated", "P is", "P", None), ("b", "rejected", None, None, "too long")], "source_id string, status string, prompt string, expected string, rejection string")
+    shape = "source_id string, choices array<string>, source_answer string, answer string, wrong_options array<string>, candidates array<string>"
+    distractors = make([("a", ["P", "L"], "P", "p", ["L"], ["L"])], shape)
+    assert canonical.run_violations(source, held, normalised, prompts, distractors).count() == 0
+    bad = [
+        make([("a", ["L", "P"]), ("b", ["M", "N"]), ("b", ["M", "N"]), ("x", None)], held.schema), make([("a", "mapped", " "), ("z", "out", None)], normalised.schema),
+        make([("a", "generated", "", "P", None), ("b", "rejected", None, None, None), ("x", "rejected", None, None, "r")], prompts.schema), make([("b", ["M", "N"], "M", "M", ["M"], ["m", "Q"])], shape)]
+    got = sorted(map(tuple, canonical.run_violations(source, *bad).collect()))
+    assert got == sorted([
+        ("duplicate_canonical", "b"), ("canonical_without_source", "x"), ("source_choices_changed", "a"), ("normalised_ids_differ", "b"), ("normalised_ids_differ", "x"), ("normalised_ids_differ", "z"), ("status_relation_mismatch", "a"),
+        ("generated_prompt_incomplete", "a"), ("rejected_prompt_without_reason", "b"), ("distractor_ids_differ", "a"), ("distractor_ids_differ", "b"), ("wrong_options_mismatch", "b"),
+        ("distractor_absent_from_choices", "b"), ("answer_leaked_into_distractors", "b")])
+
+
+def test_seeded_sample_is_the_library_shuffle(spark):
+    import hashlib
+    import random
+
+    rows = spark.createDataFrame([(s, f"{s}{i}") for s in "xy" for i in range(9)] + [(None, "n")], "s string, k string")
+    got = sorted((r.s, r["rank"], r.k) for r in ranking.seeded_sample(rows, "s", "k", 3, 5).collect())
+    due = []
+    for s in "xy":
+        keys = sorted(f"{s}{i}" for i in range(9))
+        random.Random(int(hashlib.sha256(f"5:{s}".encode()).hexdigest(), 16)).shuffle(keys)
+        due += [(s, n + 1, k) for n, k in enumerate(keys[:3])]
+    assert got == due
