@@ -50,11 +50,16 @@ def key_overlap(left: DataFrame, right: DataFrame, keys: dict[str, list[Column]]
 
 
 def align(rows: DataFrame, question: str, answer: str, external: DataFrame, ext_question: str, ext_answers: str) -> DataFrame:
-    """``rows`` with ``alignment``: aligned, ambiguous, conflict or pending against an external set."""
-    hits = external.groupBy(F.col(ext_question).alias("__q")).agg(F.collect_list(ext_answers).alias("__sets"))
-    n = F.size(F.filter("__sets", lambda s: F.array_contains(s, F.col(answer))))
-    status = F.when(F.col("__sets").isNull(), "pending").when(n == 1, "aligned").when(n > 1, "ambiguous").otherwise("conflict")
-    return rows.join(hits, rows[question] == hits["__q"], "left").withColumn("alignment", status).drop("__q", "__sets")
+    """``rows`` with ``alignment``: aligned (one external row has the question and the answer), ambiguous
+    (several), conflict (the question only) or pending (neither).
+
+    External rows are counted per question and answer; no question's rows are gathered.
+    """
+    asked = external.select(F.col(ext_question).alias("__q")).where("__q IS NOT NULL").distinct().withColumn("__asked", F.lit(True))
+    each = external.select(F.col(ext_question).alias("__p"), F.explode(F.array_distinct(ext_answers)).alias("__a")).groupBy("__p", "__a").agg(F.count(F.lit(1)).alias("__n"))
+    met = rows.join(asked, F.col(question) == F.col("__q"), "left").join(each, (F.col(question) == F.col("__p")) & (F.col(answer) == F.col("__a")), "left")
+    status = F.when(F.col("__n") == 1, "aligned").when(F.col("__n") > 1, "ambiguous").when(F.col("__asked"), "conflict").otherwise("pending")
+    return met.withColumn("alignment", status).drop("__q", "__asked", "__p", "__a", "__n")
 
 
 def donors(targets: DataFrame, pool: DataFrame, on: list[str], key: str, differ: list[str], take: int, order: Column) -> DataFrame:

@@ -193,6 +193,33 @@ def screened_pairs(rows: DataFrame, key: str, side: str, texts: dict[str, str],
     return every.groupBy("a", "b").agg(F.array_sort(F.collect_set("kind")).alias("match_types"), F.bool_or("banded").alias("banded"))
 
 
+def class_firsts(rows: DataFrame, group: str, key: str, order: str, role: str, split: str, current: str, comparison: str, splits: list[str]) -> DataFrame:
+    """Per class the first record of the current role, in all and per split, and of the comparison role."""
+    first = lambda test: F.min(F.when(test, F.struct(order, key)))
+    mine = F.col(role) == current
+    return rows.where(F.col(group).isNotNull()).groupBy(group).agg(
+        first(mine).alias("any"), first(F.col(role) == comparison).alias("other"), F.array(*[first(mine & (F.col(split) == s)) for s in splits]).alias("by_split"))
+
+
+def representatives(pairs: DataFrame, firsts: DataFrame, group: str, key: str) -> DataFrame:
+    """(l, r, kind, a, b) for pairs (l, r) of classes: the records that stand for the pair.
+
+    Of the current role the first records of the two classes in different splits, where there are any
+    (``cross_split``), else their first records (``current``); and a class's first current record with the
+    other's first comparison record (``comparison``), both ways.
+    """
+    side = lambda p: firsts.select(F.col(group).alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("any", "other", "by_split")])
+    met = pairs.select("l", "r").join(side("l"), "l").join(side("r"), "r")
+    crossed = F.flatten(F.transform("l_by_split", lambda x, i: F.transform("r_by_split", lambda y, j: F.when((i != j) & x.isNotNull() & y.isNotNull(), F.struct(x.alias("x"), y.alias("y"))))))
+    best = F.array_min(F.array_compact(crossed))
+    plain = F.when(F.col("l_any").isNotNull() & F.col("r_any").isNotNull(), F.struct(F.col("l_any").alias("x"), F.col("r_any").alias("y")))
+    told = lambda kind, x, y: F.when(x.isNotNull() & y.isNotNull(), F.struct(F.lit(kind).alias("kind"), x[key].alias("a"), y[key].alias("b")))
+    chosen = F.array_compact(F.array(
+        F.when(best.isNotNull(), told("cross_split", best["x"], best["y"])).otherwise(told("current", plain["x"], plain["y"])),
+        told("comparison", F.col("l_any"), F.col("r_other")), told("comparison", F.col("r_any"), F.col("l_other"))))
+    return met.select("l", "r", F.explode(chosen).alias("c")).select("l", "r", "c.*")
+
+
 def spanning_pairs(rows: DataFrame, group: str, key: str, order: str) -> DataFrame:
     """(group, a, b): a chain through each group in order: n - 1 pairs that connect n members."""
     w = Window.partitionBy(group).orderBy(order, key)

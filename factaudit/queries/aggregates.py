@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factaudit.operators import arrays, evaluation, ledger
 from factaudit.operators.prefix import percentiles, running_sum
 from factaudit.queries.registry import Registry
-from factaudit.session import table
+from factaudit.session import cut, table
 
 R = Registry()
 queries, oracle_sql = R.queries, R.oracle_sql
@@ -290,13 +290,21 @@ def _(spark, d):
 
 
 @R.add("e32_direction_norms", """
-    WITH v AS (SELECT label, vec_id, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm FROM embeddings)
-    SELECT label, count(*) AS n, round(quantile_cont(norm, 0.5), 5) AS median_norm FROM v GROUP BY label""")
-def _(spark, d):
-    rows = table(spark, d, "embeddings").withColumn("norm", arrays.l2_norm(F.col("embedding")))
-    found = percentiles(rows.select("label", "norm"), ["label"], "norm", {"m": 0.5}).select(F.col("label").alias("l"), F.round("m", 5).alias("median_norm"))
-    whole = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    return whole.join(found, F.col("label").eqNullSafe(F.col("l")), "left").drop("l")
+    WITH x AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS pos, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm FROM embeddings WHERE label IS NOT NULL),
+    m AS (SELECT label, pos, avg(v) AS mean FROM x GROUP BY 1, 2), o AS (SELECT pos, avg(v) AS mean FROM x GROUP BY 1), d AS (SELECT m.label, m.pos, m.mean - o.mean AS delta FROM m JOIN o USING (pos)),
+    s AS (SELECT label, sqrt(sum(delta * delta)) AS norm FROM d GROUP BY 1), q AS (SELECT label, quantile_cont(norm, 0.5) AS median FROM (SELECT DISTINCT label, vec_id, norm FROM x) GROUP BY 1)
+    SELECT d.label, d.pos::INT AS pos, round(delta * median / s.norm, 5) AS value FROM d JOIN s USING (label) JOIN q USING (label) WHERE s.norm >= 1e-8""")
+def _(spark, d):
+    """Each label's direction: its mean less the mean of all, at the median length of the label's vectors."""
+    rows = table(spark, d, "embeddings").where("label IS NOT NULL").select("label", "embedding")
+    each = rows.select("label", F.posexplode("embedding").alias("pos", "v")).groupBy("label", "pos").agg(F.sum(F.col("v").cast("double")).alias("s"), F.count("v").alias("n"))
+    each = cut(each)
+    whole = each.groupBy("pos").agg((F.sum("s") / F.sum("n")).alias("all"))
+    delta = each.join(whole, "pos").select("label", "pos", (F.col("s") / F.col("n") - F.col("all")).alias("delta"))
+    lengths = delta.groupBy("label").agg(F.sqrt(F.sum(F.col("delta") * F.col("delta"))).alias("norm")).where("norm >= 1e-8")
+    median = percentiles(rows.select("label", arrays.l2_norm(F.col("embedding")).alias("x")), ["label"], "x", {"median": 0.5})
+    return delta.join(lengths, "label").join(median, "label").select("label", "pos", F.round(F.col("delta") * F.col("median") / F.col("norm"), 5).alias("value"))
+
 
 
 @R.add("e33_replicate_confirmation", f"""

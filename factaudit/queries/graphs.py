@@ -68,24 +68,41 @@ def _(spark, d):
     return near_duplicates.spanning_pairs(rows, "fact", "audit_record_id", "line_number")
 
 
-@R.add("d13_representative_pairs", """
-    WITH g AS (SELECT canonical_fact_normalized AS fact, arg_min(audit_record_id, line_number) FILTER (split_assignment = 'development') AS dev, arg_min(audit_record_id, line_number) FILTER (split_assignment IN ('validation', 'sealed')) AS ev FROM audit_records WHERE canonical_fact_normalized IS NOT NULL GROUP BY 1)
-    SELECT fact, dev AS a, ev AS b FROM g WHERE dev IS NOT NULL AND ev IS NOT NULL""")
+@R.add("d13_representative_pairs", rf"""
+    WITH near AS ({_brute_near('question')}), t AS (SELECT trim(regexp_replace(lower(question), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS t, * FROM audit_records), k AS (SELECT *, min(audit_record_id) OVER (PARTITION BY t) AS id FROM t WHERE t <> ''),
+    c AS (SELECT * FROM k WHERE record_role = 'current_bundle'), m AS (SELECT * FROM k WHERE record_role = 'comparison_canonical'),
+    x AS (SELECT n.a AS l, n.b AS r, c.audit_record_id AS a, e.audit_record_id AS b, row_number() OVER (PARTITION BY n.a, n.b ORDER BY NOT coalesce(c.split_assignment <> e.split_assignment, false), c.line_number, e.line_number) AS rn, coalesce(c.split_assignment <> e.split_assignment, false) AS crossed FROM near n JOIN c ON c.id = n.a JOIN c e ON e.id = n.b)
+    SELECT l, r, CASE WHEN crossed THEN 'cross_split' ELSE 'current' END AS kind, a, b FROM x WHERE rn = 1
+    UNION ALL SELECT n.a, n.b, 'comparison', arg_min(c.audit_record_id, c.line_number), arg_min(m.audit_record_id, m.line_number) FROM near n JOIN c ON c.id = n.a JOIN m ON m.id = n.b GROUP BY n.a, n.b
+    UNION ALL SELECT n.a, n.b, 'comparison', arg_min(c.audit_record_id, c.line_number), arg_min(m.audit_record_id, m.line_number) FROM near n JOIN c ON c.id = n.b JOIN m ON m.id = n.a GROUP BY n.a, n.b""")
 def _(spark, d):
-    first = lambda e, n: F.min_by(F.when(F.expr(e), F.col("audit_record_id")), F.when(F.expr(e), F.col("line_number"))).alias(n)
-    g = table(spark, d, "audit_records").where("canonical_fact_normalized IS NOT NULL").groupBy(F.col("canonical_fact_normalized").alias("fact")).agg(first("split_assignment = 'development'", "a"), first("split_assignment IN ('validation', 'sealed')", "b"))
-    return g.where("a IS NOT NULL AND b IS NOT NULL")
+    """The records that stand for each pair of near questions; a class is named by its least record."""
+    rows = table(spark, d, "audit_records").withColumn("t", text.normalize_lexical(F.col("question"))).where("t <> ''")
+    named = cut(rows.groupBy("t").agg(F.min("audit_record_id").alias("id")))
+    pairs = _near(spark, d, "question").select(F.col("a").alias("l"), F.col("b").alias("r"))
+    firsts = near_duplicates.class_firsts(rows.join(named, "t"), "id", "audit_record_id", "line_number", "record_role", "split_assignment", "current_bundle", "comparison_canonical", ["development", "validation", "sealed"])
+    return near_duplicates.representatives(pairs, cut(firsts), "id", "audit_record_id")
 
 
 @R.add("d14_bucket_risk", """
-    WITH k AS (SELECT audit_record_id, split_group_id, unnest(['fact', 'answer', 'source']) AS kind, unnest([canonical_fact_normalized, answer_normalized, source_id]) AS v FROM audit_records), b AS (SELECT kind, v FROM k WHERE v IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT split_group_id) > 1)
-    SELECT k.audit_record_id, string_agg(DISTINCT k.kind, '|' ORDER BY k.kind) AS reasons FROM k JOIN b USING (kind, v) GROUP BY 1""")
+    WITH k AS (SELECT audit_record_id, split_group_id, 'canonical_fact_exact' AS kind, canonical_fact_normalized AS v FROM audit_records UNION ALL SELECT audit_record_id, split_group_id, 'prompt_answer_exact', question_normalized || chr(31) || answer_normalized FROM audit_records
+      UNION ALL SELECT audit_record_id, split_group_id, 'answer_alias_exact', unnest(list_distinct(list_transform(coalesce(answer_aliases, []), lambda x: trim(lower(x))))) FROM audit_records),
+    m AS (SELECT DISTINCT * FROM k WHERE v IS NOT NULL AND v <> ''), b AS (SELECT kind, v, count(*) AS n, count(DISTINCT split_group_id) + count(*) FILTER (split_group_id IS NULL) AS parts FROM m GROUP BY 1, 2)
+    SELECT m.audit_record_id, string_agg(DISTINCT m.kind, '|' ORDER BY m.kind) AS reasons, count(*) AS buckets FROM m JOIN b USING (kind, v) WHERE b.n > 1 AND b.parts > 1 GROUP BY 1""")
 def _(spark, d):
-    # Rows of buckets that cut across groups, with all reasons; members are listed, pairs are not.
-    kinds = {"fact": "canonical_fact_normalized", "answer": "answer_normalized", "source": "source_id"}
-    k = table(spark, d, "audit_records").select("audit_record_id", "split_group_id", F.explode(F.map_from_arrays(F.array(*[F.lit(x) for x in kinds]), F.array(*kinds.values()))).alias("kind", "v")).where("v IS NOT NULL")
-    b = k.groupBy("kind", "v").agg(F.min("split_group_id").alias("x"), F.max("split_group_id").alias("y")).where("x <> y").select("kind", "v")
-    return k.join(b, ["kind", "v"], "left_semi").groupBy("audit_record_id").agg(F.array_join(F.array_sort(F.collect_set("kind")), "|").alias("reasons"))
+    """Rows of buckets (equal fact, question with answer, or alias) that cut across split groups.
+
+    Two rows are at risk when they share a bucket and not a group; a row without a group is one of its own.
+    The bucket membership stands for the pairs, which a frequent alias would make too many of.
+    """
+    rows = table(spark, d, "audit_records")
+    own = lambda kind, v: F.struct(F.lit(kind).alias("kind"), v.alias("v"))
+    aliases = F.transform(F.array_distinct(F.transform(F.coalesce("answer_aliases", F.array().cast("array<string>")), lambda x: F.trim(F.lower(x)))), lambda x: own("answer_alias_exact", x))
+    keys = F.concat(F.array(own("canonical_fact_exact", F.col("canonical_fact_normalized")), own("prompt_answer_exact", F.concat("question_normalized", F.lit("\x1f"), "answer_normalized"))), aliases)
+    k = rows.select("audit_record_id", "split_group_id", F.explode(keys).alias("k")).select("audit_record_id", "split_group_id", "k.*").where("v IS NOT NULL AND v <> ''")
+    group = F.coalesce(F.concat(F.lit("g"), "split_group_id"), F.concat(F.lit("r"), "audit_record_id"))
+    b = k.groupBy("kind", "v").agg(F.min(group).alias("x"), F.max(group).alias("y")).where("x <> y").select("kind", "v")
+    return k.join(b, ["kind", "v"], "left_semi").groupBy("audit_record_id").agg(F.array_join(F.array_sort(F.collect_set("kind")), "|").alias("reasons"), F.count(F.lit(1)).alias("buckets"))
 
 
 @R.add("g01_pair_evidence", """
