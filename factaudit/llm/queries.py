@@ -81,27 +81,25 @@ def p4_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _visual_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(table_name, line_number, field_name, value, context): one row per value of problem 5."""
+    """(table_name, line_number, field_name, values, context): one row per value of problem 5, as an array."""
     zh = table(spark, sf_dir, "zh_translations")
     said = "concat_ws(' ', answer_zh, prompt_zh, canonical_fact_zh, array_join(answer_aliases_zh, ' '))"
     aliases = table(spark, sf_dir, "audit_records").where("answer_aliases IS NOT NULL").selectExpr(
         "'audit_records' AS table_name", "line_number", "'answer_aliases' AS field_name",
-        "array_join(answer_aliases, '\n') AS value", "concat_ws(' ', answer, canonical_fact) AS context")
+        "answer_aliases AS values", "concat_ws(' ', answer, canonical_fact) AS context")
     for field in ("prompt_zh", "answer_zh"):
         aliases = aliases.unionByName(zh.where(f"{field} IS NOT NULL").selectExpr(
-            "'zh_translations' AS table_name", "line_number", f"'{field}' AS field_name", f"{field} AS value", f"{said} AS context"))
+            "'zh_translations' AS table_name", "line_number", f"'{field}' AS field_name", f"array({field}) AS values", f"{said} AS context"))
     return aliases
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = _visual_values(spark, sf_dir)
-    return values.where(visual_form.looks_alike(F.col("value"), F.col("context"))).select("table_name", "line_number", "field_name")
+    return values.where(visual_form.looks_alike(F.col("values"), F.col("context"))).select("table_name", "line_number", "field_name")
 
 
 def p5_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = _visual_values(spark, sf_dir)
-    return visual_form.canonical_values(values.withColumn("value", F.split("value", "\n")), "value", "canonical", "context").select(
-        "table_name", "line_number", "field_name", "canonical")
+    return visual_form.canonical_values(_visual_values(spark, sf_dir), "values", "canonical", "context").select("table_name", "line_number", "field_name", "canonical")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,14 @@
 """Bringing text that looks the same to one form, and finding text written with other characters.
 
-The form is NFKC, then look-alike letters of another alphabet replaced inside words of the main
-alphabet and in words wholly of look-alikes that imitate a word of their context, white space mapped to single spaces, default-ignorable characters removed, and full case
-folding.  The work is done once per distinct value of an Arrow batch, so hot values cost little and
-nothing is shuffled.
+The work has two steps.  The plain form brings every variant character to the ordinary one in its place and
+leaves ordinary text as it is: invisible characters go, special spaces become spaces, compatibility forms
+are composed (NFKC), look-alike letters become Latin inside words of the Latin alphabet and in words wholly
+of look-alikes that imitate a word of their context.  Punctuation that is ordinary in Chinese text stays.
+The canonical form is the plain form in NFKC with full case folding and single spaces.  A value is written
+with other characters where its plain form differs from it.
+
+The work is done once per distinct value of an Arrow batch, so hot values cost little and nothing is
+shuffled.
 
 Defined results: null stays null and is never reported; an empty text stays empty; a text of
 ignorable characters only becomes empty; values are taken whole, whatever their length.
@@ -42,6 +47,10 @@ ODD_SPACE = re.compile("[   -     　\u0085\u000b\u000c\u001c-\u0
 HAN = re.compile("[㐀-鿿\U00020000-\U0003ffff]")
 RADICAL = re.compile("[⺀-⻿]")
 OTHER_LETTER = re.compile("[Ͱ-֏Ꭰ-Ᏽꭰ-ꮿ\u0131\u0251\u0261]")
+#: Splits a text at what stays as it is (odd parts of the result).
+ORDINARY_IN_CHINESE = re.compile(f"([{re.escape(CHINESE_PUNCTUATION)}]+)")
+ELLIPSIS = re.compile("(…+)")
+DETACHED = re.compile("[\u0300-\u036f]")
 CODE_OR_WORD = re.compile(r"[^\W_]+")
 
 
@@ -89,11 +98,20 @@ def _context_words(context: str | None) -> set[str]:
     return {_bare(m.group()) for t in (context or "", _visible(context or "")) for m in CODE_OR_WORD.finditer(t)}
 
 
-def canonical_form(text: str | None, context: str | None = None) -> str | None:
-    """One consistent form of a text (see the module); ``context`` tells which Latin words it may imitate."""
-    if text is None:
-        return None
-    text = _visible(text)
+def plain_form(text: str | None, context: str | None = None) -> str | None:
+    """The text with ordinary characters in place of variants; ``context`` tells which Latin words it may imitate."""
+    if text is None or text == "":
+        return text
+    if text.isascii():
+        return ODD_SPACE.sub(" ", text)
+    # Joiners and selectors inside a picture belong to it.
+    kept = PICTURE_JOINT.findall(text)
+    text = PICTURE_JOINT.sub("\ue000", text) if kept else text
+    text = ODD_SPACE.sub(" ", IGNORABLE.sub("", text))
+    stays = ORDINARY_IN_CHINESE if HAN.search(unicodedata.normalize("NFKC", text)) else ELLIPSIS
+    text = "".join(part if i % 2 else unicodedata.normalize("NFKC", part) for i, part in enumerate(stays.split(text)))
+    # An accent that composes with no letter is detached for good.
+    text = DETACHED.sub("", text)
     known: set[str] | None = None
 
     def word(m: re.Match) -> str:
@@ -108,94 +126,60 @@ def canonical_form(text: str | None, context: str | None = None) -> str | None:
 
     if OTHER_LETTER.search(text):
         text = CODE_OR_WORD.sub(word, text)
-    text = " ".join(text.split())
-    return unicodedata.normalize("NFKC", IGNORABLE.sub("", text.casefold()))
-
-
-def has_variant_characters(text: str | None) -> bool:
-    """Whether a text holds a character that is invisible or stands for another, as seen alone."""
-    if not text:
-        return False
-    if text.isascii():
-        return any(c in "\x0b\x0c\x1c\x1d\x1e\x1f" for c in text)
-    text = PICTURE_JOINT.sub("", text)
-    if IGNORABLE.search(text) or ODD_SPACE.search(text) or RADICAL.search(text):
-        return True
-    plain = text
-    if HAN.search(unicodedata.normalize("NFKC", text)):
-        plain = text.translate({ord(c): None for c in CHINESE_PUNCTUATION})
-    plain = plain.replace("…", "")
-    if unicodedata.normalize("NFKC", plain) != plain:
-        return True
-    if any(unicodedata.combining(c) for c in plain):
-        return True
-    for m in CODE_OR_WORD.finditer(plain) if OTHER_LETTER.search(plain) else ():
-        kinds = {_alphabet(c) for c in m.group()}
-        if "latin" in kinds and "other" in kinds:
-            return True
-    return False
+    for joint in kept:
+        text = text.replace("\ue000", joint, 1)
+    return text
 
 
-def imitated_words(text: str | None) -> list[str]:
-    """Words wholly of another alphabet that read as Latin words, in their Latin look."""
-    if not text or not OTHER_LETTER.search(text):
-        return []
-    return [_bare(latin) for m in CODE_OR_WORD.finditer(text) if (latin := _imitated(m.group()))]
-
-
-def _distinct(f):
-    """Lift a function of one value to a series, run once per distinct value of the batch."""
+def canonical_form(text: str | None, context: str | None = None) -> str | None:
+    """One consistent form of a text (see the module)."""
+    if text is None:
+        return None
+    text = unicodedata.normalize("NFKC", IGNORABLE.sub("", plain_form(text, context)))
+    return unicodedata.normalize("NFKC", IGNORABLE.sub("", " ".join(text.split()).casefold()))
 
-    def run(values: pd.Series) -> pd.Series:
-        seen = {v: f(v) for v in values.dropna().unique()}
-        return values.map(lambda v: seen[v] if v is not None and v == v else f(None)).astype("object")
 
-    return run
+def has_variant_characters(text: str | None, context: str | None = None) -> bool:
+    """Whether a text holds a character that is invisible or stands for another."""
+    return text is not None and plain_form(text, context) != text
 
 
 class _Forms(dict):
     """Forms by value, worked out once; values with letters of other alphabets by value and context."""
 
+    def __init__(self, form):
+        super().__init__()
+        self.form = form
+
     def of(self, value: str | None, context: str | None) -> str | None:
-        if value not in self:
-            self[value] = None if value and OTHER_LETTER.search(_visible(value)) else canonical_form(value)
-        if value is None or self[value] is not None:
-            return self[value]
-        at = (value, context)
+        if value is None:
+            return None
+        at = (value, context) if OTHER_LETTER.search(value) or OTHER_LETTER.search(_visible(value)) else value
         if at not in self:
-            self[at] = canonical_form(value, context)
+            self[at] = self.form(value, context)
         return self[at]
 
 
-@F.pandas_udf(T.StringType())
-def canonical(values: pd.Series, context: pd.Series) -> pd.Series:
-    forms = _Forms()
-    return pd.Series([None if v is None else forms.of(v, c) for v, c in zip(values, context)], dtype="object")
+def _each(form, values: pd.Series, context: pd.Series) -> pd.Series:
+    forms = _Forms(form)
+    return pd.Series([None if a is None else [forms.of(v, c) for v in a] for a, c in zip(values, context)], dtype="object")
 
 
-@F.pandas_udf(T.BooleanType())
-def variant_characters(values: pd.Series) -> pd.Series:
-    return _distinct(has_variant_characters)(values)
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def plain_values(values: pd.Series, context: pd.Series) -> pd.Series:
+    """The plain form of each value of an array."""
+    return _each(plain_form, values, context)
 
 
-@F.pandas_udf(T.BooleanType())
-def imitates(values: pd.Series, context: pd.Series) -> pd.Series:
-    """Whether a value holds a word of another alphabet that imitates a word of its context."""
-    words = {v: imitated_words(v) for v in values.dropna().unique()}
-    out = []
-    for v, c in zip(values, context):
-        mine = words.get(v) if v is not None else None
-        if not mine:
-            out.append(False)
-            continue
-        known = {_bare(m.group()) for m in CODE_OR_WORD.finditer(c or "")}
-        out.append(any(w in known for w in mine))
-    return pd.Series(out)
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def canonical_array(values: pd.Series, context: pd.Series) -> pd.Series:
+    """The canonical form of each value of an array."""
+    return _each(canonical_form, values, context)
 
 
-def looks_alike(value: Column, context: Column) -> Column:
-    """True where ``value`` holds a character that is invisible or only looks like another."""
-    return variant_characters(value) | imitates(value, context)
+def looks_alike(values: Column, context: Column) -> Column:
+    """True where a value of the array ``values`` is written with other characters than its plain form."""
+    return ~values.eqNullSafe(plain_values(values, context))
 
 
 def canonical_values(rows: DataFrame, column: str, into: str, context: str | None = None) -> DataFrame:
@@ -204,11 +188,6 @@ def canonical_values(rows: DataFrame, column: str, into: str, context: str | Non
     Words wholly of look-alikes are brought to Latin where the ``context`` column has the word they imitate.
     """
     said = F.lit(None).cast("string") if context is None else rows[context]
-    form = _canonical_array if isinstance(rows.schema[column].dataType, T.ArrayType) else canonical
-    return rows.withColumn(into, form(rows[column], said))
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _canonical_array(values: pd.Series, context: pd.Series) -> pd.Series:
-    forms = _Forms()
-    return pd.Series([None if a is None else [forms.of(v, c) for v in a] for a, c in zip(values, context)], dtype="object")
+    if isinstance(rows.schema[column].dataType, T.ArrayType):
+        return rows.withColumn(into, canonical_array(rows[column], said))
+    return rows.withColumn(into, F.get(canonical_array(F.array(rows[column]), said), 0))

@@ -213,12 +213,13 @@ def test_visual_forms():
     assert visual_form.canonical_form(None) is None and visual_form.canonical_form("​") == "" and visual_form.canonical_form("") == ""
     assert not visual_form.has_variant_characters("请问，这是什么？（例）") and visual_form.has_variant_characters("１９８４年") and visual_form.has_variant_characters("⼀个")
     assert not visual_form.has_variant_characters("Гашязу β-80") and not visual_form.has_variant_characters(None) and not visual_form.has_variant_characters("👩‍🔬")
-    assert visual_form.imitated_words("НОЕН187") == ["hoeh187"] and visual_form.imitated_words("β-80") == []
+    assert visual_form.plain_form("НОЕН187", "of HOEH187") == "HOEH187" and visual_form.plain_form("β-80", "b-80") == "β-80"
+    assert visual_form.plain_form("Ｆull１ 👩‍🔬 q̂ 例（é）…", None) == "Full1 👩‍🔬 q 例（é）…"
 
 
 def test_imitation_needs_its_context(spark):
     rows = spark.createDataFrame([("ССХ-709", "CCX-709"), ("Гашязу", "Tisomil"), (None, None), ("x" * 50000, "x")], "v string, c string")
-    assert [r.f for r in rows.select(visual_form.looks_alike(F.col("v"), F.col("c")).alias("f")).collect()] == [True, False, False, False]
+    assert [r.f for r in rows.select(visual_form.looks_alike(F.array("v"), F.col("c")).alias("f")).collect()] == [True, False, False, False]
 
 
 def test_wholly_imitated_words_take_the_form_of_their_context(spark):
