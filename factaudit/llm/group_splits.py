@@ -35,8 +35,7 @@ def hash_to_min(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .unionByName(edges.select(F.col("dst").alias("v"), F.col("dst").alias("u"))).distinct())
     before = None
     for _ in range(max_rounds):
-        # Not written: the minima are small partial sums, cheaper to find twice than to keep.
-        mins = clusters.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("size"))
+        mins = cut(clusters.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("size")))
         now = mins.agg(F.sum(F.xxhash64("v", "m", "size").cast("decimal(38,0)")), F.sum("size"), F.max("size")).first()
         if now == before:
             return mins.select(F.col("v").alias("node"), F.col("m").alias("component"))
@@ -48,11 +47,11 @@ def hash_to_min(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             met = skewed_lookup(clusters, mins.select("v", "m"), "v", heavy, "inner")
         else:
             met = clusters.join(mins.select("v", "m"), "v")
-        before_this = clusters
+        read = clusters, mins
         clusters = cut(
             met.select(F.col("m").alias("v"), "u").unionByName(met.select(F.col("u").alias("v"), F.col("m").alias("u")))
             .unionByName(met.select("v", F.col("m").alias("u"))).distinct())
-        release(before_this)
+        release(*read)
     raise RuntimeError(f"no stable components after {max_rounds} rounds")
 
 
