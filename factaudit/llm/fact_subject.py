@@ -35,5 +35,6 @@ def subject_of(fact: Column, answer: Column) -> Column:
     padded = F.concat(F.lit(" "), words, F.lit(" "))
     bare = F.when(value == "", words).otherwise(
         F.trim(F.replace(padded, F.concat(F.lit(" "), value, F.lit(" ")), F.lit(" vvalue "))))
-    tries = [F.nullif(F.regexp_extract(bare, shape, 1), F.lit("")) for shape in _SHAPES]
-    return F.coalesce(*tries)
+    # As the element of an array the text is worked out once for all shapes.
+    named = F.transform(F.array(bare), lambda b: F.coalesce(*[F.nullif(F.regexp_extract(b, shape, 1), F.lit("")) for shape in _SHAPES]))
+    return F.get(named, 0)
