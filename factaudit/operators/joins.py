@@ -68,6 +68,8 @@ def donors(targets: DataFrame, pool: DataFrame, on: list[str], key: str, differ:
     Donors of a bucket are ranked once by ``order``; a target looks at the first few of its bucket
     only: enough that ``take`` of them must differ, so no bucket is paired with itself in full.
     """
+    if len(differ) != 1:
+        raise ValueError("donors differ in one column; join several into one")
     window = Window.partitionBy(*on).orderBy(order, key)
     # One candidate per differing value suffices: a target excludes at most one value per column.
     first = pool.withColumn("__rn", F.row_number().over(Window.partitionBy(*on, *differ).orderBy(order, key))).where("__rn = 1")
@@ -80,10 +82,16 @@ def donors(targets: DataFrame, pool: DataFrame, on: list[str], key: str, differ:
     return ranked.where(F.col("rank") <= take).select(key, "donor", "rank")
 
 
+#: A dimension of a grid has at most this many rows.
+MOST_LEVELS = 10_000
+
+
 def grid(*dimensions: DataFrame) -> DataFrame:
-    """All combinations of small dimension tables (names of models, languages, arms)."""
+    """All combinations of a table with small dimensions (names of models, languages, arms)."""
     out = dimensions[0]
     for dim in dimensions[1:]:
+        if dim.limit(MOST_LEVELS + 1).count() > MOST_LEVELS:
+            raise ValueError(f"a dimension has more than {MOST_LEVELS} rows")
         out = out.crossJoin(F.broadcast(dim))
     return out
 

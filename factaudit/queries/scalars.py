@@ -99,6 +99,36 @@ def _(spark, d):
     return option_layout(rows, "line_number", "answer", "choices")
 
 
+@R.add("b13_binary_layout", """
+    WITH w AS (SELECT line_number, source_snapshot.record.answer AS answer, list_filter(source_snapshot.record.choices, lambda c: c IS DISTINCT FROM source_snapshot.record.answer)[1] AS other FROM raw_candidates WHERE source_snapshot.record.choices IS NOT NULL),
+    h AS (SELECT *, ('0x' || substr(sha256(line_number::VARCHAR || '␟' || other || '␟en'), 1, 2))::INT % 2 = 0 AS ahead FROM w WHERE answer IS NOT NULL AND other IS NOT NULL)
+    SELECT line_number, CASE WHEN ahead THEN answer ELSE other END AS a, CASE WHEN ahead THEN other ELSE answer END AS b, CASE WHEN ahead THEN 'A' ELSE 'B' END AS correct FROM h""")
+def _(spark, d):
+    """Each answer beside the first choice that is another, in an order that a hash decides."""
+    from factaudit.operators.prompts import binary_layout
+
+    rec = "source_snapshot.record."
+    rows = table(spark, d, "raw_candidates").select("line_number", F.col(rec + "answer").alias("answer"), F.get(F.filter(rec + "choices", lambda c: ~c.eqNullSafe(F.col(rec + "answer"))), 0).alias("other")).where("answer IS NOT NULL AND other IS NOT NULL")
+    return rows.select("line_number", binary_layout(F.col("line_number").cast("string"), F.col("other"), F.lit("en"), F.col("answer"), F.col("other")).alias("o")).select("line_number", "o.*")
+
+
+@R.add("b13_target_layout", """
+    WITH w AS (SELECT line_number::VARCHAR AS k, line_number, source_snapshot.record.answer AS answer, list_distinct(list_filter(source_snapshot.record.choices, lambda c: c <> source_snapshot.record.answer)) AS ds, list_sort(list_distinct(list_filter(source_snapshot.record.choices, lambda c: c <> source_snapshot.record.answer)))[1] AS target FROM raw_candidates WHERE source_snapshot.record.choices IS NOT NULL AND source_snapshot.record.answer IS NOT NULL),
+    f AS (SELECT line_number, x, row_number() OVER (PARTITION BY line_number ORDER BY sha256(k || '␟' || target || '␟foil␟' || x)) AS rn FROM (SELECT *, unnest(ds) AS x FROM w) WHERE x <> target),
+    c AS (SELECT w.*, list_concat([target], coalesce((SELECT list(x) FROM f WHERE f.line_number = w.line_number AND rn <= 2), [])) AS ids FROM w WHERE len(ds) >= 2),
+    n AS (SELECT *, substr(sha256(k || '␟' || array_to_string(list_sort(ids), ',')), 1, 16) AS named FROM c), e AS (SELECT line_number, k, named, answer, target, unnest(list_concat(['__answer__'], ids)) AS id FROM n),
+    r AS (SELECT *, row_number() OVER (PARTITION BY line_number ORDER BY sha256(k || '␟' || named || '␟option-order␟' || id)) AS rn FROM e)
+    SELECT line_number, string_agg(CASE WHEN id = '__answer__' THEN answer ELSE id END, '|' ORDER BY rn) AS texts, max(CASE WHEN id = '__answer__' THEN substr('ABCDE', rn::INT, 1) END) AS correct, max(CASE WHEN id = target THEN substr('ABCDE', rn::INT, 1) END) AS target FROM r GROUP BY line_number""")
+def _(spark, d):
+    """Four options per row: the answer, the target (its least other choice) and two foils."""
+    from factaudit.operators.prompts import target_layout
+
+    rec = "source_snapshot.record."
+    rows = table(spark, d, "raw_candidates").where(f"{rec}choices IS NOT NULL AND {rec}answer IS NOT NULL").select("line_number", F.col(rec + "answer").alias("answer"), F.array_distinct(F.filter(rec + "choices", lambda c: c != F.col(rec + "answer"))).alias("ds"))
+    laid = target_layout(F.col("line_number").cast("string"), F.array_min("ds"), F.col("answer"), F.transform("ds", lambda x: F.struct(x.alias("id"), x.alias("text"))), 4)
+    return rows.select("line_number", laid.alias("o")).where("o IS NOT NULL").select("line_number", F.array_join("o.texts", "|").alias("texts"), "o.correct", "o.target")
+
+
 @R.add("b14_prompt_rendering", r"""
     SELECT line_number, CASE WHEN source_snapshot.record.choices IS NULL THEN 'Question: ' || source_snapshot.record.question || E'\nAnswer:'
       ELSE 'Question: ' || source_snapshot.record.question || E'\nOptions: ' || array_to_string(source_snapshot.record.choices, '; ') || E'\nAnswer:' END AS prompt FROM raw_candidates""")

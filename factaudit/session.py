@@ -52,8 +52,14 @@ def release(*written: DataFrame) -> None:
             raise ValueError("only results of cut can be released")
         at = plan.rdd().getCheckpointFile()
         if at.isDefined():
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at.get())
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            fs, path = file_system(df.sparkSession, at.get())
+            fs.delete(path, True)
+
+
+def file_system(spark: SparkSession, folder: str):
+    """(file system, path) of a folder, wherever it is stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factaudit.session import file_system
+
 
 def write_jsonl(rows: DataFrame, path: str, files: int | None = None) -> None:
     """JSON lines in a new folder; an existing one is never overwritten. The commit is atomic."""
@@ -16,13 +18,29 @@ def write_jsonl(rows: DataFrame, path: str, files: int | None = None) -> None:
 
 
 def publish(frames: dict[str, DataFrame], folder: str) -> DataFrame:
-    """Write all frames under ``folder``, then one manifest, which marks the release as complete."""
+    """Write all frames and a manifest beside ``folder``, then give them its name in one rename.
+
+    An existing folder is never touched, and a release that fails leaves nothing behind, so it can be tried
+    again.
+    """
+    from uuid import uuid4
+
     spark = next(iter(frames.values())).sparkSession
-    counts = []
-    for name, frame in sorted(frames.items()):
-        frame.write.mode("errorifexists").parquet(f"{folder}/{name}")
-        counts.append((name, spark.read.parquet(f"{folder}/{name}").count()))
-    spark.createDataFrame(counts, "artifact string, record_count bigint").coalesce(1).write.mode("errorifexists").json(f"{folder}/_manifest")
+    fs, target = file_system(spark, folder)
+    if fs.exists(target):
+        raise FileExistsError(folder)
+    staged = f"{folder.rstrip('/')}.staged-{uuid4().hex}"
+    try:
+        counts = []
+        for name, frame in sorted(frames.items()):
+            frame.write.mode("errorifexists").parquet(f"{staged}/{name}")
+            counts.append((name, spark.read.parquet(f"{staged}/{name}").count()))
+        spark.createDataFrame(counts, "artifact string, record_count bigint").coalesce(1).write.mode("errorifexists").json(f"{staged}/_manifest")
+        if fs.exists(target) or not fs.rename(file_system(spark, staged)[1], target):
+            raise FileExistsError(folder)
+    except BaseException:
+        fs.delete(file_system(spark, staged)[1], True)
+        raise
     return spark.read.schema("artifact string, record_count bigint").json(f"{folder}/_manifest")
 
 

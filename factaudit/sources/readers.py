@@ -26,14 +26,29 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, stric
 def read_jsonl_with_rejects(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(rows, rejects): rejects holds the lines that are no object of the schema."""
     full = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    parsed = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path).cache()
-    return parsed.where("_corrupt IS NULL").drop("_corrupt"), parsed.where("_corrupt IS NOT NULL").select(F.col("_corrupt").alias("line"))
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    parsed = lines.select("value", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+    return parsed.where("r._corrupt IS NULL").select("r.*").drop("_corrupt"), parsed.where("r._corrupt IS NOT NULL").select(F.col("value").alias("line"))
+
+
+def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line_number, line): each file's lines, numbered from 1, blank lines kept.
+
+    Files are split like any text input: a line's place is its file, the start of its split and its order in
+    the split, and numbers are prefix counts over them, so a file of any size is many tasks.
+    """
+    from factaudit.operators.prefix import row_number
+
+    placed = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__order"), F.col("value").alias("line"))
+    return row_number(placed, ["path"], [F.asc("__start"), F.asc("__order")], "line_number").select("path", "line_number", "line")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_number, line, sha256): each file's lines, numbered from 1, blank lines kept.
 
-    A file is one record of the scan, as line numbers need its start; large inputs come as many files.
+    The digest of a file needs all its bytes in order, so a file is one record of the scan (at most 2 GB);
+    ``read_numbered_lines`` has no such bound and no digest.
     """
     import hashlib
 

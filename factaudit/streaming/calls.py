@@ -12,12 +12,25 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def map_requests(requests: DataFrame, key: str, prompt: str, respond: Callable[[list[str]], list[str]], batch_size: int = 16, attempts: int = 3, pause: float = 0.0, min_gap: float = 0.0) -> DataFrame:
+#: Errors that may pass: the network's and the clock's.  Any other fails a prompt at once.
+TRANSIENT = (TimeoutError, ConnectionError)
+
+
+def transient(error: Exception) -> bool:
+    """Whether trying again may help: a network error, or one that carries a status of 408, 429 or 5xx."""
+    status = getattr(error, "status_code", None)
+    return isinstance(error, TRANSIENT) or (isinstance(status, int) and (status in (408, 429) or 500 <= status < 600))
+
+
+def map_requests(requests: DataFrame, key: str, prompt: str, respond: Callable[[list[str]], list[str]], batch_size: int = 16, attempts: int = 3, pause: float = 0.0, min_gap: float = 0.0,
+                 retry: Callable[[Exception], bool] = transient, valid: Callable[[str], bool] | None = None, workers: int | None = None) -> DataFrame:
     """(key, reply, attempts, error): replies to prompts, partition by partition.
 
     A batch that fails is halved down to single prompts; a single prompt is tried ``attempts`` times
-    with a growing pause, then reported with its error's kind.  ``min_gap`` seconds pass between two
-    calls of a task.
+    with a growing pause while ``retry`` allows its error, then reported with the error's kind.  A reply
+    that is not ``valid`` counts as the error ``InvalidReply`` and is tried again.  ``workers`` bounds how
+    many tasks call at once, and ``min_gap`` seconds pass between two calls of a task, so the calls of all
+    tasks start at least ``min_gap / workers`` apart on average; one worker makes that strict.
     """
     kind = requests.schema[key].dataType.simpleString()
 
@@ -37,15 +50,24 @@ def map_requests(requests: DataFrame, key: str, prompt: str, respond: Callable[[
         def answer(keys: list, prompts: list[str]) -> list[tuple]:
             if len(prompts) > 1:
                 try:
-                    return [(k, r, 1, None) for k, r in zip(keys, call(prompts))]
+                    replies = call(prompts)
+                    if valid is None or all(map(valid, replies)):
+                        return [(k, r, 1, None) for k, r in zip(keys, replies)]
+                    raise ValueError("a reply is not valid")
                 except Exception:
                     half = len(prompts) // 2
                     return answer(keys[:half], prompts[:half]) + answer(keys[half:], prompts[half:])
             for n in range(1, attempts + 1):
                 try:
-                    return [(keys[0], call(prompts)[0], n, None)]
+                    reply = call(prompts)[0]
+                    if valid is None or valid(reply):
+                        return [(keys[0], reply, n, None)]
+                    error = "InvalidReply"
                 except Exception as e:
                     error = type(e).__name__
+                    if not retry(e):
+                        return [(keys[0], None, n, error)]
+                if n < attempts:
                     time.sleep(pause * 2 ** (n - 1))
             return [(keys[0], None, attempts, error)]
 
@@ -56,4 +78,5 @@ def map_requests(requests: DataFrame, key: str, prompt: str, respond: Callable[[
                 out += answer(keys[at : at + batch_size], prompts[at : at + batch_size])
             yield pd.DataFrame(out, columns=[key, "reply", "attempts", "error"])
 
-    return requests.select(key, prompt).mapInPandas(run, f"{key} {kind}, reply string, attempts int, error string")
+    rows = requests.select(key, prompt) if workers is None else requests.select(key, prompt).repartition(workers)
+    return rows.mapInPandas(run, f"{key} {kind}, reply string, attempts int, error string")

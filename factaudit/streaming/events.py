@@ -44,28 +44,26 @@ def first_arrivals(events: DataFrame, key: str, watermark: str = "1 day") -> Dat
 def upsert_latest(folder: str, key: str, order: list[str]):
     """A ``foreachBatch`` function that keeps the latest row per key in ``folder``.
 
-    Each batch writes a new version beside the old one and then names it in a small pointer file, so a
-    batch that is run again after a failure starts from the version that was complete.
+    Each batch writes a new version beside the old ones; the version in force is the last one whose write
+    was committed, so a batch that is run again after a failure starts from the version that was complete.
+    Works on any file system that Spark writes to.
     """
-    import json
-    import os
-
     from factaudit.operators.evaluation import latest
+    from factaudit.session import file_system
 
-    pointer = os.path.join(folder, "current.json")
+    def versions(spark) -> list[int]:
+        fs, path = file_system(spark, folder)
+        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        numbers = [int(n.removeprefix("version-")) for n in names if n.startswith("version-")]
+        return [n for n in sorted(numbers) if fs.exists(file_system(spark, f"{folder}/version-{n:08d}/_SUCCESS")[1])]
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        current = json.load(open(pointer, encoding="utf-8")) if os.path.exists(pointer) else {"batch": -1, "path": None}
-        if current["batch"] >= batch_id:
+        done = versions(spark)
+        if done and done[-1] >= batch_id:
             return
-        rows = batch if current["path"] is None else batch.unionByName(spark.read.parquet(current["path"]))
-        target = os.path.join(folder, f"version-{batch_id:08d}")
-        latest(rows, [key], order).write.mode("overwrite").parquet(target)
-        temporary = pointer + ".tmp"
-        with open(temporary, "w", encoding="utf-8") as f:
-            json.dump({"batch": batch_id, "path": target}, f)
-        os.replace(temporary, pointer)
+        rows = batch.unionByName(spark.read.parquet(f"{folder}/version-{done[-1]:08d}")) if done else batch
+        latest(rows, [key], order).write.mode("overwrite").parquet(f"{folder}/version-{batch_id:08d}")
 
     return run
 

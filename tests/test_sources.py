@@ -41,6 +41,19 @@ def test_lines_keep_numbers_and_digest(spark, tmp_path):
     assert digest == artifacts.file_fingerprints(spark, str(tmp_path / "l.txt")).first().sha256
 
 
+def test_numbered_lines_of_split_files(spark, tmp_path):
+    (tmp_path / "n").mkdir()
+    for name, n in (("a.txt", 5000), ("b.txt", 3)):
+        (tmp_path / "n" / name).write_text("".join(f"line {i}\n" if i % 5 else "\n" for i in range(1, n + 1)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+        rows = readers.read_numbered_lines(spark, str(tmp_path / "n")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(rows) == 5003 and all(r.line == (f"line {r.line_number}" if r.line_number % 5 else "") for r in rows)
+
+
 def test_zip_members(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
         z.writestr("a.jsonl", "1\n2\n")
@@ -63,6 +76,12 @@ def test_publish_never_overwrites(spark, tmp_path):
     assert {r.artifact: r.record_count for r in manifest.collect()} == {"facts": 3, "pairs": 0}
     with pytest.raises(Exception):
         artifacts.publish(frames, str(tmp_path / "out"))
+    # A release that fails leaves nothing behind and can be tried again.
+    broken = {"a": spark.range(2), "b": spark.range(2).selectExpr("raise_error('no') AS x")}
+    with pytest.raises(Exception):
+        artifacts.publish(broken, str(tmp_path / "again"))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["out"]
+    assert artifacts.publish({"a": spark.range(2)}, str(tmp_path / "again")).count() == 1
 
 
 def test_canonical_json(spark):

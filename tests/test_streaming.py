@@ -64,3 +64,16 @@ def test_requests_split_and_retry(spark):
     got = {r.id: (r.reply, r.error) for r in calls.map_requests(requests, "id", "prompt", respond).collect()}
     assert got == {1: ("A", None), 2: (None, "RuntimeError"), 3: ("C", None), 4: ("D", None)}
     assert calls.map_requests(requests.where(F.lit(False)), "id", "prompt", respond).count() == 0
+
+
+def test_only_transient_errors_and_invalid_replies_are_tried_again(spark):
+    def respond(prompts):
+        if "net" in prompts:
+            raise TimeoutError
+        if "bad" in prompts:
+            raise RuntimeError
+        return [p.upper() for p in prompts]
+
+    requests = spark.createDataFrame([(1, "ok"), (2, "net"), (3, "bad"), (4, "odd")], "id int, prompt string")
+    got = {r.id: (r.reply, r.attempts, r.error) for r in calls.map_requests(requests, "id", "prompt", respond, valid=lambda r: r != "ODD", workers=1).collect()}
+    assert got == {1: ("OK", 1, None), 2: (None, 3, "TimeoutError"), 3: (None, 1, "RuntimeError"), 4: (None, 3, "InvalidReply")}
