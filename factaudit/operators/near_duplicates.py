@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from factaudit.functions.text import char_ngrams, containment, jaccard, length_ratio
 from factaudit.functions.text import tokens as tokens_of
-from factaudit.session import cut, spread
+from factaudit.session import cut, shuffled, spread
 
 COMPONENTS = 16
 BANDS = 8
@@ -61,8 +61,9 @@ def with_shared_band(near: DataFrame, rows: DataFrame, key: str, tokens: Column)
     """``near`` with ``shared_band``: whether the texts of a and b, both of three tokens or more, share a band."""
     near = cut(near)
     ends = near.select(F.col("a").alias(key)).unionByName(near.select(F.col("b").alias(key))).distinct()
-    signed = cut(rows.join(ends, key, "left_semi").select(key, F.when(F.size(tokens) >= 3, fast_signature(tokens)).alias("sig")))
-    both = near.join(signed.select(F.col(key).alias("a"), F.col("sig").alias("sig_a")), "a").join(signed.select(F.col(key).alias("b"), F.col("sig").alias("sig_b")), "b")
+    signed = cut(rows.join(shuffled(ends), key, "left_semi").select(key, F.when(F.size(tokens) >= 3, fast_signature(tokens)).alias("sig")))
+    end = lambda p: shuffled(signed.select(F.col(key).alias(p), F.col("sig").alias(f"sig_{p}")))
+    both = near.join(end("a"), "a").join(end("b"), "b")
     shared = F.exists(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda x: _bucket(F.col("sig_a"), x) == _bucket(F.col("sig_b"), x))
     return both.select(*near.columns, F.coalesce(shared & F.col("sig_a").isNotNull() & F.col("sig_b").isNotNull(), F.lit(False)).alias("shared_band"))
 
@@ -150,10 +151,10 @@ def near_pairs(rows: DataFrame, key: str, text: str, tokens: Column, side: Colum
     ]
     if side is not None:
         meet.insert(0, "x_side OR y_side")
-    met = half(False, "x").join(half(True, "y"), ["rule", "item", "salt"]).where(" AND ".join(f"({m})" for m in meet))
+    met = half(False, "x").join(shuffled(half(True, "y")), ["rule", "item", "salt"]).where(" AND ".join(f"({m})" for m in meet))
     met = met.selectExpr("least(x_n, y_n) AS p", "greatest(x_n, y_n) AS q").distinct()
     end = lambda n, p: texts.select(F.col("n").alias(n), *[F.col(c).alias(f"{p}_{c}") for c in ("id", "t", "tok", "grams")])
-    both = met.join(end("p", "l"), "p").join(end("q", "r"), "q")
+    both = met.join(shuffled(end("p", "l")), "p").join(shuffled(end("q", "r")), "q")
     token, grams = (F.col("l_tok"), F.col("r_tok")), (F.col("l_grams"), F.col("r_grams"))
     scored = both.select(
         F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b"), F.greatest(jaccard(*token), jaccard(*grams)).alias("similarity"),

@@ -184,3 +184,20 @@ def test_screened_pairs_list_every_match_of_a_replaced_row(spark):
         ("c1", "r1"): ["question_near"], ("c2", "r1"): ["question_exact"], ("c3", "r1"): ["fact_near"], ("c4", "r1"): ["fact_near", "value_exact"], ("c2", "r2"): ["value_exact"]}
     given = {(x.a, x.b) for x in near_duplicates.banded_pairs(frame.where("id IN ('r1', 'c1')"), "id", "q", text.tokens(F.col("q"))).collect()}
     assert got["c1", "r1"][1] == (("c1", "r1") in given) and not got["c3", "r1"][1]
+
+
+def broadcasts(frame):
+    return frame._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
+
+
+def test_near_pairs_broadcast_nothing_that_is_taken_for_small(spark, monkeypatch, tmp_path):
+    # Estimates by compressed files are far too low, so the joins must not trust them.
+    plans = []
+    monkeypatch.setattr(near_duplicates, "cut", lambda df: plans.append(broadcasts(df)) or df.checkpoint())
+    frame = spark.createDataFrame([("a", "name the zanter river length"), ("b", "name the zanter river lengths"), ("c", "other")], "id string, t string")
+    frame.write.parquet(f"{tmp_path}/texts")
+    frame = spark.read.parquet(f"{tmp_path}/texts")
+    near = near_duplicates.near_pairs(frame, "id", "t", text.tokens(F.col("t")))
+    plans.append(broadcasts(near))
+    plans.append(broadcasts(near_duplicates.with_shared_band(near, frame, "id", text.tokens(F.col("t")))))
+    assert not any(plans) and [(r.a, r.b) for r in near.collect()] == [("a", "b")]
