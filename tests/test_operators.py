@@ -201,3 +201,13 @@ def test_near_pairs_broadcast_nothing_that_is_taken_for_small(spark, monkeypatch
     plans.append(broadcasts(near))
     plans.append(broadcasts(near_duplicates.with_shared_band(near, frame, "id", text.tokens(F.col("t")))))
     assert not any(plans) and [(r.a, r.b) for r in near.collect()] == [("a", "b")]
+
+
+def test_screened_pairs_broadcast_nothing_that_is_taken_for_small(spark, monkeypatch, tmp_path):
+    plans = []
+    monkeypatch.setattr(near_duplicates, "cut", lambda df: plans.append(broadcasts(df)) or df.checkpoint())
+    rows = [("r1", True, "name the zanter river length", ["12 km"]), ("c1", False, "name the zanter river lengths", ["12 km"]), ("c2", False, "other", None)]
+    spark.createDataFrame(rows, "id string, replaced boolean, q string, v array<string>").write.parquet(f"{tmp_path}/rows")
+    pairs = near_duplicates.screened_pairs(spark.read.parquet(f"{tmp_path}/rows"), "id", "replaced", {"question": "q"}, "v")
+    plans.append(broadcasts(pairs))
+    assert not any(plans) and [(r.a, r.b, r.match_types) for r in pairs.collect()] == [("c1", "r1", ["question_near", "value_exact"])]
