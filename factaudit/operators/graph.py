@@ -79,7 +79,7 @@ def whole_targets(total: int, shares: dict[str, float]) -> dict[str, int]:
     return targets
 
 
-def greedy_splits(components: DataFrame, key: str, size: str, pinned: str | None, features: dict[str, float], shares: dict[str, float], seed: str, limit: int = 100_000) -> DataFrame:
+def greedy_splits(components: DataFrame, key: str, size: str, pinned: str | None, features: dict[str, float], shares: dict[str, float], seed: str, limit: int | None = None) -> DataFrame:
     """(key, split): components placed one by one where they cost least.
 
     Pinned components go first, to their split.  The others follow by size, ties by a hash of seed and key.
@@ -87,16 +87,30 @@ def greedy_splits(components: DataFrame, key: str, size: str, pinned: str | None
     for every value of each feature (a map column value -> members, with its weight), plus a penalty on what
     goes beyond the target; equal costs are decided by a hash of seed, key and split.
 
-    Every choice depends on the ones before, so one task walks the components; their number is checked
-    against ``limit``.  Use rendezvous hashing (see the grouped splits) beyond it.
+    Every choice depends on the ones before, so one task walks the components that are not pinned.  They are
+    sorted by Spark and stream through it; it holds the counts per split and value of a feature only, so
+    their number is bounded by time alone.  A ``limit`` refuses more components than that.
     """
     import hashlib
+    from collections.abc import Iterator
 
     import pandas as pd
 
-    n = components.count()
-    if n > limit:
-        raise ValueError(f"{n} components are more than one task should walk ({limit})")
+    made = cut(components.select(F.col(key).cast("string").alias(key), F.col(size).cast("bigint").alias("__n"), (F.col(pinned) if pinned else F.lit(None)).cast("string").alias("__pin"), *features))
+    whole = made.agg(F.count(F.lit(1)).alias("components"), F.coalesce(F.sum("__n"), F.lit(0)).alias("members")).first()
+    if limit is not None and whole["components"] > limit:
+        raise ValueError(f"{whole['components']} components are more than one task should walk ({limit})")
+    targets = whole_targets(int(whole["members"]), shares)
+    fixed_sizes = {r["__pin"]: int(r["n"]) for r in made.where("__pin IS NOT NULL").groupBy("__pin").agg(F.sum("__n").alias("n")).collect()}
+    if unknown := set(fixed_sizes) - set(shares):
+        raise ValueError(f"pinned to splits without a share: {sorted(unknown)}")
+    totals: dict = {}
+    fixed_counts: dict = {}
+    for f in features:
+        for r in made.select("__pin", F.explode(f).alias("value", "c")).groupBy("__pin", "value").agg(F.sum("c").alias("c")).collect():
+            totals[f, r["value"]] = totals.get((f, r["value"]), 0) + int(r["c"])
+            if r["__pin"] is not None:
+                fixed_counts[f, r["value"], r["__pin"]] = int(r["c"])
 
     def digest(*parts: str) -> str:
         return hashlib.sha256("\x1f".join(parts).encode()).hexdigest()
@@ -105,37 +119,29 @@ def greedy_splits(components: DataFrame, key: str, size: str, pinned: str | None
         scale = max(1.0, target)
         return ((now + more - target) / scale) ** 2 - ((now - target) / scale) ** 2
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        keys, sizes = rows[key].astype(str).tolist(), [int(v) for v in rows[size]]
-        maps = {f: [dict(m) if m is not None else {} for m in rows[f]] for f in features}
-        pins = rows[pinned].tolist() if pinned else [None] * len(rows)
-        targets = whole_targets(sum(sizes), shares)
-        totals: dict = {}
-        for f in features:
-            for m in maps[f]:
-                for value, c in m.items():
-                    totals[f, value] = totals.get((f, value), 0) + c
-        held, counts, out = dict.fromkeys(shares, 0), {}, {}
-
-        def place(i: int, split: str) -> None:
-            out[i] = split
-            held[split] += sizes[i]
-            for f in features:
-                for value, c in maps[f][i].items():
-                    counts[f, value, split] = counts.get((f, value, split), 0) + c
-
-        fixed = [i for i, p in enumerate(pins) if p is not None and p == p]
-        for i in sorted(fixed, key=lambda i: keys[i]):
-            place(i, pins[i])
-        for i in sorted(set(range(len(keys))) - set(fixed), key=lambda i: (-sizes[i], digest(seed, keys[i]))):
-            scores = []
-            for split, share in shares.items():
-                cost = SIZE_WEIGHT * change(held[split], sizes[i], targets[split])
-                for f, weight in features.items():
-                    cost += weight * sum(change(counts.get((f, value, split), 0), c, totals[f, value] * share) for value, c in maps[f][i].items())
-                beyond = max(0, held[split] + sizes[i] - targets[split])
-                scores.append((cost + OVERFLOW_WEIGHT * (beyond / max(1, targets[split])) ** 2, digest(seed, keys[i], split), split))
-            place(i, min(scores)[2])
-        return pd.DataFrame({key: keys, "split": [out[i] for i in range(len(keys))]})
-
-    return components.withColumn("__one", F.lit(0)).groupBy("__one").applyInPandas(walk, f"{key} string, split string")
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, counts = {s: fixed_sizes.get(s, 0) for s in shares}, dict(fixed_counts)
+        for rows in batches:
+            keys, out = rows[key].tolist(), []
+            maps = {f: [sorted(dict(m).items()) if m is not None else [] for m in rows[f]] for f in features}
+            for i, n in enumerate(rows["__n"].tolist()):
+                costs = {}
+                for split, share in shares.items():
+                    cost = SIZE_WEIGHT * change(held[split], n, targets[split])
+                    for f, weight in features.items():
+                        cost += weight * sum(change(counts.get((f, value, split), 0), c, totals[f, value] * share) for value, c in maps[f][i])
+                    beyond = max(0, held[split] + n - targets[split])
+                    costs[split] = cost + OVERFLOW_WEIGHT * (beyond / max(1, targets[split])) ** 2
+                least = min(costs.values())
+                equal = [s for s in costs if costs[s] == least]
+                split = equal[0] if len(equal) == 1 else min(equal, key=lambda s: (digest(seed, keys[i], s), s))
+                held[split] += n
+                for f in features:
+                    for value, c in maps[f][i]:
+                        counts[f, value, split] = counts.get((f, value, split), 0) + c
+                out.append(split)
+            yield pd.DataFrame({key: keys, "split": out})
+
+    ordered = made.where("__pin IS NULL").repartition(1).sortWithinPartitions(F.desc("__n"), F.sha2(F.concat(F.lit(seed + "\x1f"), key), 256), key)
+    placed = ordered.select(key, "__n", *features).mapInPandas(walk, f"{key} string, split string")
+    return made.where("__pin IS NOT NULL").select(key, F.col("__pin").alias("split")).unionByName(placed)

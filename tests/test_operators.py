@@ -211,3 +211,9 @@ def test_screened_pairs_broadcast_nothing_that_is_taken_for_small(spark, monkeyp
     pairs = near_duplicates.screened_pairs(spark.read.parquet(f"{tmp_path}/rows"), "id", "replaced", {"question": "q"}, "v")
     plans.append(broadcasts(pairs))
     assert not any(plans) and [(r.a, r.b, r.match_types) for r in pairs.collect()] == [("c1", "r1", ["question_near", "value_exact"])]
+
+
+def test_greedy_splits_walk_any_number_of_components(spark):
+    many = spark.range(100_001).select(F.concat(F.lit("c"), "id").alias("k"), F.lit(1).alias("n"))
+    placed = graph.greedy_splits(many, "k", "n", None, {}, {"dev": 0.6, "val": 0.2, "sealed": 0.2}, "s")
+    assert {r.split: r["count"] for r in placed.groupBy("split").count().collect()} == {"dev": 60_001, "val": 20_000, "sealed": 20_000}
