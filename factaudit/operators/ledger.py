@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factaudit.operators.prefix import running_sum
+from factaudit.session import shuffled
+
 
 def pending(due: DataFrame, runs: DataFrame, key: str, outcome: str, order: list[str], failed: list) -> DataFrame:
     """(key, pending): keys never run, or whose last run failed."""
@@ -30,10 +33,20 @@ def total_if_all_known(value: Column) -> Column:
 
 
 def attempts_in_window(events: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
-    """``events`` with the number of the key's events in the last ``seconds``, itself included."""
+    """``events`` with the number of the key's events in the last ``seconds``, itself included.
+
+    An event counts from its time on and no more one microsecond after its window, so the number is a running
+    sum over the times of both, dealt by range: neither the events of a key nor those of a window are gathered.
+    Events without a time count each other, as those without a key do.
+    """
     clock = F.unix_micros(F.col(at).cast("timestamp"))
-    w = Window.partitionBy(key).orderBy(clock).rangeBetween(-seconds * 1_000_000, Window.currentRow)
-    return events.withColumn("in_window", F.count(F.lit(1)).over(w))
+    times = events.select(F.col(key).alias("__k"), clock.alias("__t")).groupBy("__k", "__t").agg(F.count(F.lit(1)).alias("__c"))
+    steps = F.array(F.struct(F.col("__t"), F.col("__c").alias("d"), F.lit(1).alias("own")), F.struct((F.col("__t") + seconds * 1_000_000 + 1).alias("__t"), (-F.col("__c")).alias("d"), F.lit(0).alias("own")))
+    moves = times.where("__t IS NOT NULL").select("__k", F.explode(steps).alias("s")).groupBy("__k", "s.__t").agg(F.sum("s.d").alias("__d"), F.max("s.own").alias("__own"))
+    summed = running_sum(moves, ["__k"], [F.asc("__t")], F.col("__d"), "in_window").where("__own = 1").select("__k", "__t", "in_window")
+    counted = summed.unionByName(times.where("__t IS NULL").select("__k", "__t", F.col("__c").alias("in_window")))
+    met = F.col(key).eqNullSafe(F.col("__k")) & clock.eqNullSafe(F.col("__t"))
+    return events.join(shuffled(counted), met).drop("__k", "__t")
 
 
 def backoff(failures: Column, base: float = 2.0, most: float = 300.0) -> Column:

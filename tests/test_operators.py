@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factaudit.functions import text
@@ -217,3 +218,14 @@ def test_greedy_splits_walk_any_number_of_components(spark):
     many = spark.range(100_001).select(F.concat(F.lit("c"), "id").alias("k"), F.lit(1).alias("n"))
     placed = graph.greedy_splits(many, "k", "n", None, {}, {"dev": 0.6, "val": 0.2, "sealed": 0.2}, "s")
     assert {r.split: r["count"] for r in placed.groupBy("split").count().collect()} == {"dev": 60_001, "val": 20_000, "sealed": 20_000}
+
+
+def test_ledger_window_gathers_no_window(spark):
+    # Ties, windows that end on the microsecond, and events without time or key, against the windows themselves.
+    r = random.Random(3)
+    rows = spark.createDataFrame([(r.choice(["a", "b", None]), r.choice([None, *range(40)])) for _ in range(600)], "k string, s int").withColumn("at", F.timestamp_seconds("s"))
+    w = Window.partitionBy("k").orderBy(F.unix_micros("at")).rangeBetween(-10_000_000, Window.currentRow)
+    got = ledger.attempts_in_window(rows, "k", "at", 10)
+    due = rows.withColumn("in_window", F.count(F.lit(1)).over(w))
+    assert got.columns == due.columns and got.exceptAll(due).isEmpty() and got.count() == due.count() == 600
+    assert "RangeFrame" not in got._jdf.queryExecution().executedPlan().toString()
