@@ -214,6 +214,25 @@ def test_screened_pairs_broadcast_nothing_that_is_taken_for_small(spark, monkeyp
     assert not any(plans) and [(r.a, r.b, r.match_types) for r in pairs.collect()] == [("c1", "r1", ["question_near", "value_exact"])]
 
 
+def test_screened_pairs_of_a_value_are_formed_once_and_never_shuffled(spark, monkeypatch):
+    # Rows that share several values, replaced rows on both sides, and a value dealt out in parts.
+    monkeypatch.setattr(near_duplicates, "PART_PAIRS", 7, raising=False)
+    r = random.Random(5)
+    rows = [(f"k{n:02}", r.random() < 0.4, r.choice(["name the zanter river length", "name the zanter river lengths", "unlike", None]), [r.choice(["hot", "tin", "ash", "", None]) for _ in range(r.randrange(4))]) for n in range(40)]
+    rows.append(("k40", True, "name the zanter river length", None))
+    pairs = near_duplicates.screened_pairs(spark.createDataFrame(rows, "id string, replaced boolean, q string, v array<string>"), "id", "replaced", {"question": "q"}, "v")
+    due = {}
+    for n, (a, x, q, v) in enumerate(rows):
+        for b, y, p, w in rows[n + 1 :]:
+            texts = {q, p}
+            kinds = [k for k, found in (("question_exact", q is not None and q == p), ("question_near", texts == {"name the zanter river length", "name the zanter river lengths"}), ("value_exact", {*(v or ())} & {*(w or ())} - {"", None})) if found]
+            if (x or y) and kinds:
+                due[a, b] = kinds
+    got = [((t.a, t.b), t.match_types) for t in pairs.collect()]
+    assert len(got) == len(due) and dict(got) == due
+    assert pairs._jdf.queryExecution().optimizedPlan().nodeName() == "Union"  # not a sum over all pairs
+
+
 def test_greedy_splits_walk_any_number_of_components(spark):
     many = spark.range(100_001).select(F.concat(F.lit("c"), "id").alias("k"), F.lit(1).alias("n"))
     placed = graph.greedy_splits(many, "k", "n", None, {}, {"dev": 0.6, "val": 0.2, "sealed": 0.2}, "s")
